@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .op06_decontaminate import OP6_SQL, op6_decontaminate
+from .op10_bpe import op10_bpe
 
 QUERIES = {
     "op6_decontaminate": op6_decontaminate,
+    "op10_bpe": op10_bpe,
 }
 SQL = {
     "op6_decontaminate": OP6_SQL,
