@@ -221,10 +221,10 @@ def _vocabulary(spark: SparkSession, path: str | None):
 def encode(docs: DataFrame, path: str | None = None, *, text_col: str = "text", name: str = "ids") -> DataFrame:
     """``docs`` with the ids of every whole text, packed as little-endian unsigned 32-bit numbers."""
     said = _vocabulary(docs.sparkSession, path)
+    key = path or default_path()
     name = C.free_name(docs.columns, name)
 
     def run(batches):
-        key = str(said.id)
         for batch in batches:
             if key not in _encoders:
                 _encoders.clear()
@@ -239,7 +239,8 @@ def encode(docs: DataFrame, path: str | None = None, *, text_col: str = "text",
 def unpacked(ids) -> F.Column:
     """A packed column as an array of longs, by SQL functions."""
     at = F.sequence(F.lit(0), F.floor(F.length(ids) / 4).cast("int") - 1)
-    one = lambda k: F.conv(F.hex(F.reverse(F.substring(ids, k * 4 + 1, F.lit(4)))), 16, 10).cast("long")
+    at_byte = lambda k, b: F.substring(F.hex(ids), k * 8 + 2 * b + 1, F.lit(2))
+    one = lambda k: F.conv(F.concat(*(at_byte(k, b) for b in (3, 2, 1, 0))), 16, 10).cast("long")
     return F.when(F.length(ids) == 0, F.array().cast("array<long>")).otherwise(F.transform(at, one))
 
 
