@@ -75,21 +75,21 @@ def free_name(taken: list[str], name: str) -> str:
     return name
 
 
-def hot_keys(df: DataFrame, key: str, share: int = 512, least: int = 1000) -> list:
+def hot_keys(df: DataFrame, key: str, share: int = 512, least: int = 200) -> list:
     """Keys with over ``1/share`` of the rows and over ``least`` rows: at most ``share`` of them."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = df.count()
     return [r[0] for r in counts.where(F.col("_n") > max(least, total // share)).select(key).collect()]
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: int = 512, least: int = 1000) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: int = 512, least: int = 200, hot: list | None = None) -> DataFrame:
     """Equi-join of a side with possible hot keys to a side with one row per key.
 
     Hot keys (at most ``share``, found by counting) are joined by broadcasting
     their few right rows, so that their left rows stay where they are; all
     others go by a shuffle join. Nothing is dropped; null keys match nothing.
     """
-    hot = hot_keys(left, key, share, least)
+    hot = hot_keys(left, key, share, least) if hot is None else hot
     if not hot:
         return left.join(right, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
@@ -97,6 +97,12 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", sh
     return head.unionByName(left.where(~is_hot).join(right.where(~is_hot), key, how))
 
 
+def within(df: DataFrame, ids: DataFrame, key: str, how: str, most: int = 300_000) -> DataFrame:
+    """Semi- or anti-join; the ids are broadcast where they are at most ``most`` rows, else shuffled."""
+    ids = ids.select(key).distinct()
+    return df.join(F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids, key, how)
+
+
 def with_fields(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*schema.fields, *(T.StructField(n, t, True) for n, t in fields)])
 

@@ -238,10 +238,9 @@ def encode(docs: DataFrame, path: str | None = None, *, text_col: str = "text",
 
 def unpacked(ids) -> F.Column:
     """A packed column as an array of longs, by SQL functions."""
-    at = F.sequence(F.lit(0), F.floor(F.length(ids) / 4).cast("int") - 1)
-    at_byte = lambda k, b: F.substring(F.hex(ids), k * 8 + 2 * b + 1, F.lit(2))
-    one = lambda k: F.conv(F.concat(*(at_byte(k, b) for b in (3, 2, 1, 0))), 16, 10).cast("long")
-    return F.when(F.length(ids) == 0, F.array().cast("array<long>")).otherwise(F.transform(at, one))
+    part = lambda h, k: F.substring(h, k, 2)
+    one = lambda h: F.conv(F.concat(part(h, 7), part(h, 5), part(h, 3), part(h, 1)), 16, 10).cast("long")
+    return F.transform(F.regexp_extract_all(F.hex(ids), F.lit("(.{8})"), F.lit(1)), one)
 
 
 class Decoder:
