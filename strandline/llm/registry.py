@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .op03_quality import op3_quality
 from .op06_decontaminate import OP6_SQL, op6_decontaminate
 from .op08_jaccard import op8_jaccard_join
 from .op10_bpe import op10_bpe
 
 QUERIES = {
+    "op3_quality": op3_quality,
     "op6_decontaminate": op6_decontaminate,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_bpe": op10_bpe,
