@@ -97,6 +97,14 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", sh
     return head.unionByName(left.where(~is_hot).join(right.where(~is_hot), key, how))
 
 
+def checked_join(df: DataFrame, side: DataFrame, key: str, how: str, most: int = 300_000) -> DataFrame:
+    """Equi-join to a side with one row per key: broadcast where it has at most ``most`` rows, else
+    by shuffle, with hot keys apart. ``side`` is counted, so it should be a written table."""
+    if side.limit(most + 1).count() <= most:
+        return df.join(F.broadcast(side), key, how)
+    return join_hot(df, side, key, how)
+
+
 def within(df: DataFrame, ids: DataFrame, key: str, how: str, most: int = 300_000) -> DataFrame:
     """Semi- or anti-join; the ids are broadcast where they are at most ``most`` rows, else shuffled."""
     ids = ids.select(key).distinct()

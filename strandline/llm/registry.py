@@ -5,6 +5,7 @@ from __future__ import annotations
 from .op02_secrets import OP2_SQL, op2_secrets
 from .op03_quality import op3_quality
 from .op06_decontaminate import OP6_SQL, op6_decontaminate
+from .op07_vectors import OP7_SQL, op7_near_vectors
 from .op08_jaccard import op8_jaccard_join
 from .op10_bpe import op10_bpe
 
@@ -12,10 +13,12 @@ QUERIES = {
     "op2_secrets": op2_secrets,
     "op3_quality": op3_quality,
     "op6_decontaminate": op6_decontaminate,
+    "op7_near_vectors": op7_near_vectors,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_bpe": op10_bpe,
 }
 SQL = {
     "op2_secrets": OP2_SQL,
     "op6_decontaminate": OP6_SQL,
+    "op7_near_vectors": OP7_SQL,
 }
