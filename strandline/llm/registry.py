@@ -7,6 +7,7 @@ from .op03_quality import op3_quality
 from .op06_decontaminate import OP6_SQL, op6_decontaminate
 from .op07_vectors import OP7_SQL, op7_near_vectors
 from .op08_jaccard import op8_jaccard_join
+from .op09_toxicity import op9_toxicity
 from .op10_bpe import op10_bpe
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_near_vectors": op7_near_vectors,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
 SQL = {
