@@ -90,19 +90,19 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", sh
     others go by a shuffle join. Nothing is dropped; null keys match nothing.
     """
     hot = hot_keys(left, key, share, least) if hot is None else hot
-    if not hot:
+    if not hot and how != "left":
         return left.join(right, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(True))  # nulls, which match nothing, needn't meet in one task
     head = left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how)
     return head.unionByName(left.where(~is_hot).join(right.where(~is_hot), key, how))
 
 
-def checked_join(df: DataFrame, side: DataFrame, key: str, how: str, most: int = 300_000) -> DataFrame:
+def checked_join(df: DataFrame, side: DataFrame, key: str, how: str, most: int = 300_000, hot: list | None = None) -> DataFrame:
     """Equi-join to a side with one row per key: broadcast where it has at most ``most`` rows, else
     by shuffle, with hot keys apart. ``side`` is counted, so it should be a written table."""
     if side.limit(most + 1).count() <= most:
         return df.join(F.broadcast(side), key, how)
-    return join_hot(df, side, key, how)
+    return join_hot(df, side, key, how, hot=hot)
 
 
 def within(df: DataFrame, ids: DataFrame, key: str, how: str, most: int = 300_000) -> DataFrame:

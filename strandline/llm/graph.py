@@ -13,8 +13,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternating small-star and large-star steps (Kiveris and others, 2014) on
     edges from a larger to a smaller node. Each round is written to shared
-    storage, which cuts lineage; the driver sees two numbers a round. Stars with
-    a hot centre are joined by broadcasting the few hot centres' rows.
+    storage, which cuts lineage; the driver sees two numbers a round. Minima are
+    broadcast where they are few; else hot centres of stars are joined apart.
     Self-loops, repeated edges and edges with nulls add nothing; no edges give
     no rows.
     """
@@ -22,14 +22,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = C.written(now, "edges")
     state = _state(now)
     while state[0]:
-        least = now.groupBy("a").agg(F.min("b").alias("m"))
-        joined = C.join_hot(now, least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = C.written(joined.unionByName(least.withColumnRenamed("m", "b")).distinct(), "small")
-        up = small.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "b")
-        large = C.join_hot(small, up, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
-        after = C.written(large, "edges")
-        C.drop_written(small)
-        C.drop_written(now)
+        least = C.written(now.groupBy("a").agg(F.min("b").alias("m")), "least")
+        aside = C.checked_join(now, least, "a", "inner").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = C.written(aside.unionByName(least.withColumnRenamed("m", "b")), "small")
+        up = C.written(small.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), "m"), "up")
+        after = C.written(C.checked_join(small, up, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct(), "edges")
+        for used in (least, small, up, now):
+            C.drop_written(used)
         now, before = after, state
         state = _state(now)
         if state == before:

@@ -177,13 +177,13 @@ def _units(members: DataFrame, similarity: float) -> DataFrame:
     members = members.withColumn("w", F.greatest("n", F.lit(LEAST))).withColumn("tier", tier)
     size = F.greatest(F.lit(BLOCK[0]), F.least(F.lit(BLOCK[1]), F.floor(F.col("s") / 8)))
     tiers = members.groupBy("component", "tier").agg(F.sum("w").alias("s"))
-    tiers = tiers.select("component", "tier", "s", F.ceil(F.col("s") / size).cast("int").alias("blocks"))
-    whole = tiers.groupBy("component").agg(
-        F.sum("s").alias("s"), F.map_from_entries(F.collect_list(F.struct("tier", "blocks"))).alias("tiers")
-    )  # at most a few hundred tiers a component
-    members = C.join_hot(members, whole, "component")
+    whole = tiers.groupBy("component").agg(F.sum("s").alias("s"), F.collect_list(F.struct("tier", "s")).alias("t")).where(F.col("s") > BLOCK[0])
+    size = F.greatest(F.lit(BLOCK[0]), F.least(F.lit(BLOCK[1]), F.floor(F.col("s") / 8)))
+    dealt = F.transform("t", lambda t: F.struct(t["tier"].alias("tier"), F.ceil(t["s"] / size).cast("int").alias("blocks")))
+    whole = C.written(whole.select("component", F.map_from_entries(dealt).alias("tiers")), "large")  # a few hundred tiers at most
+    members = C.checked_join(members, whole, "component", "left")
     blocks = lambda t: F.coalesce(F.try_element_at("tiers", t), F.lit(0))
-    own = F.pmod(F.xxhash64("rep"), blocks(F.col("tier"))).cast("int")
+    own = F.pmod(F.xxhash64("rep"), F.greatest(blocks(F.col("tier")), F.lit(1))).cast("int")
     members = members.withColumn("own", own)
     name = lambda t, i, u, j: F.concat_ws(":", "component", t, i, u, j)
     unit = lambda key, side: F.struct(key.alias("unit"), side.cast("int").alias("side"))
@@ -193,7 +193,7 @@ def _units(members: DataFrame, similarity: float) -> DataFrame:
     above = F.transform(upto(t + 1), lambda j: unit(name(t, i, t + 1, j), F.lit(False)))
     below = F.transform(upto(t - 1), lambda j: unit(name(t - 1, j, t, i), F.lit(True)))
     one = F.array(unit(F.col("component").cast("string"), F.lit(False)))
-    some = F.when(F.col("s") <= BLOCK[0], one).otherwise(F.concat(same, above, below))
+    some = F.when(F.col("tiers").isNull(), one).otherwise(F.concat(same, above, below))
     return members.select("rep", "copies", F.explode(some).alias("u")).select("rep", "copies", "u.unit", "u.side")
 
 
@@ -205,8 +205,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = C.written(docs.mapInArrow(_signatures, "doc_id long, set_id string, n long, keys array<long>"), "signatures")
-    known = signed.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
-    classes = known.groupBy("set_id").agg(
+    classes = signed.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")
     )
     classes = C.written(classes, "classes")
@@ -215,21 +214,24 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     total = shared.agg(F.sum("many")).first()[0] or 0
     hot = [r[0] for r in shared.where(F.col("many") > max(200, total // 512)).select("key").collect()]
     ties = C.join_hot(banded, shared, "key", hot=hot).where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    groups = components(ties)
-    members = classes.join(groups.withColumnRenamed("node", "rep"), "rep").select("rep", "copies", "n", "component")
+    groups = C.written(components(ties).withColumnRenamed("node", "rep"), "groups")
+    members = C.written(C.checked_join(classes.select("rep", "copies", "n"), groups, "rep", "inner"), "members")
     units = C.written(_units(members, similarity), "units")
-    texts = C.within(docs.where("doc_id IS NOT NULL"), units.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    texts = C.within(docs.where("doc_id IS NOT NULL"), members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     sets = texts.mapInArrow(_with_sets, "doc_id long, grams binary").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
     tasks = units.join(sets, "rep").repartition("unit").sortWithinPartitions("unit")
     found = C.written(tasks.mapInArrow(_compare, "rep long, links long, low long"), "links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     ends = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "rep")
-    done = classes.join(links, "rep", "left").join(ends, "rep", "left").select(
-        "set_id", F.coalesce("component", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
-    )
-    joined = C.join_hot(known.select("doc_id", "set_id"), C.written(done, "classed"), "set_id").select("doc_id", "class_id", "n_links")
-    rest = signed.where("set_id IS NULL OR doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return joined.unionByName(rest)
+    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    tied = C.written(links.join(ends, "rep", "left"), "tied")
+    more = C.checked_join(classes.select("set_id", "rep", "copies"), tied, "rep", "left").where("copies > 1 OR links IS NOT NULL")
+    more = more.select("set_id", F.coalesce("component", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "copies")
+    more = C.written(more, "classed")  # of all other documents each is a class of its own
+    hot = [r[0] for r in more.where(F.col("copies") > F.greatest(F.lit(200), F.lit(signed.count() // 512))).select("set_id").collect()]
+    out = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
+    out = C.checked_join(out, more.drop("copies"), "set_id", "left", hot=hot)
+    own = F.when(F.col("set_id").isNotNull(), F.col("doc_id"))
+    return out.select("doc_id", F.coalesce("class_id", own).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
