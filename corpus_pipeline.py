@@ -8,14 +8,13 @@ encoded. Each stage takes any columns beside those of ``documents`` along.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strandline.llm import common as C
 from strandline.llm.op02_secrets import redacted
 from strandline.llm.op03_quality import without_rejected
 from strandline.llm.op06_decontaminate import without_contaminated
 from strandline.llm.op08_jaccard import without_near_duplicates
-from strandline.llm.op10_bpe import decode, encode
+from strandline.llm.op10_bpe import digest
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +39,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the packed ids of each text, and the number and hashes that op10 gives."""
-    ids = encode(docs.select("doc_id", "text")).drop("text")
-    return decode(ids).select(
-        "doc_id", "ids", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    return digest(docs)
 
 
 STAGES = [

@@ -148,14 +148,14 @@ def _moments(batches):
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_statistics, T.StructType([docs.schema["doc_id"], T.StructField("x", T.ArrayType(T.DoubleType()))]))
+    return docs.select("doc_id", "text").mapInArrow(C.tidied(_statistics), T.StructType([docs.schema["doc_id"], T.StructField("x", T.ArrayType(T.DoubleType()))]))
 
 
 def fit(stats: DataFrame, labels: DataFrame, name: str = "quality", folds: int = FOLDS) -> Discriminant:
     """Learn from the labelled rows that aren't held out; the driver gets the moments alone."""
     d = len(FEATURES)
     rows = stats.where(~in_fold(F.col("doc_id"), folds)).join(labelled(labels, name), "doc_id").select("x", "label")
-    sums = rows.mapInArrow(_moments, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+    sums = rows.mapInArrow(C.tidied(_moments), "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(2 * (1 + d + d * d))
     for at, v in sums:
         out[at] = v
@@ -176,7 +176,7 @@ def with_score(frame: DataFrame, model: Discriminant, *, text_col: str | None =
             for part, offsets, raw in C.slices(batch, text_col):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(statistics(offsets, raw)))], [*part.schema.names, name])
 
-    return frame.mapInArrow(run, C.with_fields(frame.schema, (name, T.DoubleType())))
+    return frame.mapInArrow(C.tidied(run), C.with_fields(frame.schema, (name, T.DoubleType())))
 
 
 def without_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

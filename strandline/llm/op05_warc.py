@@ -170,7 +170,7 @@ def _members(batches):
 
 def write_archives(rows: DataFrame, path: str) -> None:
     """Write typed pages as archives below ``path``, one a partition, of 20,000 records at most."""
-    members = rows.mapInArrow(_members, "value binary").select(F.col("value").cast("string").alias("value"))
+    members = rows.mapInArrow(C.tidied(_members), "value binary").select(F.col("value").cast("string").alias("value"))
     members.write.option("lineSep", _EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 20_000).text(path)
 
 
@@ -210,13 +210,13 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     schema = "path string, begin long, end long, gap string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
     if payloads:
-        return files.mapInArrow(_records, schema)
+        return files.mapInArrow(C.tidied(_records), schema)
 
     def without(batches):
         for batch in _records(batches):
             yield batch.drop_columns(["payload"])
 
-    return files.mapInArrow(without, schema.removesuffix(", payload binary"))
+    return files.mapInArrow(C.tidied(without), schema.removesuffix(", payload binary"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,7 +191,7 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
                 columns = [pa.array(texts, pa.string()) if f == text_col else part.column(f) for f in schema.names]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(C.tidied(run), schema)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

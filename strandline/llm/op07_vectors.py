@@ -130,7 +130,7 @@ def _compare_of(threshold: float):
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(vec_id, n_links, component_id) for each row of ``vectors`` (vec_id, embedding)."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    rows = C.written(rows.mapInArrow(_classes, "vec_id long, class string, v binary"), "vectors")
+    rows = C.written(rows.mapInArrow(C.tidied(_classes), "vec_id long, class string, v binary"), "vectors")
     known = rows.where("class IS NOT NULL AND vec_id IS NOT NULL")
     classes = C.written(known.groupBy("class").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")), "classes")
     bits, tables = shape(classes.count(), threshold, recall)
@@ -149,7 +149,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     )
     tasks = full.withColumn("own", own).select("rep", "copies", "v", "codes", F.explode(unit).alias("u"))
     tasks = tasks.select("rep", "copies", "v", "codes", "u.unit", "u.side").repartition("unit").sortWithinPartitions("unit")
-    found = C.written(tasks.mapInArrow(_compare_of(threshold), "rep long, links long, low long"), "links")
+    found = C.written(tasks.mapInArrow(C.tidied(_compare_of(threshold)), "rep long, links long, low long"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     ends = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "rep")
     done = classes.join(links, "rep", "left").join(ends, "rep", "left").select(

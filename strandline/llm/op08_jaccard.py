@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     Both are null and 0 where there is nothing to compare.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = C.written(docs.mapInArrow(_signatures, "doc_id long, set_id string, n long, keys array<long>"), "signatures")
+    signed = C.written(docs.mapInArrow(C.tidied(_signatures), "doc_id long, set_id string, n long, keys array<long>"), "signatures")
     classes = signed.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")
     )
@@ -218,9 +218,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     members = C.written(C.checked_join(classes.select("rep", "copies", "n"), groups, "rep", "inner"), "members")
     units = C.written(_units(members, similarity), "units")
     texts = C.within(docs.where("doc_id IS NOT NULL"), members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_with_sets, "doc_id long, grams binary").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
+    sets = texts.mapInArrow(C.tidied(_with_sets), "doc_id long, grams binary").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
     tasks = units.join(sets, "rep").repartition("unit").sortWithinPartitions("unit")
-    found = C.written(tasks.mapInArrow(_compare, "rep long, links long, low long"), "links")
+    found = C.written(tasks.mapInArrow(C.tidied(_compare), "rep long, links long, low long"), "links")
     ends = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "rep")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     tied = C.written(links.join(ends, "rep", "left"), "tied")

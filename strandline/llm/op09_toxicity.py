@@ -81,7 +81,7 @@ def _trigrams(batches):
 
 def character_model(docs: DataFrame) -> np.ndarray:
     """Costs (negative log probabilities) of each letter after two others, from all words of ``docs``."""
-    rows = docs.select("text").mapInArrow(_trigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(C.tidied(_trigrams), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(_SYMBOLS**3)
     for code, k in rows:
         n[code] = k
@@ -346,7 +346,7 @@ def fit(docs: DataFrame, labels: DataFrame, name: str = "toxic", folds: int = FO
     prior = math.log((toxic + 0.5) / (other + 0.5))
 
     def counts(label: int, table: Table | None, vouch: bool = False) -> DataFrame:
-        found = train.where(F.col("label") == label).select("text").mapInArrow(_counter(costs, table, vouch), "hash long, level long, n long")
+        found = train.where(F.col("label") == label).select("text").mapInArrow(C.tidied(_counter(costs, table, vouch)), "hash long, level long, n long")
         return found.groupBy("hash", "level").agg(F.sum("n").alias("n"))
 
     least = max(2, math.ceil(HAVE * toxic))
@@ -380,7 +380,7 @@ def with_score(docs: DataFrame, model: Model, *, text_col: str = "text", name: s
             for part, offsets, raw in C.slices(batch, text_col):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(offsets, raw))], [*part.schema.names, name])
 
-    return docs.mapInArrow(run, C.with_fields(docs.schema, (name, T.DoubleType())))
+    return docs.mapInArrow(C.tidied(run), C.with_fields(docs.schema, (name, T.DoubleType())))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,9 @@ whole; extra columns pass through, and clashing names get underscores in front.
 from __future__ import annotations
 
 import json
+import sys
 import unicodedata
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -29,8 +31,9 @@ from pyspark.sql import types as T
 from . import common as C
 
 #: Distinct chunks and pairs that a worker remembers before it forgets all.
-REMEMBER = 300_000
+REMEMBER = 120_000
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_LITTLE = array("I").itemsize == 4 and sys.byteorder == "little"
 _BLANK = regex.compile("[\t-\r ]+")
 
 
@@ -78,7 +81,7 @@ class Encoder:
             spelled.append(spelled[x] + spelled[y])
             self.split.append((x, y))
             self.pairs[x, y] = k
-        self.outer = np.zeros(len(spelled), np.uint32)
+        self.outer = [0] * len(spelled)
         for t, k in own.items():
             self.outer[k] = vocab[t]
         self.size = [len(s) for s in spelled]
@@ -164,12 +167,15 @@ class Encoder:
         """The ids, as little-endian 32-bit numbers, of a text without special tokens."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        out = []
-        for piece in self.pieces.findall(text.lower()):
+        text = text.lower()
+        pieces = [text] if text.isalpha() else self.pieces.findall(text)
+        out: list[int] = []
+        inner, outer = self.inner, self.outer
+        for piece in pieces:
             raw = piece.encode()
-            inner = self.inner
-            out.append(self.outer[self.merge("".join([inner[b] for b in raw[:-1]]) + self.last[raw[-1]])])
-        return np.concatenate(out).astype("<u4").tobytes() if out else b""
+            last = len(raw) - 1
+            out += [outer[k] for k in self.merge("".join([inner[b] for b in raw[:last]]) + self.last[raw[last]])]
+        return array("I", out).tobytes() if _LITTLE else np.array(out, "<u4").tobytes()
 
     def remembered(self, text: str) -> bytes:
         if (ids := self.known.get(text)) is None:
@@ -211,29 +217,34 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, tuple] = {}
 
 
 def _vocabulary(spark: SparkSession, path: str | None):
     return spark.sparkContext.broadcast(load_vocabulary(path or default_path()))
 
 
-def encode(docs: DataFrame, path: str | None = None, *, text_col: str = "text", name: str = "ids") -> DataFrame:
-    """``docs`` with the ids of every whole text, packed as little-endian unsigned 32-bit numbers."""
+def encode(docs: DataFrame, path: str | None = None, *, text_col: str = "text", name: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with the ids of every whole text, packed as little-endian unsigned 32-bit numbers, and, where
+    ``decoded`` names a column, with what they decode to, in one pass."""
     said = _vocabulary(docs.sparkSession, path)
     key = path or default_path()
     name = C.free_name(docs.columns, name)
+    names = [name] if decoded is None else [name, C.free_name([*docs.columns, name], decoded)]
 
     def run(batches):
         for batch in batches:
             if key not in _encoders:
                 _encoders.clear()
-                _encoders[key] = Encoder(said.value)
+                _encoders[key] = Encoder(said.value), Decoder(said.value)
+            encoder, decoder = _encoders[key]
             for part, offsets, raw in C.slices(batch, text_col):
-                ids = _encoders[key].column(offsets, raw)
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, name])
+                ids = encoder.column(offsets, raw)
+                more = [ids] if decoded is None else [ids, decoder.column(ids)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, *names])
 
-    return docs.mapInArrow(run, C.with_fields(docs.schema, (name, T.BinaryType())))
+    kinds = zip(names, (T.BinaryType(), T.StringType()), strict=False)
+    return docs.mapInArrow(C.tidied(run), C.with_fields(docs.schema, *kinds))
 
 
 def unpacked(ids) -> F.Column:
@@ -278,17 +289,17 @@ def decode(frame: DataFrame, path: str | None = None, *, ids_col: str = "ids", n
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, table.column(ids.slice(a, b - a))], [*part.schema.names, name])
 
-    return frame.mapInArrow(run, C.with_fields(frame.schema, (name, T.StringType())))
+    return frame.mapInArrow(C.tidied(run), C.with_fields(frame.schema, (name, T.StringType())))
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Number and hashes of the ids of each document and of the text that they decode to."""
-    back = decode(encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    """Packed ids of each document, their number and hash, and the hash of the text that they decode to."""
+    back = encode(docs.select("doc_id", "text"), path, decoded="decoded")
     return back.select(
-        "doc_id", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"),
+        "doc_id", "ids", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(C.table(spark, sf_dir, "documents"))
+    return digest(C.table(spark, sf_dir, "documents")).drop("ids")
