@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .op01_lm import op1_lm_score
 from .op02_secrets import OP2_SQL, op2_secrets
 from .op03_quality import op3_quality
 from .op04_chat import OP4_SQL, op4_chat
@@ -13,6 +14,7 @@ from .op09_toxicity import op9_toxicity
 from .op10_bpe import op10_bpe
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_secrets": op2_secrets,
     "op3_quality": op3_quality,
     "op4_chat": op4_chat,
