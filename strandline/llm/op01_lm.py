@@ -510,7 +510,9 @@ def _trainer_of(shared, weights, seed: int, rate: float):
         n = int(valid.sum())
         if not n:
             return
-        new, loss = train(weights, model.attention.prior, model.attention.classes, x, t, seed, rate)
+        new, loss = weights, 0.0
+        for again in range(max(1, min(6, PORTION // len(x)))):  # a small corpus is gone over again
+            new, loss = train(new, model.attention.prior, model.attention.classes, x, t, seed + 100 * again, rate)
         model.attention.__dict__.update(new)
         some = np.random.default_rng(seed).permutation(len(x))[:512]
         share = _shares(model, x[some], t[some], gram[some], lead[some])
