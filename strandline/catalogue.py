@@ -2,32 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import bytewise, coding, dictionaries, grids, planes, series, sets, training  # noqa: F401 - they register
+from .registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def load(spark: SparkSession, sf_dir: str, *names: str) -> None:
-    """Make tables of a folder known to SQL as temporary views."""
-    for name in names:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-
-
-def _delta_bucket_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    load(spark, sf_dir, "events")
-    return spark.sql("""
-        WITH s AS (SELECT user_id, event_id, CAST(round(value * 100) AS BIGINT) AS v FROM events),
-        d AS (SELECT v - coalesce(lag(v) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS d FROM s),
-        u AS (SELECT shiftleft(d, 1) ^ shiftright(d, 63) AS u FROM d)
-        SELECT CAST(CASE WHEN u = 0 THEN 0 ELSE length(bin(u)) END AS BIGINT) AS k, count(*) AS n FROM u GROUP BY 1""")
-
-
-QUERIES["delta_bucket_hist"] = _delta_bucket_hist
-SQL["delta_bucket_hist"] = """
-WITH s AS (SELECT user_id, event_id, CAST(round(value * 100) AS BIGINT) AS v FROM events),
-d AS (SELECT v - coalesce(lag(v) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS d FROM s),
-u AS (SELECT CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END AS u FROM d)
-SELECT CAST(CASE WHEN u = 0 THEN 0 ELSE length(bin(u)) END AS BIGINT) AS k, count(*) AS n FROM u GROUP BY 1"""
+__all__ = ["QUERIES", "SQL"]
