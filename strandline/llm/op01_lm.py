@@ -102,6 +102,39 @@ def _split(offsets: np.ndarray, raw: np.ndarray):
     return words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary, begin
 
 
+class Lookup:
+    """Places of strings in a fixed column, by sorted 64-bit hashes; what is found is compared."""
+
+    def __init__(self, words: pa.Array):
+        self.words = words
+        hashes = string_hashes(words)
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+
+    def __call__(self, some: pa.Array) -> np.ndarray:
+        """The place of each string, or -1."""
+        if not len(self.hashes) or not len(some):
+            return np.full(len(some), -1)
+        hashes = string_hashes(some)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        place = np.where(self.hashes[at] == hashes, self.order[at], 0)
+        same = pc.equal(some, self.words.take(pa.array(place))).to_numpy(zero_copy_only=False)
+        return np.where(same, place, -1)
+
+
+def string_hashes(column: pa.Array) -> np.ndarray:
+    offsets, raw = C.strings(column)
+    data = raw[int(offsets[0]) : int(offsets[-1])]
+    at = offsets - offsets[0]
+    out = np.empty(len(column), np.uint64)
+    for a, b in C.pieces(at):
+        part, begin = data[at[a] : at[b]], at[a : b + 1] - at[a]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * C._power("m", len(part)), out=sums[1:])
+        out[a:b] = (sums[begin[1:]] - sums[begin[:-1]]) * C._power("i", len(part) + 1)[begin[:-1]] + np.diff(begin).astype(np.uint64)
+    return C.mix(out)
+
+
 def _merge(held: list[pa.Table]) -> pa.Table:
     return pa.concat_tables(held).group_by("s", use_threads=False).aggregate([("n", "sum")]).rename_columns(["s", "n"])
 
@@ -230,13 +263,16 @@ class Ngrams:
         two = self._with(self.two, y * self.base + z, self.uni[z])
         return np.log(self._with(self.three, (x * self.base + y) * self.base + z, two))
 
+    def two_log(self, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+        return np.log(self._with(self.two, y * self.base + z, self.uni[z]))
+
     def bigrams(self) -> np.ndarray:
         """Probability of every piece, and of the word's end, after every piece."""
         keys, n, contexts, total, kinds = self.two
         b = self.base
-        out = np.tile(self.uni, (b, 1))
-        out[contexts] = DISCOUNT * (kinds / total)[:, None] * self.uni
-        out[keys // b, keys % b] += np.maximum(n - DISCOUNT, 0) / total[np.searchsorted(contexts, keys // b)]
+        out = np.tile(self.uni.astype(np.float32), (b, 1))
+        out[contexts] = (DISCOUNT * kinds / total).astype(np.float32)[:, None] * self.uni.astype(np.float32)
+        out[keys // b, keys % b] += (np.maximum(n - DISCOUNT, 0) / total[np.searchsorted(contexts, keys // b)]).astype(np.float32)
         return out[:-1]
 
 
@@ -360,54 +396,60 @@ class Model:
         self.pieces, self.ngrams, self.attention = Pieces(said), ngrams, attention
         self.set_shares(shares)
         self.end = self.pieces.size
-        follow = ngrams.bigrams()
-        # what a class member's share is: bigram probability over that of its class
-        self.follow = np.log(follow).astype(np.float32)
 
     def set_shares(self, shares) -> None:
-        self.mix = np.log(np.clip(np.array(shares), 1e-6, 1 - 1e-6))
-        self.rest = np.log1p(-np.clip(np.array(shares), 1e-6, 1 - 1e-6))
+        shares = np.clip(np.array(shares), 1e-6, 1 - 1e-6)
+        self.mix, self.rest = np.log(shares).astype(np.float32), np.log1p(-shares).astype(np.float32)
 
     def lexicon(self, words: list[str]):
-        """Pieces of words, their n-gram logarithms (the first's is that of a first piece), and those of the words' ends."""
+        """Pieces of words and where words begin; logarithms of trigrams and of bigrams for the pieces (the first's is
+        that of a first piece), each with those of the words' ends."""
         ids, begin = self.pieces.words(words)
-        x, y, z, owner = _contexts(ids, begin, self.end)
-        logs = self.ngrams.log(x, y, z)
-        out = np.empty(len(ids))
-        out[begin[:-1]] = self.ngrams.first[ids[begin[:-1]]]
+        x, y, z, _ = _contexts(ids, begin, self.end)  # word by word: pieces after the first, then the end
         ends = z == self.end
         inner = np.ones(len(ids), bool)
         inner[begin[:-1]] = False
-        # contexts come word by word: pieces after the first, then the end
-        out[inner] = logs[~ends]
-        return ids, begin, out.astype(np.float32), logs[ends].astype(np.float32)
-
-    def stream(self, ids, begin, logs, ends, codes: np.ndarray, starts: np.ndarray):
-        """Input pieces, targets, n-gram logarithms, whether a target begins a word, and rows, for rows of words."""
+        out = [ids, begin]
+        for logs in (self.ngrams.log(x, y, z), self.ngrams.two_log(y, z)):
+            whole = np.empty(len(ids), np.float32)
+            whole[begin[:-1]] = self.ngrams.first[ids[begin[:-1]]]
+            whole[inner] = logs[~ends]
+            out += [whole, logs[ends].astype(np.float32)]
+        return out
+
+    def stream(self, lex, codes: np.ndarray, starts: np.ndarray):
+        """Input pieces, targets, trigram and bigram logarithms, whether a target begins a word, and rows, for rows of words."""
+        ids, begin, *logs = lex
         rows = len(starts) - 1
         size = np.diff(begin)[codes]
         total = np.concatenate([[0], np.cumsum(size)])
-        take = np.repeat(begin[codes] - total[:-1], size) + np.arange(int(total[-1]))
-        doc = np.repeat(np.arange(rows), np.diff(total[starts]))
+        take = np.repeat(begin[codes] - total[:-1], size)
+        take += np.arange(int(total[-1]))
+        pieces = np.diff(total[starts])
         n = int(total[-1]) + rows
-        place = np.arange(len(take)) + doc  # targets: a row's pieces, then its end
-        target, gram = np.full(n, self.end, np.int64), np.full(n, self.ngrams.first[-1], np.float32)
-        target[place], gram[place] = ids[take], logs[take]
+        place = np.arange(len(take))  # targets: a row's pieces, then its end
+        place += np.repeat(np.arange(rows), pieces)
+        target = np.full(n, self.end, np.int32)
+        target[place] = ids[take]
         lead = np.ones(n, bool)
-        opens = np.zeros(len(take), bool)
-        opens[total[:-1]] = True
-        lead[place] = opens
+        lead[place] = False
+        opens = total[:-1] + np.repeat(np.arange(rows), np.diff(starts))
+        lead[opens] = True
         # a word's end goes to what begins after it: the next word's first piece, or the text's end
-        row_of_word = np.repeat(np.arange(rows), np.diff(starts))
-        gram[total[1:] + row_of_word] += ends[codes]
-        row = np.repeat(np.arange(rows), np.diff(total[starts]) + 1)
-        source = np.empty(n, np.int64)
+        closes = total[1:] + np.repeat(np.arange(rows), np.diff(starts))
+        out = []
+        for whole, ends in (logs[:2], logs[2:]):
+            gram = np.full(n, self.ngrams.first[-1], np.float32)
+            gram[place] = whole[take]
+            gram[closes] += ends[codes]
+            out.append(gram)
+        source = np.empty(n, np.int32)
         source[1:] = target[:-1]
         source[total[starts[:-1]] + np.arange(rows)] = self.end  # as input: the begin
-        return source, target, gram, lead, row
+        return source, target, *out, lead, np.repeat(np.arange(rows), pieces + 1)
 
-    def attended(self, source, target, lead, row) -> np.ndarray:
-        """Logarithms of the attention model's probabilities of the targets."""
+    def attended(self, source, target, member, row) -> np.ndarray:
+        """Logarithms of the attention model's probabilities of the targets; ``member``: their bigram logarithms."""
         net, n = self.attention, len(source)
         blocks = -(-n // STRIDE)
         pad = blocks * STRIDE - n
@@ -446,30 +488,27 @@ class Model:
             np.minimum(logits, 60, out=logits)
             np.exp(logits, out=logits)
             out[here] = top - np.log(logits @ many)
-        return self.whole(out[:n], source, target, lead)
-
-    def whole(self, logs: np.ndarray, source, target, lead) -> np.ndarray:
-        """From the logarithms of the targets' classes those of the targets: a member's share of its class is as by bigrams."""
-        begin = source == self.end
-        of = np.where(begin, 0, source)
-        opening = self.ngrams.first[np.where(lead, target, 0)] + np.where(begin, 0, self.follow[of, self.end])
-        member = np.where(lead, opening, self.follow[of, np.where(lead, 0, target)])
-        return logs + member - self.attention.prior[source, self.attention.classes[target]]
+        goal = net.classes[target]
+        return out[:n] + member - net.prior[source, goal]
 
-    def tokens(self, source, target, gram, lead, row) -> np.ndarray:
-        kind = lead.astype(np.int64)
-        return np.logaddexp(self.mix[kind] + self.attended(source, target, lead, row), self.rest[kind] + gram)
+    def tokens(self, source, target, gram, member, lead, row) -> np.ndarray:
+        """Logarithms of the mixture for every target."""
+        attended = self.attended(source, target, member, row)
+        attended += np.where(lead, self.mix[1], self.mix[0])
+        other = gram + np.where(lead, self.rest[1], self.rest[0])
+        top = np.maximum(attended, other)
+        np.minimum(attended, other, out=other)
+        other -= top
+        return top + np.log1p(np.exp(other, out=other))
 
 
-def class_prior(ngrams: Ngrams, classes: np.ndarray, first: np.ndarray, isfirst: np.ndarray, n: int = CLASSES) -> np.ndarray:
+def class_prior(follow: np.ndarray, classes: np.ndarray, first: np.ndarray, n: int = CLASSES) -> np.ndarray:
     """Logarithm of each class's bigram probability after each piece, and at a text's begin (last row)."""
-    size = len(isfirst)
-    follow = ngrams.bigrams()
+    size = len(follow)
     begin = np.bincount(classes, weights=np.exp(first), minlength=n)
     out = np.empty((size + 1, n))
     for c in range(n):
-        some = np.flatnonzero(classes[:size] == c)
-        out[:size, c] = follow[:, some].sum(axis=1) + follow[:, size] * begin[c]
+        out[:size, c] = follow[:, np.flatnonzero(classes[:size] == c)].sum(axis=1) + follow[:, size] * begin[c]
     out[size] = begin
     return np.log(np.maximum(out, 1e-30)).astype(np.float32)
 
@@ -477,11 +516,11 @@ def class_prior(ngrams: Ngrams, classes: np.ndarray, first: np.ndarray, isfirst:
 # ------------------------------------------------------------------ training over the cluster
 
 def windows_of(model: Model, runs: list[str], flags: np.ndarray, length: int = 2 * STRIDE):
-    """Windows of input pieces, targets (-1: none), n-gram logarithms and kinds from runs of words."""
+    """Windows of input pieces, targets (-1: none), trigram and bigram logarithms and kinds from runs of words."""
     starts = np.concatenate([[0], np.cumsum([len(r.split(" ")) if r else 0 for r in runs])]).astype(np.int64)
     words = [w for r in runs if r for w in r.split(" ")]
     lex = model.lexicon(words)
-    source, target, gram, lead, row = model.stream(*lex, np.arange(len(words)), starts)
+    source, target, gram, member, lead, row = model.stream(lex, np.arange(len(words)), starts)
     begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     size = np.diff(np.append(begin, len(row)))
     at = np.arange(length)[None, :]
@@ -491,7 +530,7 @@ def windows_of(model: Model, runs: list[str], flags: np.ndarray, length: int = 2
     t[(flags & 1) == 0, 0] = -1  # not the begin of a text
     last = (flags & 2) == 0
     t[last & (size <= length), np.minimum(size, length)[last & (size <= length)] - 1] = -1  # nor its end
-    return x, t, gram[place], lead[place]
+    return x, t, gram[place], member[place], lead[place]
 
 
 def _trainer_of(shared, weights, seed: int, rate: float):
@@ -505,7 +544,7 @@ def _trainer_of(shared, weights, seed: int, rate: float):
             flags += batch.column("n").to_pylist()
         if not runs:
             return
-        x, t, gram, lead = windows_of(model, runs, np.array(flags))
+        x, t, gram, member, lead = windows_of(model, runs, np.array(flags))
         valid = t >= 0
         n = int(valid.sum())
         if not n:
@@ -515,7 +554,7 @@ def _trainer_of(shared, weights, seed: int, rate: float):
             new, loss = train(new, model.attention.prior, model.attention.classes, x, t, seed + 100 * again, rate)
         model.attention.__dict__.update(new)
         some = np.random.default_rng(seed).permutation(len(x))[:512]
-        share = _shares(model, x[some], t[some], gram[some], lead[some])
+        share = _shares(model, x[some], t[some], gram[some], member[some], lead[some])
         flat = np.concatenate([new[k].ravel() for k in Attention.NAMES] + [share.astype(np.float32).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([loss]), pa.array([(flat * np.float32(n)).tobytes()], pa.binary())], ["n", "loss", "w"])
 
@@ -525,7 +564,7 @@ def _trainer_of(shared, weights, seed: int, rate: float):
 _GRID = np.linspace(0.02, 0.98, 25)
 
 
-def _shares(model: Model, x, t, gram, lead) -> np.ndarray:
+def _shares(model: Model, x, t, gram, member, lead) -> np.ndarray:
     """Mean log-likelihood of each mixture share on some windows, for pieces within and at the begin of words."""
     seen, dist = _causal(x.shape[1], x.shape[1])
     out = np.zeros((2, len(_GRID)))
@@ -536,7 +575,8 @@ def _shares(model: Model, x, t, gram, lead) -> np.ndarray:
     top = row.max(axis=1, keepdims=True)
     log = row - top - np.log(np.exp(row - top).sum(axis=1, keepdims=True))
     s, goal = x[r, c], t[r, c]
-    attended = model.whole(log[np.arange(len(r)), model.attention.classes[goal]], s, goal, lead[r, c])
+    kinds = model.attention.classes[goal]
+    attended = log[np.arange(len(r)), kinds] + member[r, c] - model.attention.prior[s, kinds]
     for kind in (0, 1):
         some = lead[r, c] == bool(kind)
         for k, share in enumerate(_GRID):
@@ -552,11 +592,8 @@ def _model(shared: dict, weights: dict | None = None) -> Model:
     if key not in _models:
         _models.clear()
         ngrams = Ngrams(len(shared["said"][1]), *shared["ngrams"])
-        pieces = Pieces(shared["said"])
-        classes = classes_of(ngrams.bigrams(), np.exp(ngrams.first), pieces.first)
-        prior = class_prior(ngrams, classes, ngrams.first, pieces.first)
-        fresh = weights or shared["weights"]
-        _models[key] = Model(shared["said"], ngrams, Attention(dict(fresh), prior, classes), shared.get("shares", (0.5, 0.5)))
+        attention = Attention(dict(weights or shared["weights"]), shared["prior"], shared["classes"])
+        _models[key] = Model(shared["said"], ngrams, attention, shared.get("shares", (0.5, 0.5)))
     model = _models[key]
     if weights or "weights" in shared:
         model.attention.__dict__.update(weights or shared["weights"])
@@ -594,7 +631,12 @@ def fit(docs: DataFrame, training, path: str | None = None) -> dict:
         keys, n = np.array(t.column("key"), np.int64), np.array(t.column("n"), np.int64)
         order = np.argsort(keys)
         arrays += [keys[order], n[order]]
-    shared = {"key": C.uuid.uuid4().hex, "said": said, "ngrams": (*arrays, first)}
+    ngrams, own = Ngrams(size, *arrays, first), Pieces(said)
+    follow = ngrams.bigrams()
+    classes = classes_of(follow, np.exp(ngrams.first), own.first)
+    prior = class_prior(follow, classes, ngrams.first)
+    del follow
+    shared = {"key": C.uuid.uuid4().hex, "said": said, "ngrams": (*arrays, first), "classes": classes, "prior": prior}
     weights, shares = Attention.fresh(size, CLASSES), np.array([0.5, 0.5])
     runs = gathered.where("kind = 1").select("s", "n")
     if not runs.isEmpty():
@@ -602,7 +644,7 @@ def fit(docs: DataFrame, training, path: str | None = None) -> dict:
         trainers = max(1, min(TRAINERS, runs.count() // PORTION))
         sent = spark.sparkContext.broadcast(shared)
         for k, rate in enumerate(RATES):
-            dealt = runs.repartition(trainers, F.xxhash64("s", "n", F.lit(k)))
+            dealt = runs.repartition(trainers)
             told = dealt.mapInArrow(C.tidied(_trainer_of(sent, weights, k, rate)), "n long, loss double, w binary").collect()
             n = sum(r["n"] for r in told)  # a row from each trainer
             if not n:
@@ -637,27 +679,42 @@ def _first_counts(counted: DataFrame, pieces, size: int, ends: int) -> np.ndarra
     return out
 
 
+def _chosen(lexicon: list, known: np.ndarray, more: list) -> list:
+    """A lexicon of some words: those with a place in ``lexicon`` from there, the others from ``more`` in order."""
+    head = known >= 0
+    place = known[head]
+    size, first = np.empty(len(known), np.int64), np.zeros(len(known), np.int64)
+    size[head], size[~head] = np.diff(lexicon[1])[place], np.diff(more[1])
+    first[head] = lexicon[1][place]
+    begin = np.concatenate([[0], np.cumsum(size)])
+    old = np.repeat(head, size)
+    take = (np.repeat(first - begin[:-1], size) + np.arange(int(begin[-1])))[old]
+    out = [None, begin]
+    for k in (0, 2, 3, 4, 5):
+        words = k in (3, 5)  # a value for each word, else for each piece
+        whole = np.empty(len(known) if words else int(begin[-1]), lexicon[k].dtype)
+        whole[head if words else old] = lexicon[k][place if words else take]
+        whole[~(head if words else old)] = more[k]
+        if k:
+            out.append(whole)
+        else:
+            out[0] = whole
+    return out
+
+
 def _scorer_of(shared, head):
     def run(batches):
         model = _model(shared.value)
         words, counts, z, ends = head.value
         logs = np.log10((counts + 0.1) / z)
-        lexicon = model.lexicon(words.to_pylist())
+        lexicon, lookup = model.lexicon(words.to_pylist()), Lookup(words)
         for batch in batches:
             for part, offsets, raw in C.slices(batch, "text"):
                 codes, said, begin = _split(offsets, raw)
-                known = pc.index_in(said, words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-                rest = np.flatnonzero(known < 0)
-                more = model.lexicon(said.take(pa.array(rest)).to_pylist())
-                at = known.copy()
-                at[rest] = len(words) + np.arange(len(rest))
-                offset = len(lexicon[0])
-                lex = (
-                    np.concatenate([lexicon[0], more[0]]), np.concatenate([lexicon[1][:-1], more[1] + offset]),
-                    np.concatenate([lexicon[2], more[2]]), np.concatenate([lexicon[3], more[3]]),
-                )
-                stream = model.stream(*lex, at[codes], begin)
-                score = np.bincount(stream[4], weights=model.tokens(*stream), minlength=part.num_rows) / math.log(10)
+                known = lookup(said)
+                more = model.lexicon(said.filter(pa.array(known < 0)).to_pylist())
+                stream = model.stream(_chosen(lexicon, known, more), codes, begin)
+                score = np.bincount(stream[-1], weights=model.tokens(*stream), minlength=part.num_rows) / math.log(10)
                 is_head = known[codes] >= 0
                 row = np.repeat(np.arange(part.num_rows), np.diff(begin))
                 n_known = np.bincount(row[is_head], minlength=part.num_rows) + int(ends > 0)
@@ -682,7 +739,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every row of ``docs``."""
     spark = docs.sparkSession
     z = model["total"] + 0.1 * (model["distinct"] + 1)
-    sent = spark.sparkContext.broadcast({k: model[k] for k in ("key", "said", "ngrams", "weights", "shares")} | {"key": model["key"] + "s"})
+    sent = spark.sparkContext.broadcast({k: model[k] for k in ("key", "said", "ngrams", "classes", "prior", "weights", "shares")} | {"key": model["key"] + "s"})
     words = model["head"]
     head = spark.sparkContext.broadcast((words.column("w").combine_chunks(), np.array(words.column("n"), np.float64), z, model["ends"]))
     fields = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("tail", T.ArrayType(T.StringType())), ("often", T.ArrayType(T.LongType()))]
