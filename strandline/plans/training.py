@@ -1 +1,79 @@
-"""Queries."""
+"""Queries that train a text model on small messages and code with it."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import mining as M
+from ..operators import tokens as K
+from ..registry import query
+from ..sources.tables import table
+
+#: What a model is trained on: a bounded sample, in the order of digests, as a model is small by construction.
+SAMPLES, PATTERNS = 200, 64
+
+
+def train(messages: DataFrame, key: str, text: str, samples: int = SAMPLES) -> K.Model:
+    """A dictionary mined from a sample, and the frequencies under which the rest of the sample costs least."""
+    some = messages.where(F.col(text).isNotNull()).orderBy(F.sha2(F.col(text).cast("binary"), 256), key).limit(samples).select(key, text).persist()
+    top = M.patterns(some, key, text, PATTERNS, (4, 6, 8, 12, 16, 24, 32)).collect()
+    rows = [r[1].encode() for r in some.orderBy(key).collect()]
+    some.unpersist()
+    joined = b"".join(rows)
+    return K.train(rows, [bytes.fromhex(r["g"]) for r in top], [b"", joined[:512], joined[:2048]])
+
+
+def compressed(df: DataFrame, text: str, shared) -> DataFrame:
+    """``df`` with the text as bytes under a broadcast model."""
+
+    @F.pandas_udf("binary")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None else K.compress(v.encode(), shared.value, 32))
+
+    return df.withColumn("blob", run(text)).drop(text)
+
+
+def restored(df: DataFrame, text: str, shared) -> DataFrame:
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None else K.decompress(v, shared.value).decode())
+
+    return df.withColumn(text, run("blob")).drop("blob")
+
+
+@query("trained_codec_roundtrip", "SELECT event_id, props FROM events")
+def trained_codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages through a model trained on some of them, and back."""
+    t = table(spark, sf_dir, "events").select("event_id", "props")
+    shared = spark.sparkContext.broadcast(train(t, "event_id", "props"))
+    return restored(compressed(t, "props", shared), "props", shared)
+
+
+@query("trained_beats_untrained", "SELECT count(*) AS n, true AS smaller FROM events")
+def trained_beats_untrained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether messages take fewer bytes in all under a trained model than under none."""
+    t = table(spark, sf_dir, "events").select("event_id", "props")
+    trained, plain = spark.sparkContext.broadcast(train(t, "event_id", "props")), spark.sparkContext.broadcast(K.Model())
+    a, b = compressed(t, "props", trained), compressed(t, "props", plain)
+    sizes = a.select("event_id", F.length("blob").alias("a")).join(b.select("event_id", F.length("blob").alias("b")), "event_id")
+    return sizes.agg(F.count(F.lit(1)).alias("n"), (F.sum("a") < F.sum("b")).alias("smaller"))
+
+
+@query("optimal_parse", "SELECT count(*) AS n, true AS ok FROM benchmark")
+def optimal_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parse of least cost is never dearer than the greedy one, and both give the text back."""
+    t = table(spark, sf_dir, "benchmark")
+    shared = spark.sparkContext.broadcast(train(t, "item_id", "text", 40))
+
+    @F.pandas_udf("boolean")
+    def ok(x: pd.Series) -> pd.Series:
+        def one(v: str) -> bool:
+            m, d = shared.value, v.encode()
+            best, greedy = K.parse(d, m), K.parse(d, m, greedy=True)
+            return K.cost(best, m) <= K.cost(greedy, m) + 1e-6 and K.expand(best, m) == d == K.expand(greedy, m)
+
+        return x.map(one)
+
+    return t.agg(F.count(F.lit(1)).alias("n"), F.bool_and(ok("text")).alias("ok"))
