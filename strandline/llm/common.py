@@ -21,7 +21,20 @@ CHUNK_BYTES = 1 << 20
 _made: dict[str, str] = {}
 
 
+#: Bytes of an Arrow batch between Spark and its Python workers: what a task holds twice on either side.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of bytes in an Arrow batch: rows of long texts make large batches else."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "")
+    if now != f"{BATCH_BYTES}b":
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -57,6 +70,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to shared storage and read it again: it cuts lineage, survives
     lost executors, and gives later joins true sizes to choose a broadcast by."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
+import zlib
 from array import array
 
 import ahocorasick
@@ -30,8 +31,8 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-#: Distinct chunks and pairs that a worker remembers before it forgets all.
-REMEMBER = 120_000
+#: Distinct chunks and pairs that a worker remembers of late, and as many of before.
+REMEMBER = 60_000
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _LITTLE = array("I").itemsize == 4 and sys.byteorder == "little"
 _BLANK = regex.compile("[\t-\r ]+")
@@ -86,6 +87,7 @@ class Encoder:
             self.outer[k] = vocab[t]
         self.size = [len(s) for s in spelled]
         self.follows: dict[tuple[int, int], bool] = {}
+        self.followed: dict[tuple[int, int], bool] = {}
         # a token that its own letters do not merge to never comes out
         real = [k for k in range(len(spelled)) if self.size[k] == 1 or self.may_follow(*self.split[k], below=k)]
         ids = {spelled[k]: k for k in real}
@@ -105,12 +107,17 @@ class Encoder:
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.pieces = regex.compile(said["pattern"].replace(r"[^\s", f"[^{_SPACE}"))
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def may_follow(self, a: int, b: int, below: int | None = None) -> bool:
         """Whether a and b stay two tokens; with ``below``, until the merge that makes ``below``."""
         key = (a, b)
-        if below is None and (known := self.follows.get(key)) is not None:
-            return known
+        if below is None:
+            if (known := self.follows.get(key)) is not None:
+                return known
+            if (known := self.followed.get(key)) is not None:
+                self._follow(key, known)
+                return known
         limit, fits = (1 << 62) if below is None else below, True
         while True:
             if (made := self.pairs.get((a, b))) is not None and made < limit:
@@ -129,11 +136,14 @@ class Encoder:
                     if a == limit:
                         break
         if below is None:
-            if len(self.follows) >= REMEMBER:
-                self.follows.clear()
-            self.follows[key] = fits
+            self._follow(key, fits)
         return fits
 
+    def _follow(self, key: tuple[int, int], fits: bool) -> None:
+        if len(self.follows) >= REMEMBER:
+            self.follows, self.followed = {}, self.follows
+        self.follows[key] = fits
+
     def merge(self, word: str) -> list[int]:
         """Own ids of a piece that is spelled in symbols."""
         n = len(word)
@@ -179,10 +189,11 @@ class Encoder:
 
     def remembered(self, text: str) -> bytes:
         if (ids := self.known.get(text)) is None:
-            if len(self.known) >= REMEMBER:
-                self.known.clear()
-            ids = self.chunk(text)
+            if (ids := self.older.get(text)) is None:
+                ids = self.chunk(text)
             if len(text) < 64:
+                if len(self.known) >= REMEMBER:
+                    self.known, self.older = {}, self.known
                 self.known[text] = ids
         return ids
 
@@ -221,7 +232,13 @@ _encoders: dict[str, tuple] = {}
 
 
 def _vocabulary(spark: SparkSession, path: str | None):
-    return spark.sparkContext.broadcast(load_vocabulary(path or default_path()))
+    """Broadcast as bytes: a worker keeps no second copy of the words once its tables stand."""
+    C.bounded_batches(spark)
+    return spark.sparkContext.broadcast(zlib.compress(json.dumps(load_vocabulary(path or default_path())).encode()))
+
+
+def _opened(said) -> dict:
+    return json.loads(zlib.decompress(said.value))
 
 
 def encode(docs: DataFrame, path: str | None = None, *, text_col: str = "text", name: str = "ids", decoded: str | None = None) -> DataFrame:
@@ -236,7 +253,9 @@ def encode(docs: DataFrame, path: str | None = None, *, text_col: str = "text",
         for batch in batches:
             if key not in _encoders:
                 _encoders.clear()
-                _encoders[key] = Encoder(said.value), Decoder(said.value)
+                whole = _opened(said)
+                _encoders[key] = Encoder(whole), Decoder(whole)
+                del whole
             encoder, decoder = _encoders[key]
             for part, offsets, raw in C.slices(batch, text_col):
                 ids = encoder.column(offsets, raw)
@@ -283,7 +302,7 @@ def decode(frame: DataFrame, path: str | None = None, *, ids_col: str = "ids", n
     def run(batches):
         table = None
         for batch in batches:
-            table = table or Decoder(said.value)
+            table = table or Decoder(_opened(said))
             ids = pc.fill_null(batch.column(ids_col), b"")
             for a, b in C.pieces(C.strings(ids.view(pa.string()))[0]):
                 part = batch.slice(a, b - a)
