@@ -28,8 +28,7 @@ BATCH_BYTES = 8 << 20
 def bounded_batches(spark: SparkSession) -> None:
     """Lower the session's limit of bytes in an Arrow batch: rows of long texts make large batches else."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, "")
-    if now != f"{BATCH_BYTES}b":
+    if spark.conf.get(name) != f"{BATCH_BYTES}b":
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
