@@ -40,7 +40,7 @@ from .op03_quality import in_fold
 FOLDS = 10
 PIECES, CLASSES, WIDTH, STRIDE = 4096, 96, 16, 16
 #: Words and trigrams that are broadcast at most.
-HEAD, TRIGRAMS = 400_000, 1_000_000
+HEAD, TRIGRAMS = 300_000, 600_000
 #: Of runs of so many words all train in a corpus of about ENOUGH characters, and ever fewer in larger
 #: ones, till it is one in SHARE, which grows with the corpus.
 RUN, SHARE, ENOUGH = 12, 64, 2_500_000
@@ -702,12 +702,17 @@ def _chosen(lexicon: list, known: np.ndarray, more: list) -> list:
     return out
 
 
+_heads: dict[str, tuple] = {}
+
+
 def _scorer_of(shared, head):
     def run(batches):
         model = _model(shared.value)
         words, counts, z, ends = head.value
-        logs = np.log10((counts + 0.1) / z)
-        lexicon, lookup = model.lexicon(words.to_pylist()), Lookup(words)
+        if (key := shared.value["key"]) not in _heads:  # once for a worker, not for each task
+            _heads.clear()
+            _heads[key] = model.lexicon(words.to_pylist()), Lookup(words), np.log10((counts + 0.1) / z)
+        lexicon, lookup, logs = _heads[key]
         for batch in batches:
             for part, offsets, raw in C.slices(batch, "text"):
                 codes, said, begin = _split(offsets, raw)
