@@ -532,12 +532,12 @@ def _npy_back(blob: bytes) -> bytes:
 
 def _fits(data: bytes) -> bytes:
     head, a, rest = read_fits(data)
-    return pack(head, image_encode(a), rest)
+    return pack(zlib.compress(head, 9), image_encode(a), zlib.compress(rest, 9))
 
 
 def _wav(data: bytes) -> bytes:
     head, pcm, rest, _ = read_wav(data)
-    return pack(head, audio_encode(pcm), rest)
+    return pack(zlib.compress(head, 9), audio_encode(pcm), zlib.compress(rest, 9))
 
 
 def _y4m(data: bytes) -> bytes:
@@ -552,9 +552,11 @@ def _y4m_back(blob: bytes) -> bytes:
 
 
 def _parts(decode):
+    """What stands around the samples is deflated."""
+
     def back(blob: bytes) -> bytes:
         head, body, rest = unpack(blob)
-        return head + decode(body).tobytes() + rest
+        return zlib.decompress(head) + decode(body).tobytes() + zlib.decompress(rest)
 
     return back
 

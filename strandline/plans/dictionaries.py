@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import dictionary as D
 from ..registry import query
@@ -22,7 +23,7 @@ def first_seen_dictionary(spark, sf_dir):
 _BITS = "CAST(CAST({} AS BIT) AS BIGINT)"
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def raw_bits(x: pd.Series) -> pd.Series:
     """The bit pattern of doubles: keeps negative zero and every NaN apart."""
     return pd.Series(x.to_numpy("float64").view("int64"))
