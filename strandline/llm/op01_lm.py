@@ -711,7 +711,7 @@ def _scorer_of(shared, head):
         words, counts, z, ends = head.value
         if (key := shared.value["key"]) not in _heads:  # once for a worker, not for each task
             _heads.clear()
-            _heads[key] = model.lexicon(words.to_pylist()), Lookup(words), np.log10((counts + 0.1) / z)
+            _heads[key] = model.lexicon(words.to_pylist()), Lookup(words), np.log10(np.append(counts + 0.1, 0.1) / z)  # the last: a word without a place
         lexicon, lookup, logs = _heads[key]
         for batch in batches:
             for part, offsets, raw in C.slices(batch, "text"):
@@ -723,8 +723,7 @@ def _scorer_of(shared, head):
                 is_head = known[codes] >= 0
                 row = np.repeat(np.arange(part.num_rows), np.diff(begin))
                 n_known = np.bincount(row[is_head], minlength=part.num_rows) + int(ends > 0)
-                unseen = math.log10(0.1 / z)
-                base = np.bincount(row, weights=np.where(is_head, logs[known[codes]], unseen), minlength=part.num_rows)
+                base = np.bincount(row, weights=logs[known[codes]], minlength=part.num_rows)
                 base = base + math.log10((ends + 0.1) / z)
                 key, times = np.unique(row[~is_head] * len(said) + codes[~is_head], return_counts=True) if len(said) else (np.zeros(0, np.int64),) * 2
                 cuts = np.searchsorted(key, np.arange(part.num_rows + 1) * max(1, len(said)))

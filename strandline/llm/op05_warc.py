@@ -12,8 +12,8 @@ logged as gaps.
 
 Defined cases: a null html is an empty payload; null urls give no target line;
 rows without a page id are written but can't be first of equal ones unless all
-lack it; repeated rows are records each, one of them the response; an empty
-table gives no records. Extra columns are not read.
+lack it; repeated rows are records each, all of one type; an empty table gives
+no records. Extra columns are not read.
 """
 
 from __future__ import annotations

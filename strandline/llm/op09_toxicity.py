@@ -74,7 +74,8 @@ def _trigrams(batches):
             where = np.repeat(w.start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
             line[where + place] = _CLASS[w.data[where]]
             code = (line[:-2] * _SYMBOLS + line[1:-1]) * _SYMBOLS + line[2:]
-            total += np.bincount(code, minlength=len(total))
+            between = (line[1:-1] == _EDGE) & (line[2:] == _EDGE)  # one word's end and the next one's begin
+            total += np.bincount(code[~between], minlength=len(total))
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["code", "n"])
 
