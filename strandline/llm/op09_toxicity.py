@@ -1,8 +1,8 @@
 """Toxicity by noisy-channel deobfuscation and learnt evidence.
 
 A character trigram model is counted over all documents. Words that may be
-disguised (digits or signs among letters, a letter three times running, letters
-spelled out one by one or with marks between) become lattices: each symbol may
+disguised (digits or signs among letters, a letter three times running, most letters
+twice, letters spelled out one by one or with marks between) become lattices: each symbol may
 stand for itself or, at a cost, for the letters it resembles, and a run for one
 letter or two. Viterbi search restores the likeliest word. Evidence are whole
 words and the beginnings of words, as written and as restored. Its weight is
@@ -44,7 +44,7 @@ LEVELS, RATE, LEAST, OTHERS = 4, 128, math.log(4), 0.1
 
 #: What each disguise may stand for, fixed values.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "{": "c", "<": "c"}
-LOOK_COST, SELF_COST, DOUBLE_COST = 1.5, 4.0, 1.0
+LOOK_COST, SELF_COST, DOUBLE_COST, HALF_COST = 1.5, 4.0, 1.0, 3.0
 _OTHER, _EDGE, _SYMBOLS = 26, 27, 28
 _LETTER = np.zeros(256, bool)
 _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
@@ -113,10 +113,11 @@ class Restorer:
                 one = [(c, 0.0)]
             else:
                 one = [(x, LOOK_COST) for x in LOOKS.get(c, "")] + [(c, SELF_COST)]
-            if n > 2:
-                out.append([(x, cost) for x, cost in one] + [(x + x, cost + DOUBLE_COST) for x, cost in one])
+            if n > 1:  # two may well be meant, more hardly
+                less, more = (HALF_COST, 0.0) if n == 2 else (0.0, DOUBLE_COST)
+                out.append([(x, cost + less) for x, cost in one] + [(x + x, cost + more) for x, cost in one])
             else:
-                out += [one] * n
+                out.append(one)
             k += n
         return out
 
@@ -175,8 +176,12 @@ def disguised(offsets: np.ndarray, data: np.ndarray) -> list[tuple[int, bytes]]:
     odd[2:] |= letter[2:] & (data[2:] == data[1:-1]) & (data[2:] == data[:-2])
     odd[1:-1] |= np.isin(data[1:-1], np.frombuffer(_BETWEEN, np.uint8)) & letter[:-2] & letter[2:]
     count = np.concatenate([[0], np.cumsum(odd)])
+    twice = np.zeros(n, bool)
+    twice[1:] = letter[1:] & (data[1:] == data[:-1])
+    pairs = np.concatenate([[0], np.cumsum(twice)])
     ends = b"!.,;:?*#%&)(\"'-$|+<{}[]/\\=_~"
-    for k in np.flatnonzero((count[end] > count[start]) & (end - start <= LONGEST)).tolist():
+    doubled = pairs[end] - pairs[start] >= np.maximum(3, (end - start) // 3)  # most letters come twice
+    for k in np.flatnonzero(((count[end] > count[start]) | doubled) & (end - start <= LONGEST)).tolist():
         word = data[start[k] : end[k]].tobytes().rstrip(ends).lstrip(b".,;:?*#%&)\"'-/\\=_~[]")
         parts = [p for p in word.translate(None, _BETWEEN).split(b" ") if p]
         spelled = all(len(p) <= 4 and len(p.decode("utf-8", "replace")) == 1 for p in _split(word))

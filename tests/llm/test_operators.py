@@ -166,9 +166,9 @@ def test_classifiers_odd_rows(spark):
     model = op09_toxicity.fit(docs, labels)
     rows = op09_toxicity.with_score(docs, model).collect()
     assert all((r["_score"] >= 0.5) == (r.doc_id >= 400) for r in rows if r.doc_id is not None and r.doc_id < 460)
-    hidden = ["a M0R0N here", "m o r o n", "m.o.r.o.n", "mooooron", "clean words", "m0ron!"]
+    hidden = ["a M0R0N here", "m o r o n", "m.o.r.o.n", "mooooron", "clean words", "m0ron!", "mmoorroonn"]
     got = [r["score"] >= 0.5 for r in op09_toxicity.with_score(_docs(spark, list(enumerate(hidden))).coalesce(1), model).orderBy("doc_id").collect()]
-    assert got == [True, True, True, True, False, True]
+    assert got == [True, True, True, True, False, True, True]
     assert op09_toxicity.with_score(docs.limit(0), op09_toxicity.fit(docs.limit(0), labels)).count() == 0
 
 
