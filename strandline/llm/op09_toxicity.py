@@ -44,7 +44,7 @@ LEVELS, RATE, LEAST, OTHERS = 4, 128, math.log(4), 0.1
 
 #: What each disguise may stand for, fixed values.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "{": "c", "<": "c"}
-LOOK_COST, SELF_COST, DOUBLE_COST, HALF_COST = 1.5, 4.0, 1.0, 3.0
+LOOK_COST, SELF_COST, DOUBLE_COST = 1.5, 4.0, 1.0
 _OTHER, _EDGE, _SYMBOLS = 26, 27, 28
 _LETTER = np.zeros(256, bool)
 _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
@@ -104,6 +104,7 @@ class Restorer:
     def options(self, word: str) -> list[list[tuple[str, float]]]:
         """For each run of one symbol, the letters that it may stand for with their costs."""
         out, k = [], 0
+        doubled = sum(a == b for a, b in zip(word, word[1:], strict=False)) * 3 >= len(word)
         while k < len(word):
             n = 1
             while k + n < len(word) and word[k + n] == word[k]:
@@ -113,11 +114,10 @@ class Restorer:
                 one = [(c, 0.0)]
             else:
                 one = [(x, LOOK_COST) for x in LOOKS.get(c, "")] + [(c, SELF_COST)]
-            if n > 1:  # two may well be meant, more hardly
-                less, more = (HALF_COST, 0.0) if n == 2 else (0.0, DOUBLE_COST)
-                out.append([(x, cost + less) for x, cost in one] + [(x + x, cost + more) for x, cost in one])
+            if n > 2 or (n == 2 and doubled):
+                out.append([(x, cost) for x, cost in one] + [(x + x, cost + DOUBLE_COST) for x, cost in one])
             else:
-                out.append(one)
+                out += [one] * n
             k += n
         return out
 
