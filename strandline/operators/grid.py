@@ -45,6 +45,30 @@ def _counts(lines: Column, d: str) -> Column:
     return F.transform(lines, lambda x: count_of(x, d))
 
 
+def delimiters(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, terminator, delimiter) of the texts that are grids.
+
+    Lines are counted as rows in generated code, and each text's least and
+    greatest counts are aggregated before the shuffle.
+    """
+    ends = count_of(F.col(text), "\n")
+    crlf = (ends > 0) & (count_of(F.col(text), "\r\n") == ends)
+    seen = df.select(key, F.col(text).alias("_t"), ends.alias("_e"), crlf.alias("_crlf")).where("_e >= 3")
+    rows = seen.select(key, "_crlf", "_e", F.posexplode(F.split("_t", "\n", -1)).alias("_i", "_l"))
+    rows = rows.where((F.col("_i") < F.col("_e")) | (F.col("_l") != ""))  # the piece after a last line end is no line
+    line = F.when(F.col("_crlf"), F.regexp_replace("_l", "\r$", "")).otherwise(F.col("_l"))
+    counts = rows.select(key, "_crlf", *[count_of(line, d).alias(f"_{k}") for k, d in enumerate(DELIMITERS)])
+    low = [F.min(f"_{k}").alias(f"a{k}") for k in range(len(DELIMITERS))]
+    high = [F.max(f"_{k}").alias(f"b{k}") for k in range(len(DELIMITERS))]
+    sums = counts.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first("_crlf").alias("_crlf"), *low, *high).where("_n >= 3")
+    found = None
+    for k, d in enumerate(DELIMITERS):
+        hit = (F.col(f"a{k}") == F.col(f"b{k}")) & (F.col(f"a{k}") >= 1)
+        found = F.when(hit, F.lit(d)) if found is None else found.when(hit, F.lit(d))
+    out = sums.select(key, F.when(F.col("_crlf"), "\r\n").otherwise("\n").alias("terminator"), found.alias("delimiter"))
+    return out.where(F.col("delimiter").isNotNull())
+
+
 def cells(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, row, col, cell) of the texts that are grids; the header is row 0."""
     found = df.select(key, layout(F.col(text)).alias("g")).where(F.col("g.terminator").isNotNull())

@@ -38,9 +38,8 @@ _LINES = (
 def delimiter_detect(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), "text")
     texts = _rendered(spark, sf_dir).select(F.concat(F.lit("o"), F.col("key").cast("string")).alias("key"), "text").unionByName(docs)
-    g = texts.select("key", G.layout(F.col("text")).alias("g")).where(F.col("g.terminator").isNotNull())
-    found = g.select("key", F.when(F.col("g.terminator") == "\r\n", "crlf").otherwise("lf").alias("terminator"), G.delimiter(F.col("g.lines")).alias("delimiter"))
-    return found.where(F.col("delimiter").isNotNull())
+    found = G.delimiters(texts, "key", "text")
+    return found.withColumn("terminator", F.when(F.col("terminator") == "\r\n", "crlf").otherwise("lf"))
 
 
 @query(

@@ -50,6 +50,8 @@ def test_detection_order_and_nulls(spark):
 
 def test_grid_cells_and_numbers(spark):
     rows = [(1, "a;b\r\n1.50;x\r\n-0.25;y\r\n"), (2, "a;b\n1;2;3\n4;5\n"), (3, "v|w\n01|1\n2|-0\n3|4"), (4, None)]
+    by_rows = {r.k: (r.terminator, r.delimiter) for r in grid.delimiters(spark.createDataFrame(rows, "k int, t string"), "k", "t").collect()}
+    assert by_rows == {1: ("\r\n", ";"), 3: ("\n", "|")}
     long = grid.cells(spark.createDataFrame(rows, "k int, t string"), "k", "t")
     assert {r.k for r in long.select("k").distinct().collect()} == {1, 3}
     kinds = {(r.k, r.col): (r.ndec, r.numeric) for r in grid.numeric_columns(long.where("row > 0"), ["k", "col"]).collect()}
