@@ -71,8 +71,10 @@ class Encoder:
         made = {a + b for a, b in merges}
         base = sorted((t for t in vocab if t not in made), key=vocab.get)
         own = {t: k for k, t in enumerate(base)}  # own ids are in the order of the merges
-        spelled = [chr(0x100 + k) for k in range(len(base))]
-        self.symbol = {t: spelled[k] for k, t in enumerate(base)}
+        symbols = byte_symbols()  # a byte within a piece is spelled as itself, a piece's last one 256 further
+        known = {c: chr(b) for b, c in enumerate(symbols)} | {c + suffix: chr(256 + b) for b, c in enumerate(symbols) if suffix}
+        spelled = [known.get(t) or chr(0x400 + k) for k, t in enumerate(base)]
+        self.shift = 256 if suffix else 0
         self.split = [(k, k) for k in range(len(base))]
         self.pairs: dict[tuple[int, int], int] = {}
         for a, b in merges:
@@ -86,23 +88,20 @@ class Encoder:
         for t, k in own.items():
             self.outer[k] = vocab[t]
         self.size = [len(s) for s in spelled]
-        self.follows: dict[tuple[int, int], bool] = {}
-        self.followed: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}
+        self.followed: dict[int, bool] = {}
         # a token that its own letters do not merge to never comes out
         real = [k for k in range(len(spelled)) if self.size[k] == 1 or self.may_follow(*self.split[k], below=k)]
         ids = {spelled[k]: k for k in real}
         self.shorter = [-1] * len(spelled)
-        self.matches = ahocorasick.Automaton()
+        self.matches = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for s, k in ids.items():
-            self.matches.add_word(s, (k, len(s)))
+            self.matches.add_word(s, k)
             for n in range(len(s) - 1, 0, -1):
                 if (p := ids.get(s[:n])) is not None:
                     self.shorter[k] = p
                     break
         self.matches.make_automaton()
-        symbols = byte_symbols()
-        self.inner = [self.symbol[c] for c in symbols]
-        self.last = [self.symbol[c + suffix] for c in symbols]
         self.special = said["special"]
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.pieces = regex.compile(said["pattern"].replace(r"[^\s", f"[^{_SPACE}"))
@@ -111,7 +110,7 @@ class Encoder:
 
     def may_follow(self, a: int, b: int, below: int | None = None) -> bool:
         """Whether a and b stay two tokens; with ``below``, until the merge that makes ``below``."""
-        key = (a, b)
+        key = a << 32 | b
         if below is None:
             if (known := self.follows.get(key)) is not None:
                 return known
@@ -139,7 +138,7 @@ class Encoder:
             self._follow(key, fits)
         return fits
 
-    def _follow(self, key: tuple[int, int], fits: bool) -> None:
+    def _follow(self, key: int, fits: bool) -> None:
         if len(self.follows) >= REMEMBER:
             self.follows, self.followed = {}, self.follows
         self.follows[key] = fits
@@ -148,29 +147,33 @@ class Encoder:
         """Own ids of a piece that is spelled in symbols."""
         n = len(word)
         longest = [-1] * (n + 1)
-        for end, (k, size) in self.matches.iter(word):
-            longest[end - size + 1] = k  # later ends give longer tokens
-        if self.size[longest[0]] == n:
-            return [longest[0]]
+        sizes, shorter, follows = self.size, self.shorter, self.follows
+        for end, k in self.matches.iter(word):
+            longest[end - sizes[k] + 1] = k  # later ends give longer tokens
+        token = longest[0]
+        if sizes[token] == n:
+            return [token]
         out: list[int] = []
-        open_at = bytearray(b"\x01") * (n + 1)
-        at, token = 0, longest[0]
-        sizes, shorter = self.size, self.shorter
+        closed: set[int] = set()  # ends from which there was no way on
+        at, before = 0, -1
         while at < n:
-            before = out[-1] if out else -1
             while True:
                 end = at + sizes[token]
-                if open_at[end] and (before < 0 or self.may_follow(before, token)):
-                    out.append(token)
-                    at, token = end, longest[end]
-                    break
+                if end not in closed:
+                    if before < 0 or (fits := follows.get(before << 32 | token)):
+                        break
+                    if fits is None and self.may_follow(before, token):
+                        follows = self.follows
+                        break
                 if shorter[token] >= 0:
                     token = shorter[token]
                     continue
-                open_at[at] = 0
+                closed.add(at)
                 token = out.pop()
                 at -= sizes[token]
-                break
+                before = out[-1] if out else -1
+            out.append(token)
+            before, at, token = token, end, longest[end]
         return out
 
     def chunk(self, text: str) -> bytes:
@@ -180,11 +183,10 @@ class Encoder:
         text = text.lower()
         pieces = [text] if text.isalpha() else self.pieces.findall(text)
         out: list[int] = []
-        inner, outer = self.inner, self.outer
+        outer, shift = self.outer, self.shift
         for piece in pieces:
             raw = piece.encode()
-            last = len(raw) - 1
-            out += [outer[k] for k in self.merge("".join([inner[b] for b in raw[:last]]) + self.last[raw[last]])]
+            out += [outer[k] for k in self.merge(raw[:-1].decode("latin-1") + chr(raw[-1] + shift))]
         return array("I", out).tobytes() if _LITTLE else np.array(out, "<u4").tobytes()
 
     def remembered(self, text: str) -> bytes:
