@@ -259,12 +259,10 @@ class Ngrams:
         long = (np.maximum(times - DISCOUNT, 0) + DISCOUNT * kinds[c] * short) / total[c]
         return np.where(seen, long, short)
 
-    def log(self, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    def logs(self, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithms of the trigram and the bigram probabilities."""
         two = self._with(self.two, y * self.base + z, self.uni[z])
-        return np.log(self._with(self.three, (x * self.base + y) * self.base + z, two))
-
-    def two_log(self, y: np.ndarray, z: np.ndarray) -> np.ndarray:
-        return np.log(self._with(self.two, y * self.base + z, self.uni[z]))
+        return np.log(self._with(self.three, (x * self.base + y) * self.base + z, two)), np.log(two)
 
     def bigrams(self) -> np.ndarray:
         """Probability of every piece, and of the word's end, after every piece."""
@@ -410,7 +408,7 @@ class Model:
         inner = np.ones(len(ids), bool)
         inner[begin[:-1]] = False
         out = [ids, begin]
-        for logs in (self.ngrams.log(x, y, z), self.ngrams.two_log(y, z)):
+        for logs in self.ngrams.logs(x, y, z):
             whole = np.empty(len(ids), np.float32)
             whole[begin[:-1]] = self.ngrams.first[ids[begin[:-1]]]
             whole[inner] = logs[~ends]
@@ -460,6 +458,7 @@ class Model:
         causal, distance = _causal(STRIDE, 2 * STRIDE)
         causal, bias = causal.astype(np.float32), net.bias[distance]
         scaled = net.q * np.float32(1 / math.sqrt(WIDTH))
+        own_logits = net.e @ net.w + net.prior  # what a query gives its logits whatever it attends to
         ones, many = np.ones(2 * STRIDE, np.float32), np.ones(net.w.shape[1], np.float32)
         mixed = np.flatnonzero(r[: blocks * STRIDE : STRIDE] != r[2 * STRIDE - 1 :: STRIDE])  # blocks of several rows
         step = 64  # what a step takes stays in the cache
@@ -480,9 +479,8 @@ class Model:
                 s[m - b] *= rows[None, :] == rows[STRIDE:, None]
             o = np.matmul(s, v).reshape(-1, WIDTH)
             o /= np.maximum(s.reshape(-1, 2 * STRIDE) @ ones, 1e-30)[:, None]
-            o += net.e[own]
             logits = o @ net.w
-            logits += net.prior[own]
+            logits += own_logits[own]
             here = slice(b * STRIDE, e * STRIDE)
             top = logits[np.arange(len(logits)), goal[here]]
             np.minimum(logits, 60, out=logits)
@@ -518,9 +516,10 @@ def class_prior(follow: np.ndarray, classes: np.ndarray, first: np.ndarray, n: i
 def windows_of(model: Model, runs: list[str], flags: np.ndarray, length: int = 2 * STRIDE):
     """Windows of input pieces, targets (-1: none), trigram and bigram logarithms and kinds from runs of words."""
     starts = np.concatenate([[0], np.cumsum([len(r.split(" ")) if r else 0 for r in runs])]).astype(np.int64)
-    words = [w for r in runs if r for w in r.split(" ")]
-    lex = model.lexicon(words)
-    source, target, gram, member, lead, row = model.stream(lex, np.arange(len(words)), starts)
+    words = pa.array([w for r in runs if r for w in r.split(" ")], pa.string()).dictionary_encode()
+    lex = model.lexicon(words.dictionary.to_pylist())
+    codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    source, target, gram, member, lead, row = model.stream(lex, codes, starts)
     begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     size = np.diff(np.append(begin, len(row)))
     at = np.arange(length)[None, :]
