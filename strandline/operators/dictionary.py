@@ -16,15 +16,16 @@ def sorted_dictionary(df: DataFrame, value: str) -> DataFrame:
     Codes come from ranges: each range partition numbers its own values, and
     the few partition sizes are carried, so no task holds all values.
     """
-    return _numbered(df.groupBy(value).agg(F.count(F.lit(1)).alias("n")), [value])
+    return numbered(df.groupBy(value).agg(F.count(F.lit(1)).alias("n")), [value])
 
 
 def first_seen_dictionary(df: DataFrame, value: str, order: str) -> DataFrame:
     """(value, code, first): distinct values in the order of their first row, numbered from 0."""
-    return _numbered(df.groupBy(value).agg(F.min(order).alias("first")), ["first"])
+    return numbered(df.groupBy(value).agg(F.min(order).alias("first")), ["first"])
 
 
-def _numbered(distinct: DataFrame, order: list[str]) -> DataFrame:
+def numbered(distinct: DataFrame, order: list[str]) -> DataFrame:
+    """Rows with a ``code`` from 0 in the given order, which must tell all rows apart."""
     spark = distinct.sparkSession
     dealt = distinct.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).persist()
     sizes = sorted(dealt.groupBy("_p").count().collect())  # one row a partition

@@ -4,28 +4,36 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Lags that are tried, the least length, and the share of equal bytes that a period must pass: fixed values.
 LAGS, LEAST, SHARE = 256, 64, 0.2
+#: Bytes from the begin that a period is looked for in, a fixed value: the sample is the feature.
+SAMPLE = 1 << 16
 
 
 def period(df: DataFrame, i: str = "i", v: str = "v") -> DataFrame:
     """(period, share): the lag at which most bytes of a sample repeat, the smallest of equals; no row if none passes.
 
-    A sample has a bounded size; each byte meets the 255 before it by an
-    equi-join on the lagged place.
+    The first 64 KiB are looked at, as one array: its size is bounded, whatever the table's.
     """
-    rows = df.select(F.col(i).alias("i"), F.col(v).alias("v"))
-    lagged = rows.select(F.explode(F.sequence(F.lit(2), F.lit(LAGS))).alias("p"), F.col("i"), F.col("v")).withColumn("at", F.col("i") - F.col("p"))
-    other = rows.select(F.col("i").alias("at"), F.col("v").alias("w"))
-    n = rows.agg(F.count(F.lit(1)).alias("n"))
-    met = lagged.where("at >= 0").join(other, "at")
-    share = met.groupBy("p").agg(F.avg((F.col("v") == F.col("w")).cast("double")).alias("share"))
-    kept = share.join(F.broadcast(n)).where((F.col("n") >= LEAST) & (F.col("p") <= F.floor(F.col("n") / 4)) & (F.col("share") > SHARE))
-    best = kept.orderBy(F.desc("share"), "p").limit(1)
-    return best.select(F.col("p").cast("long").alias("period"), F.round("share", 6).alias("share"))
+    whole = F.array_sort(F.collect_list(F.struct(F.col(i).alias("i"), F.col(v).alias("v"))))
+    sample = df.where(F.col(i) < SAMPLE).agg(F.transform(whole, lambda x: x["v"]).alias("x"))
+
+    @F.pandas_udf("struct<period:long,share:double>")
+    def best(x: pd.Series) -> pd.DataFrame:
+        out = []
+        for values in x:
+            a = np.asarray(values)
+            shares = [(float((a[p:] == a[:-p]).mean()), -p) for p in range(2, min(LAGS, len(a) // 4) + 1)] if len(a) >= LEAST else []
+            top = max(shares, default=(0.0, 0))
+            out.append((-top[1], round(top[0], 6)) if top[0] > SHARE else (None, None))
+        return pd.DataFrame(out, columns=["period", "share"])
+
+    return sample.select(best("x").alias("b")).select("b.*").where("period IS NOT NULL")
 
 
 def deinterleave(df: DataFrame, widths: list[int], i: str = "i", v: str = "v") -> DataFrame:

@@ -71,22 +71,23 @@ def block_sums(df: DataFrame, value: Column, size: int = 16) -> DataFrame:
     return df.groupBy(F.floor(F.col("y") / size).alias("by"), F.floor(F.col("x") / size).alias("bx")).agg(F.sum(value).alias("cost"))
 
 
-def motion(now: DataFrame, before: DataFrame, size: int = 16, reach: int = 8) -> DataFrame:
-    """(by, bx, dy, dx, sad): where each block of ``now`` has its least sum of absolute differences in ``before``.
+def motion(now: DataFrame, before: DataFrame, by: list[str] | None = None, size: int = 16, reach: int = 8) -> DataFrame:
+    """(by, block row, block column, dy, dx, sad): where each block of ``now`` has its least sum of absolute differences in ``before``.
 
     Displacements are tried row by row; of equals the first stays. Outside
     places are clamped. Every pixel meets its 2*reach+1 squared partners through
     an equi-join on the displaced place, summed before the shuffle by block.
     """
+    by = by or []
     edge = before.agg(F.max("y").alias("my"), F.max("x").alias("mx"))
     steps = F.sequence(F.lit(-reach), F.lit(reach))
-    moved = now.join(F.broadcast(edge)).select("y", "x", "v", "my", "mx", F.explode(steps).alias("dy")).select("*", F.explode(steps).alias("dx"))
+    moved = now.join(F.broadcast(edge)).select(*by, "y", "x", "v", "my", "mx", F.explode(steps).alias("dy")).select("*", F.explode(steps).alias("dx"))
     zero = F.lit(0).cast("long")
     moved = moved.withColumns({"ty": F.least("my", F.greatest(zero, F.col("y") + F.col("dy"))), "tx": F.least("mx", F.greatest(zero, F.col("x") + F.col("dx")))})
-    pairs = moved.join(before.select(F.col("y").alias("ty"), F.col("x").alias("tx"), F.col("v").alias("p")), ["ty", "tx"])
-    sums = pairs.groupBy(F.floor(F.col("y") / size).alias("by"), F.floor(F.col("x") / size).alias("bx"), "dy", "dx").agg(F.sum(F.abs(F.col("v") - F.col("p"))).alias("sad"))
+    pairs = moved.join(before.select(*by, F.col("y").alias("ty"), F.col("x").alias("tx"), F.col("v").alias("p")), [*by, "ty", "tx"])
+    sums = pairs.groupBy(*by, F.floor(F.col("y") / size).alias("by"), F.floor(F.col("x") / size).alias("bx"), "dy", "dx").agg(F.sum(F.abs(F.col("v") - F.col("p"))).alias("sad"))
     best = F.min(F.struct("sad", "dy", "dx")).alias("m")
-    return sums.groupBy("by", "bx").agg(best).select("by", "bx", F.col("m.dy").cast("long").alias("dy"), F.col("m.dx").cast("long").alias("dx"), F.col("m.sad").alias("sad"))
+    return sums.groupBy(*by, "by", "bx").agg(best).select(*by, "by", "bx", F.col("m.dy").cast("long").alias("dy"), F.col("m.dx").cast("long").alias("dx"), F.col("m.sad").alias("sad"))
 
 
 def modes(now: DataFrame, before: DataFrame, size: int = 16) -> DataFrame:

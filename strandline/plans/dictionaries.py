@@ -34,7 +34,7 @@ def _sorted(spark, sf_dir, name: str, column: str):
     t = table(spark, sf_dir, name).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     bits = t.select(raw_bits(F.col(column)).alias("bits"), "n")
     turned = bits.withColumn("key", F.col("bits").bitwiseXOR(F.lit(-9223372036854775808).cast("long")))
-    return D._numbered(turned, ["key"]).select("bits", "n", "code")
+    return D.numbered(turned, ["key"]).select("bits", "n", "code")
 
 
 def _sorted_sql(name: str, column: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import grid as G
 from ..operators import records as R
+from ..operators.dictionary import numbered
 from ..registry import query
 from ..sources.tables import scaled, table
 
@@ -65,29 +66,25 @@ def grid_roundtrip(spark, sf_dir):
     return lines.groupBy("key").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
 
 
-_WIDTH = 18
 _RECORDS = (
-    "o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS r, o_orderkey % 256 AS a, CAST(round(o_totalprice * 100) AS BIGINT) % 65536 AS b FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 300)), "
+    "o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS r, o_orderkey % 256 AS a, CAST(round(o_totalprice * 100) AS BIGINT) % 65536 AS b FROM orders), "
     "x AS (SELECT r * 6 + k AS i, CASE k WHEN 0 THEN a WHEN 1 THEN 7 WHEN 2 THEN b % 256 WHEN 3 THEN b // 256 WHEN 4 THEN 0 ELSE 200 END AS v FROM o, (SELECT unnest(generate_series(0, 5)) AS k))"
 )
 
 
 def _records(spark, sf_dir):
-    """Six-byte records of the first 300 orders, as bytes (i, v)."""
-    o = table(spark, sf_dir, "orders").orderBy("o_orderkey").limit(300).select("o_orderkey", scaled("o_totalprice").alias("c"))
-    from pyspark.sql import Window
-
-    o = o.withColumn("r", F.row_number().over(Window.partitionBy().orderBy("o_orderkey")) - 1)  # 300 rows
+    """Six-byte records of all orders, as bytes (i, v); orders are numbered range by range."""
+    o = numbered(table(spark, sf_dir, "orders").select("o_orderkey", scaled("o_totalprice").alias("c")), ["o_orderkey"])
     b = F.pmod("c", F.lit(65536))
     fields = F.array(F.pmod("o_orderkey", F.lit(256)), F.lit(7).cast("long"), F.pmod(b, F.lit(256)), F.floor(b / 256), F.lit(0).cast("long"), F.lit(200).cast("long"))
-    rows = o.select("r", F.posexplode(fields).alias("k", "v"))
-    return rows.select((F.col("r") * 6 + F.col("k")).cast("long").alias("i"), F.col("v").cast("long").alias("v"))
+    rows = o.select("code", F.posexplode(fields).alias("k", "v"))
+    return rows.select((F.col("code") * 6 + F.col("k")).cast("long").alias("i"), F.col("v").cast("long").alias("v"))
 
 
 @query(
     "period_detect",
-    f"WITH {_RECORDS}, n AS (SELECT count(*) AS n FROM x), p AS (SELECT unnest(generate_series(2, least(256, (SELECT n // 4 FROM n)))) AS p), "
-    "m AS (SELECT p, avg(CASE WHEN a.v = b.v THEN 1.0 ELSE 0.0 END) AS share FROM p, x a JOIN x b ON b.i = a.i - p GROUP BY 1) "
+    f"WITH {_RECORDS.replace('x AS', 'w AS')}, x AS MATERIALIZED (SELECT * FROM w WHERE i < 65536), n AS (SELECT count(*) AS n FROM x), p AS (SELECT unnest(generate_series(2, least(256, (SELECT n // 4 FROM n)))) AS p), "
+    "l AS (SELECT p, i - p AS at, v FROM p CROSS JOIN x), m AS (SELECT p, avg(CASE WHEN l.v = b.v THEN 1.0 ELSE 0.0 END) AS share FROM l JOIN x b ON b.i = l.at GROUP BY 1) "
     "SELECT CAST(p AS BIGINT) AS period, round(share, 6) AS share FROM m WHERE share > 0.2 ORDER BY share DESC, p LIMIT 1",
 )
 def period_detect(spark, sf_dir):

@@ -57,13 +57,15 @@ def block_cost_16(spark, sf_dir):
     return S.block_sums(plane(spark, sf_dir), S.cost(F.col("v")))
 
 
-_FRAMES = f"{_P}, a AS (SELECT y, x, v FROM p WHERE y < 32), b AS (SELECT y - 32 AS y, x, v FROM p WHERE y >= 32 AND y < 64)"
+_FRAMES = f"{_P}, b AS MATERIALIZED (SELECT y // 32 AS z, y % 32 AS y, x, v FROM p WHERE (y // 32) * 32 + 32 <= (SELECT max(y) + 1 FROM p)), a AS (SELECT z + 1 AS z, y, x, v FROM b)"
 
 
 def _frames(spark, sf_dir):
-    """Two frames of 32 rows: the second is to be told from the first."""
+    """Frames of 32 rows: (those before, under the number of the next; all). Rows that fill no frame are left out."""
     p = plane(spark, sf_dir)
-    return p.where("y < 32"), p.where("y >= 32 AND y < 64").withColumn("y", F.col("y") - 32)
+    n = p.agg((F.max("y") + 1).alias("n"))
+    b = p.join(F.broadcast(n)).select(F.floor(F.col("y") / 32).alias("z"), F.pmod("y", F.lit(32)).alias("y"), "x", "v", "n").where("z * 32 + 32 <= n").drop("n")
+    return b.withColumn("z", F.col("z") + 1), b
 
 
 @query(
@@ -77,14 +79,15 @@ def interslice_delta(spark, sf_dir):
 
 @query(
     "motion_sad_search",
-    f"WITH {_FRAMES}, s AS (SELECT unnest(generate_series(-4, 4)) AS k), m AS (SELECT b.y // 16 AS \"by\", b.x // 16 AS bx, dy.k AS dy, dx.k AS dx, sum(abs(b.v - a.v)) AS sad FROM b, s dy, s dx, a "
-    "WHERE a.y = least(31, greatest(0, b.y + dy.k)) AND a.x = least(63, greatest(0, b.x + dx.k)) GROUP BY ALL), "
-    "r AS (SELECT *, row_number() OVER (PARTITION BY \"by\", bx ORDER BY sad, dy, dx) AS n FROM m) "
-    "SELECT \"by\", bx, CAST(dy AS BIGINT) AS dy, CAST(dx AS BIGINT) AS dx, CAST(sad AS BIGINT) AS sad FROM r WHERE n = 1",
+    f"WITH {_FRAMES}, s AS (SELECT unnest(generate_series(-4, 4)) AS k), d AS (SELECT z, y, x, v, dy.k AS dy, dx.k AS dx, least(31, greatest(0, y + dy.k)) AS ty, least(63, greatest(0, x + dx.k)) AS tx FROM b, s dy, s dx), "
+    "m AS (SELECT d.z, d.y // 16 AS \"by\", d.x // 16 AS bx, dy, dx, sum(abs(d.v - a.v)) AS sad FROM d JOIN a ON a.z = d.z AND a.y = ty AND a.x = tx GROUP BY ALL), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY z, \"by\", bx ORDER BY sad, dy, dx) AS n FROM m) "
+    "SELECT z, \"by\", bx, CAST(dy AS BIGINT) AS dy, CAST(dx AS BIGINT) AS dx, CAST(sad AS BIGINT) AS sad FROM r WHERE n = 1",
 )
 def motion_sad_search(spark, sf_dir):
-    a, b = _frames(spark, sf_dir)
-    return S.motion(b, a, reach=4)
+    """Every frame of 32 rows against the one before."""
+    before, now = _frames(spark, sf_dir)
+    return S.motion(now, before, ["z"], reach=4)
 
 
 @query(

@@ -18,12 +18,12 @@ def train_test_leak(spark, sf_dir):
     return d.join(b, "h").select("doc_id", "item_id")
 
 
-@query("split_leak", "SELECT count(DISTINCT sha256(text)) AS n FROM documents WHERE doc_id % 5 = 0 AND sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 5 <> 0)")
+@query("split_leak", "SELECT source, count(DISTINCT sha256(text)) AS n FROM documents d WHERE EXISTS (SELECT 1 FROM documents e WHERE e.source <> d.source AND sha256(e.text) = sha256(d.text)) GROUP BY 1")
 def split_leak(spark, sf_dir):
-    """How many texts are on both sides of a split by id."""
-    t = table(spark, sf_dir, "documents").select(F.sha2(F.col("text").cast("binary"), 256).alias("h"), (F.col("doc_id") % 5 == 0).alias("test"))
-    sides = t.groupBy("h").agg(F.bool_or("test").alias("a"), F.bool_or(~F.col("test")).alias("b"))
-    return sides.where("a AND b").agg(F.count(F.lit(1)).alias("n"))
+    """How many texts of each source are in another source too."""
+    t = table(spark, sf_dir, "documents").select("source", F.sha2(F.col("text").cast("binary"), 256).alias("h")).distinct()
+    both = t.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.collect_set("source").alias("sources")).where("k > 1")
+    return both.select(F.explode("sources").alias("source")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("content_dedup", "SELECT sha256(text) AS h, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
