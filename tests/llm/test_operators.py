@@ -95,6 +95,33 @@ def test_lm_odd_rows_and_brute_force_attention(spark):
         assert abs(got[i] - logits[classes[target[i]]] + np.log(np.exp(logits).sum())) < 1e-4
 
 
+def test_lm_trains_on_every_word_at_every_size(spark, monkeypatch):
+    """All words of a corpus of over 5 million characters are in runs, and all pieces of a run are targets once."""
+    text = " ".join(f"w{k % 1000}" for k in range(30_000))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([text] * 40)], ["doc_id", "text"])
+    assert len(text) * 40 > 5_000_000
+    rows = pa.Table.from_batches(list(op01_lm._gather()([batch]))).to_pylist()
+    runs = [r for r in rows if r["kind"] == 1]
+    assert " ".join(r["s"] for r in runs[:2500]) == text and sum(len(r["s"].split(" ")) for r in runs) == 40 * 30_000
+    assert sum(r["n"] & 1 for r in runs) == sum(r["n"] >> 1 for r in runs) == 40
+    said = op01_lm.load_ranks(op01_lm.default_path())
+    size, none = len(said[1]), np.zeros(0, np.int64)
+    m = op01_lm.Model(said, op01_lm.Ngrams(size, none, none, none, none, np.ones(size + 1)), None, (0.5, 0.5))
+    long = [" ".join(["deadbeef" * 40] * 12), "a b c"]
+    x, t, *_ = op01_lm.windows_of(m, long, np.array([3, 0]))
+    ids = [m.pieces.words(r.split(" "))[0].tolist() for r in long]
+    want = ids[0] + [m.end] + ids[1][1:]  # the first run is a whole text; the other's begin and end are not
+    assert len(ids[0]) > 64 and t[t >= 0].tolist() == want
+    assert x[1, 0] == ids[0][31] and (t >= 0).sum(axis=1)[0] == 32
+    # portions and sums of trainers
+    monkeypatch.setattr(op01_lm, "PORTION", 20)
+    monkeypatch.setattr(op01_lm, "LONG", 2)
+    monkeypatch.setattr(op01_lm, "TRAINERS", 3)
+    docs = _docs(spark, _some(60))
+    model = op01_lm.fit(docs, F.lit(True))
+    assert all(math.isfinite(r.score) and r.score < 0 for r in op01_lm.score(docs, model).collect())
+
+
 def test_lm_is_a_distribution():
     """Over all that may follow a piece the model's parts sum to 1."""
     rng = np.random.default_rng(1)
