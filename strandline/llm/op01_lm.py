@@ -14,7 +14,9 @@ every piece is scored once, later pieces and other documents being masked.
 
 The counts of frequent words are broadcast in a table of at most ``HEAD``
 words; other words go to their counts by a shuffle join, so that neither hot
-words nor the size of the vocabulary matter.
+words nor the size of the vocabulary matter. Where there are more than
+``TRIGRAMS`` distinct trigrams, words get their trigram prices in the same way,
+from the whole table: frequent words once, others by a join with their rows.
 
 Defined cases: null and empty texts have one token, the end; texts of any
 length are scored whole; rows that repeat an id are scored each; without
@@ -38,7 +40,7 @@ from .op03_quality import in_fold
 
 FOLDS = 10
 PIECES, CLASSES, WIDTH, STRIDE = 4096, 96, 16, 16
-#: Words and trigrams that are broadcast at most.
+#: Words that are broadcast at most; trigrams, when they are broadcast at all, which is all of them.
 HEAD, TRIGRAMS = 300_000, 600_000
 #: Words of a run; all runs of all training documents train.
 RUN = 12
@@ -255,9 +257,11 @@ class Ngrams:
         long = (np.maximum(times - DISCOUNT, 0) + DISCOUNT * kinds[c] * short) / total[c]
         return np.where(seen, long, short)
 
-    def logs(self, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Logarithms of the trigram and the bigram probabilities."""
+    def logs(self, x: np.ndarray, y: np.ndarray, z: np.ndarray, three=None) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithms of the trigram and the bigram probabilities; ``three``: what trigrams add and leave to bigrams, from a join."""
         two = self._with(self.two, y * self.base + z, self.uni[z])
+        if three is not None:
+            return np.log(three[0] + three[1] * two), np.log(two)
         return np.log(self._with(self.three, (x * self.base + y) * self.base + z, two)), np.log(two)
 
     def bigrams(self) -> np.ndarray:
@@ -397,7 +401,7 @@ class Model:
         shares = np.clip(np.array(shares), 1e-6, 1 - 1e-6)
         self.mix, self.rest = np.log(shares).astype(np.float32), np.log1p(-shares).astype(np.float32)
 
-    def lexicon(self, words: list[str]):
+    def lexicon(self, words: list[str], three=None):
         """Pieces of words and where words begin; logarithms of trigrams and of bigrams for the pieces (the first's is
         that of a first piece), each with those of the words' ends."""
         ids, begin = self.pieces.words(words)
@@ -406,7 +410,7 @@ class Model:
         inner = np.ones(len(ids), bool)
         inner[begin[:-1]] = False
         out = [ids, begin]
-        for logs in self.ngrams.logs(x, y, z):
+        for logs in self.ngrams.logs(x, y, z, three):
             whole = np.empty(len(ids), np.float32)
             whole[begin[:-1]] = self.ngrams.first[ids[begin[:-1]]]
             whole[inner] = logs[~ends]
@@ -511,11 +515,11 @@ def class_prior(follow: np.ndarray, classes: np.ndarray, first: np.ndarray, n: i
 
 # ------------------------------------------------------------------ training over the cluster
 
-def windows_of(model: Model, runs: list[str], flags: np.ndarray, length: int = 2 * STRIDE):
+def windows_of(model: Model, runs: list[str], flags: np.ndarray, length: int = 2 * STRIDE, lexicon=None):
     """Windows of input pieces, targets (-1: none), trigram and bigram logarithms and kinds: all of the runs of words."""
     starts = np.concatenate([[0], np.cumsum([len(r.split(" ")) if r else 0 for r in runs])]).astype(np.int64)
     words = pa.array([w for r in runs if r for w in r.split(" ")], pa.string()).dictionary_encode()
-    lex = model.lexicon(words.dictionary.to_pylist())
+    lex = lexicon(words.dictionary) if lexicon else model.lexicon(words.dictionary.to_pylist())
     codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     source, target, gram, member, lead, row = model.stream(lex, codes, starts)
     begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
@@ -534,46 +538,59 @@ def windows_of(model: Model, runs: list[str], flags: np.ndarray, length: int = 2
 
 
 def _portions(batches):
-    """Runs and flags, so many at once, and whether these are all."""
-    runs, flags, size, first = [], [], 0, True
+    """Runs, flags and, where they are there, words priced by a join, so many at once; and whether these are all."""
+    held, size, first = [], 0, True
     for batch in batches:
-        for run, flag in zip(batch.column("s").to_pylist(), batch.column("n").to_pylist(), strict=True):
-            if len(runs) >= PORTION or size >= PORTION_BYTES:
-                yield runs, np.array(flags), False
-                runs, flags, size, first = [], [], 0, False
-            runs.append(run)
-            flags.append(flag)
-            size += len(run)
-    if runs:
-        yield runs, np.array(flags), first
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):  # s, n, maybe others
+            if len(held) >= PORTION or size >= PORTION_BYTES:
+                yield *_columns(held), False
+                held, size, first = [], 0, False
+            held.append(row)
+            size += len(row[0])
+    if held:
+        yield *_columns(held), first
 
 
-def _trainer_of(shared, weights, seed: int, rate: float, last: bool):
-    """One local pass over a partition's runs, a portion after another: the summed weights, and in the last round the
-    shares over all windows, as one row."""
+def _columns(rows: list[tuple]):
+    return [r[0] for r in rows], np.array([r[1] for r in rows]), [r[2] for r in rows] if len(rows[0]) > 2 else None
+
+
+def _trainer_of(shared, weights, seed: int, rate: float):
+    """One local pass over a partition's runs, a portion after another: the summed weights, as one row."""
 
     def run(batches):
         model = _model(shared.value, weights)
-        new, loss, total, share = weights, 0.0, 0, np.zeros((2, len(_GRID)))
-        for number, (runs, flags, whole) in enumerate(_portions(batches)):
-            x, t, gram, member, lead = windows_of(model, runs, flags)
+        new, loss, total = weights, 0.0, 0
+        for number, (runs, flags, _, whole) in enumerate(_portions(batches)):
+            x, t, *_ = windows_of(model, runs, flags)
             n = int((t >= 0).sum())
             if not n:
                 continue
             for again in range(max(1, min(6, PORTION // len(x))) if whole else 1):  # a small corpus is gone over again
                 new, more = train(new, model.attention.prior, model.attention.classes, x, t, seed + 100 * again + 1000 * number, rate)
             loss, total = loss + more, total + n
-            if last:
-                model.attention.__dict__.update(new)
-                for a in range(0, len(x), 512):
-                    share += _shares(model, *(v[a : a + 512] for v in (x, t, gram, member, lead)))
         if total:
-            flat = np.concatenate([new[k].ravel() * np.float32(total) for k in Attention.NAMES] + [share.astype(np.float32).ravel()])
+            flat = np.concatenate([new[k].ravel() * np.float32(total) for k in Attention.NAMES])
             yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([loss]), pa.array([flat.tobytes()], pa.binary())], ["n", "loss", "w"])
 
     return run
 
 
+def _shares_of(shared, weights, head):
+    """What each mixture share gives over all windows of a partition's runs, as one row."""
+
+    def run(batches):
+        model, out = _model(shared.value, weights), np.zeros((2, len(_GRID)))
+        for runs, flags, others, _ in _portions(batches):
+            lexicon = None if others is None else lambda w, o=others: _lexicon(shared.value["key"], model, head.value)(w, o)[0]
+            windows = windows_of(model, runs, flags, lexicon=lexicon)
+            for a in range(0, len(windows[0]), 512):
+                out += _shares(model, *(v[a : a + 512] for v in windows))
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["w"])
+
+    return run
+
+
 def _summed(batches):
     """One row for all of a partition's."""
     n, loss, flat = 0, 0.0, None
@@ -615,7 +632,7 @@ def _model(shared: dict, weights: dict | None = None) -> Model:
     key = shared["key"]
     if key not in _models:
         _models.clear()
-        ngrams = Ngrams(len(shared["said"][1]), *shared["ngrams"])
+        ngrams = Ngrams(len(shared["said"][1]), *shared["ngrams"])  # without trigrams where there are too many
         attention = Attention(dict(weights or shared["weights"]), shared["prior"], shared["classes"])
         _models[key] = Model(shared["said"], ngrams, attention, shared.get("shares", (0.5, 0.5)))
     model = _models[key]
@@ -646,8 +663,8 @@ def fit(docs: DataFrame, training, path: str | None = None) -> dict:
     base = size + 1
     bi = grams.groupBy((F.col("key") % (base * base)).alias("key")).agg(F.sum("n").alias("n")).toArrow()  # (PIECES + 1)^2 at most
     first = _first_counts(counted, pieces, size, ends)
-    bar = _frequent(grams, TRIGRAMS)
-    tri = grams.where(F.col("n") >= bar).toArrow()
+    whole = grams.count() <= TRIGRAMS
+    tri = (grams if whole else grams.limit(0)).toArrow()
     arrays = []
     for t in (tri, bi):
         keys, n = np.array(t.column("key"), np.int64), np.array(t.column("n"), np.int64)
@@ -659,15 +676,16 @@ def fit(docs: DataFrame, training, path: str | None = None) -> dict:
     prior = class_prior(follow, classes, ngrams.first)
     del follow
     shared = {"key": C.uuid.uuid4().hex, "said": said, "ngrams": (*arrays, first), "classes": classes, "prior": prior}
+    priced = None if whole else Priced(head.column("w").combine_chunks(), grams, size, pieces)
     weights, shares = Attention.fresh(size, CLASSES), np.array([0.5, 0.5])
     runs = gathered.where("kind = 1").select("s", "n")
     if not runs.isEmpty():
         n = runs.count()
         trainers = max(1, min(TRAINERS, n // PORTION), -(-n // (LONG * PORTION)))
-        dealt = C.written(runs.repartition(trainers), "runs")  # dealt once, a file each
+        dealt = C.written(runs.repartition(trainers).sortWithinPartitions(F.xxhash64("s", "n"), "s", "n"), "runs")  # dealt once, in an order that is the same again
         sent = spark.sparkContext.broadcast(shared)
         for k, rate in enumerate(RATES):
-            told = dealt.mapInArrow(C.tidied(_trainer_of(sent, weights, k, rate, k == len(RATES) - 1)), "n long, loss double, w binary")
+            told = dealt.mapInArrow(C.tidied(_trainer_of(sent, weights, k, rate)), "n long, loss double, w binary")
             if trainers > TRAINERS:  # the driver gets about the root of their number
                 told = told.repartition(math.isqrt(trainers)).mapInArrow(C.tidied(_summed), "n long, loss double, w binary")
             told = told.collect()
@@ -680,9 +698,13 @@ def fit(docs: DataFrame, training, path: str | None = None) -> dict:
                 w = weights[name]
                 weights[name] = flat[at : at + w.size].astype(np.float32).reshape(w.shape)
                 at += w.size
-            shares = _GRID[flat[at:].reshape(2, -1).argmax(axis=1)]
+        if not whole:
+            dealt = C.written(dealt.withColumn("row", F.monotonically_increasing_id()), "numbered")
+            dealt = priced.joined(dealt, "s").select("s", "n", "others")
+        told = dealt.mapInArrow(C.tidied(_shares_of(sent, weights, priced and priced.head)), "w binary").collect()
+        shares = _GRID[sum(np.frombuffer(r["w"], np.float64) for r in told).reshape(2, -1).argmax(axis=1)]
         sent.destroy()
-    return shared | {"weights": weights, "shares": tuple(map(float, shares)), "head": head, "least": least, "total": total, "distinct": distinct, "ends": ends, "counted": counted}
+    return shared | {"weights": weights, "shares": tuple(map(float, shares)), "head": head, "least": least, "total": total, "distinct": distinct, "ends": ends, "counted": counted, "priced": priced}
 
 
 def _first_counts(counted: DataFrame, pieces, size: int, ends: int) -> np.ndarray:
@@ -727,23 +749,118 @@ def _chosen(lexicon: list, known: np.ndarray, more: list) -> list:
     return out
 
 
-_heads: dict[str, tuple] = {}
+class Lexicon:
+    """The lexicon of frequent words, and of others: with trigram prices from a join, or by the model's own trigrams."""
+
+    def __init__(self, model: Model, words: pa.Array, three=None):
+        self.model, self.lookup, self.joined = model, Lookup(words), three is not None
+        self.whole = model.lexicon(words.to_pylist(), three)
+
+    def __call__(self, said: pa.Array, others: list | None) -> tuple[list, np.ndarray]:
+        """The lexicon of ``said``, and places in that of frequent words; ``others``: rows' lists of priced words."""
+        known = self.lookup(said)
+        more, three = said.filter(pa.array(known < 0)).to_pylist(), None
+        if self.joined:
+            prices = {o["w"]: o for row in others for o in row or ()}
+            three = [np.array([v for w in more for v in prices[w][k]], np.float64) for k in ("a", "b")]
+        return _chosen(self.whole, known, self.model.lexicon(more, three)), known
+
+
+_lexicons: dict[str, Lexicon] = {}
+
+
+def _lexicon(key: str, model: Model, head: tuple) -> Lexicon:
+    if key not in _lexicons:  # once for a worker, not for each task
+        _lexicons.clear()
+        _lexicons[key] = Lexicon(model, *head)
+    return _lexicons[key]
+
+
+# ------------------------------------------------------------------ trigram prices from the whole table
+
+def _entries_of(said):
+    """(id, at, key, context) for every piece of words after the first, and their ends."""
+
+    def run(batches):
+        pieces = Pieces(said.value)
+        base = pieces.size + 1
+        for batch in batches:
+            words, number = batch.column("w").to_pylist(), batch.column("id")
+            for a in range(0, len(words), 20_000):
+                ids, begin = pieces.words(words[a : a + 20_000])
+                x, y, z, owner = _contexts(ids, begin, pieces.size)
+                at = np.arange(len(owner)) - begin[owner]  # as many as the word has pieces
+                context = x * base + y
+                yield pa.RecordBatch.from_arrays([number.slice(a, 20_000).take(pa.array(owner)), pa.array(at), pa.array(context * base + z), pa.array(context)], ["id", "at", "key", "context"])
+
+    return run
+
+
+def _others_of(head, text: str):
+    def run(batches):
+        lookup = Lookup(head.value[0])
+        for batch in batches:
+            for part, offsets, raw in C.slices(batch, text):
+                codes, said, begin = _split(offsets, raw)
+                codes_row = np.repeat(np.arange(part.num_rows), np.diff(begin))
+                some = lookup(said)[codes] < 0
+                key = np.unique(codes_row[some] * max(1, len(said)) + codes[some])
+                row, code = np.divmod(key, max(1, len(said)))
+                yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(row)), said.take(pa.array(code))], ["row", "w"])
+
+    return run
+
+
+class Priced:
+    """Words' trigram prices, where the table of trigrams is too large to broadcast: for each entry (see ``_contexts``)
+    a and b, its probability being a and b times that of the bigram."""
+
+    def __init__(self, words: pa.Array, grams: DataFrame, size: int, pieces):
+        self.grams, self.pieces, self.spark = grams, pieces, grams.sparkSession
+        context = F.floor(F.col("key") / F.lit(size + 1)).cast("long").alias("context")
+        contexts = grams.groupBy(context).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        self.contexts = C.written(contexts, "contexts")
+        told = self.of(self.spark.createDataFrame(pa.table({"w": words}))).toArrow()
+        place = Lookup(told.column("w").combine_chunks())(words)
+        three = [np.array(told.column(k).combine_chunks().take(pa.array(place)).flatten(), np.float64) for k in ("a", "b")]
+        self.head = self.spark.sparkContext.broadcast((words, three))
+
+    def of(self, words: DataFrame) -> DataFrame:
+        """(w, a, b) for distinct words."""
+        words = C.written(words.withColumn("id", F.monotonically_increasing_id()), "numbered")  # a word may be long
+        rows = C.written(words.mapInArrow(C.tidied(_entries_of(self.pieces)), "id long, at long, key long, context long"), "entries")
+        rows = C.checked_join(C.checked_join(rows, self.contexts, "context", "left"), self.grams, "key", "left")
+        a = F.coalesce(F.greatest(F.col("n") - F.lit(DISCOUNT), F.lit(0.0)) / F.col("total"), F.lit(0.0)).alias("a")
+        b = F.coalesce(F.lit(DISCOUNT) * F.col("kinds") / F.col("total"), F.lit(1.0)).alias("b")
+        rows = rows.select("id", F.struct("at", a, b).alias("e")).groupBy("id").agg(F.sort_array(F.collect_list("e")).alias("e"))
+        return words.join(rows, "id").select("w", F.col("e.a").alias("a"), F.col("e.b").alias("b"))
+
+    def joined(self, rows: DataFrame, text: str) -> DataFrame:
+        """``rows`` (with a number ``row``) and ``others``: their words that aren't frequent, with prices."""
+        others = C.written(rows.select("row", text).mapInArrow(C.tidied(_others_of(self.head, text)), "row long, w string"), "others")
+        prices = C.written(self.of(others.select("w").distinct()), "prices")
+        told = C.checked_join(others, prices, "w", "inner").groupBy("row").agg(F.collect_list(F.struct("w", "a", "b")).alias("others"))
+        return rows.join(told, "row", "left")
+
+
+_heads: dict[str, np.ndarray] = {}
 
 
 def _scorer_of(shared, head):
     def run(batches):
         model = _model(shared.value)
-        words, counts, z, ends = head.value
-        if (key := shared.value["key"]) not in _heads:  # once for a worker, not for each task
+        words, counts, z, ends, three = head.value
+        key = shared.value["key"]
+        lexicon = _lexicon(key, model, (words, three))
+        if key not in _heads:
             _heads.clear()
-            _heads[key] = model.lexicon(words.to_pylist()), Lookup(words), np.log10(np.append(counts + 0.1, 0.1) / z)  # the last: a word without a place
-        lexicon, lookup, logs = _heads[key]
+            _heads[key] = np.log10(np.append(counts + 0.1, 0.1) / z)  # the last: a word without a place
+        logs = _heads[key]
         for batch in batches:
             for part, offsets, raw in C.slices(batch, "text"):
                 codes, said, begin = _split(offsets, raw)
-                known = lookup(said)
-                more = model.lexicon(said.filter(pa.array(known < 0)).to_pylist())
-                stream = model.stream(_chosen(lexicon, known, more), codes, begin)
+                lex, known = lexicon(said, part.column("others").to_pylist() if three else None)
+                stream = model.stream(lex, codes, begin)
                 score = np.bincount(stream[-1], weights=model.tokens(*stream), minlength=part.num_rows) / math.log(10)
                 is_head = known[codes] >= 0
                 row = np.repeat(np.arange(part.num_rows), np.diff(begin))
@@ -754,8 +871,8 @@ def _scorer_of(shared, head):
                 cuts = np.searchsorted(key, np.arange(part.num_rows + 1) * max(1, len(said)))
                 tail = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), said.take(pa.array(key % max(1, len(said)))))
                 often = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(times.astype(np.int64)))
-                columns = [part.column(k) for k in range(part.num_columns) if part.schema.names[k] != "text"]
-                names = [n for n in part.schema.names if n != "text"]
+                columns = [part.column(k) for k in range(part.num_columns) if part.schema.names[k] not in ("text", "others")]
+                names = [n for n in part.schema.names if n not in ("text", "others")]
                 yield pa.RecordBatch.from_arrays(
                     [*columns, pa.array(np.diff(begin) + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score), tail, often],
                     [*names, "n_tokens", "n_known", "base_score", "score", "tail", "often"],
@@ -770,10 +887,12 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     z = model["total"] + 0.1 * (model["distinct"] + 1)
     sent = spark.sparkContext.broadcast({k: model[k] for k in ("key", "said", "ngrams", "classes", "prior", "weights", "shares")} | {"key": model["key"] + "s"})
     words = model["head"]
-    head = spark.sparkContext.broadcast((words.column("w").combine_chunks(), np.array(words.column("n"), np.float64), z, model["ends"]))
+    head = spark.sparkContext.broadcast((words.column("w").combine_chunks(), np.array(words.column("n"), np.float64), z, model["ends"], model["priced"] and model["priced"].head.value[1]))
     fields = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("tail", T.ArrayType(T.StringType())), ("often", T.ArrayType(T.LongType()))]
     keyed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     schema = T.StructType([keyed.schema["doc_id"], keyed.schema["row"], *(T.StructField(*f) for f in fields)])
+    if model["priced"]:
+        keyed = model["priced"].joined(C.written(keyed, "keyed"), "text").select("doc_id", "text", "row", "others")
     rows = C.written(keyed.mapInArrow(C.tidied(_scorer_of(sent, head)), schema), "scored")
     tail = rows.select("row", F.explode(F.arrays_zip("tail", "often")).alias("t")).select("row", F.col("t.tail").alias("w"), F.col("t.often").alias("often"))
     rare = model["counted"].where(F.col("n") < model["least"])

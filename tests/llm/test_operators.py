@@ -122,6 +122,28 @@ def test_lm_trains_on_every_word_at_every_size(spark, monkeypatch):
     assert all(math.isfinite(r.score) and r.score < 0 for r in op01_lm.score(docs, model).collect())
 
 
+def test_lm_prices_are_exact_where_trigrams_are_not_broadcast(spark, monkeypatch):
+    docs = _docs(spark, _some(80) + ODD + [(2000 + k, f"{hashlib.sha1(bytes([k])).hexdigest()} {'aqz' * k} {k}") for k in range(40)])
+    held = op03_quality.in_fold(F.col("doc_id"), 10)
+    whole = op01_lm.fit(docs, ~held)
+    monkeypatch.setattr(op01_lm, "HEAD", 20)
+    monkeypatch.setattr(op01_lm, "TRIGRAMS", 50)
+    model = op01_lm.fit(docs, ~held)
+    assert whole["priced"] is None and whole["shares"] == model["shares"]
+    a, b = (op01_lm.Model(m["said"], op01_lm.Ngrams(len(m["said"][1]), *m["ngrams"]), None, (0.5, 0.5)) for m in (whole, model))
+    words, three = model["priced"].head.value
+    prices = [(words.to_pylist(), three)]
+    rows = model["priced"].joined(docs.withColumn("row", F.monotonically_increasing_id()), "text").collect()
+    prices += [([o.w], [np.array(o.a), np.array(o.b)]) for r in rows for o in r.others or ()]
+    assert len(words) <= 20 and {w for some, _ in prices for w in some} == {w for r in rows for w in (r.text or "").lower().split()}
+    for some, three in prices:  # seen in training or not
+        assert all(np.allclose(x, y, rtol=1e-6) for x, y in zip(a.lexicon(some), b.lexicon(some, three), strict=True)), some
+    # scores; a window's begin depends on the order of rows
+    x, y = ({r.doc_id: r for r in op01_lm.score(docs, m).where("doc_id < 1000 OR doc_id >= 2000").collect()} for m in (whole, model))
+    assert len(x) == 120 and x.keys() == y.keys()
+    assert all(x[k][1:3] == y[k][1:3] and math.isclose(x[k].base_score, y[k].base_score, rel_tol=1e-9) and math.isclose(x[k].score, y[k].score, rel_tol=0.05) for k in x)
+
+
 def test_lm_is_a_distribution():
     """Over all that may follow a piece the model's parts sum to 1."""
     rng = np.random.default_rng(1)
