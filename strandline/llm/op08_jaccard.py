@@ -152,6 +152,12 @@ def reach(adjacent: np.ndarray) -> np.ndarray:
         label = low
 
 
+def _crosses(unit: str) -> bool:
+    """Whether a unit holds two different blocks, in which only pairs across count."""
+    _, *blocks = unit.split(":")  # tier, block, tier, block; none for a component that isn't dealt out
+    return blocks[:2] != blocks[2:]
+
+
 def _compare(batches):
     for unit in C.grouped(batches, "unit"):
         ids = unit.column("rep").to_numpy()
@@ -161,7 +167,7 @@ def _compare(batches):
         copies = unit.column("copies").to_numpy()[order]
         raw = unit.column("grams").to_pylist()
         near = linked([np.frombuffer(raw[k], np.uint64) for k in order])
-        if side.any() and not side.all():
+        if _crosses(unit.column("unit")[0].as_py()):  # also where one of the blocks has no members
             near &= side[:, None] != side[None, :]
         some = near.any(axis=1)
         if some.any():

@@ -391,6 +391,14 @@ def test_jaccard_join_against_all_pairs(spark, monkeypatch):
     assert op08_jaccard.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_jaccard_links_of_long_texts_beside_empty_blocks(spark):
+    """Two near copies of 16,000 shingles are dealt into two blocks: often one of these has no members."""
+    long = lambda k: " ".join(f"w{k}x{i}" for i in range(16_004))
+    df = _docs(spark, [x for k in range(6) for x in ((2 * k, long(k)), (2 * k + 1, long(k) + " end"))])
+    got = {x.doc_id: (x.class_id, x.n_links) for x in op08_jaccard.near_duplicates(df).collect()}
+    assert got == {k: (k // 2 * 2, 1) for k in range(12)}
+
+
 def test_band_shape():
     for similarity, recall in ((0.8, 0.999), (0.5, 0.9)):
         bands, rows = op08_jaccard.shape(similarity, recall)
