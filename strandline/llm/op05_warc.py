@@ -7,8 +7,8 @@ over. A payload of at least ``least`` bytes that others share is stored once,
 with the smallest page; the others revisit it. Reading: ``salvage`` walks an
 archive member by member. Where a check fails (gzip CRC, version line, header,
 length, block digest) it looks for the next place where a member or a version
-line begins and reads on from there; bytes that belong to no good record are
-logged as gaps.
+line begins, in a member's inflated bytes too, and reads on from there; bytes
+that belong to no good record are logged as gaps.
 
 Defined cases: a null html is an empty payload; null urls give no target line;
 rows without a page id are written but can't be first of equal ones unless all
@@ -88,7 +88,7 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """Header, block and end of the record that begins at ``at``; ValueError where a check fails."""
     if not data.startswith(_VERSION, at):
         raise ValueError("version")
-    head = data.find(b"\r\n\r\n", at, at + 65536)
+    head = data.find(b"\r\n\r\n", at)  # a url may be of any length
     if head < 0:
         raise ValueError("header")
     lines = data[at:head].decode("utf-8", "strict").split("\r\n")[1:]
@@ -105,42 +105,82 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return fields, block, end + 4
 
 
-def inflated(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
-    """What the gzip member that begins at ``at`` holds, and its end; it is fed bit by bit, as what follows it is copied."""
-    inflate, out = zlib.decompressobj(31), []
+def inflated(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int, str]:
+    """What the gzip member that begins at ``at`` holds, its end, and what is wrong: then as much of it as there is.
+
+    It is fed bit by bit, as what follows it is copied.
+    """
+    begin, inflate, out = at, zlib.decompressobj(31), []
     while not inflate.eof:
         if at >= len(data):
-            raise ValueError("member")
+            return b"".join(out), at, "member"
         part = data[at : at + step]
-        out.append(inflate.decompress(part))
+        try:
+            out.append(inflate.decompress(part))
+        except zlib.error as e:
+            inflate, out = zlib.decompressobj(31), []  # the part again by bytes, as an error takes what was before it
+            for k in range(begin, at, step):
+                out.append(inflate.decompress(data[k : k + step]))
+            for k in range(at, at + len(part)):
+                try:
+                    out.append(inflate.decompress(data[k : k + 1]))
+                except zlib.error:
+                    return b"".join(out), k + 1, str(e)[:60]
         at += len(part)
-    return b"".join(out), at - len(inflate.unused_data)
+    return b"".join(out), at - len(inflate.unused_data), ""
+
+
+def _within(plain: bytes, whole: bool) -> tuple[list, str]:
+    """The good records of an inflated member, and why others aren't; of a damaged member those with a digest of their own."""
+    found, why, k = [], "", 0
+    while k < len(plain):
+        try:
+            fields, block, end = parse(plain, k)
+            if not whole and "warc-block-digest" not in fields:
+                raise ValueError("member")
+            found.append((fields, block))
+            k = end
+        except ValueError as e:
+            why = why or str(e)[:60]
+            k = plain.find(_VERSION, k + 1)
+            if k < 0:
+                break
+    return found, why
 
 
 def salvage(data: bytes):
     """Yield ("record", begin, end, fields, block) and ("gap", begin, end, reason, None) over all of an archive.
 
-    Plain and compressed records may be mixed. Good empty members yield nothing.
+    Plain and compressed records may be mixed. Good empty members yield nothing. A member with good and bad records
+    yields the good ones and a gap, each with the member's places.
     """
     at, bad, why = 0, -1, ""
     while at < len(data):
+        lines = at + 1
         try:
             if data.startswith(_BEGIN, at):
-                plain, end = inflated(data, at)
+                plain, end, wrong = inflated(data, at)
+                found, lost = _within(plain, not wrong)
+                if found and bad >= 0:
+                    yield "gap", bad, at, why, None
+                    bad = -1
+                for fields, block in found:
+                    yield "record", at, end, fields, block
+                if found and lost and not wrong:
+                    yield "gap", at, end, lost, None
+                if wrong or (lost and not found):
+                    lines = end if found else lines  # what stands there unpacked has been read
+                    raise ValueError(wrong or lost)
                 found = []
-                k = 0
-                while k < len(plain):
-                    fields, block, k = parse(plain, k)
-                    found.append((fields, block))
             elif data.startswith(_VERSION, at):
                 fields, block, end = parse(data, at)
                 found = [(fields, block)]
             else:
                 raise ValueError("begin")
-        except (ValueError, zlib.error) as e:
+        except ValueError as e:
             if bad < 0:
                 bad, why = at, str(e)[:60] or "member"
-            nexts = [x for x in (data.find(_BEGIN, at + 1), data.find(_VERSION, at + 1)) if x >= 0]
+            nexts = [x for x in (data.find(_BEGIN, at + 1), data.find(_VERSION, lines)) if x >= 0]
             at = min(nexts, default=len(data))
             continue
         if bad >= 0:

@@ -276,6 +276,23 @@ def test_salvage(packed):
     assert list(op05_warc.salvage(b"")) == [] and [x[0] for x in op05_warc.salvage(b"nothing here")] == ["gap"]
 
 
+def test_salvage_keeps_long_urls_and_good_records_of_damaged_members():
+    pages = lambda out: [int(x[3]["warc-record-id"][10:-1]) for x in out if x[0] == "record"]
+    long = op05_warc.record(1, "data:" + "a" * 200_000, b"x", op05_warc._digest(b"x"), "response", None)
+    for data in (long, op05_warc.member(long)):
+        assert [x[0] for x in op05_warc.salvage(data)] == ["record"]
+    r = random.Random(3)
+    records = [_record(k, "".join(r.choices("abcdefghijklmnop", k=30_000))) for k in range(12)]
+    wrong = [x if k != 5 else x.replace(b"sha1:", b"sha1:X") for k, x in enumerate(records)]
+    out = list(op05_warc.salvage(op05_warc.member(b"".join(wrong))))  # one bad record in a good member
+    assert pages(out) == [0, 1, 2, 3, 4, 6, 7, 8, 9, 10, 11] and [x[0] for x in out].count("gap") == 1
+    whole = op05_warc.member(b"".join(records))
+    out = list(op05_warc.salvage(whole[: len(whole) * 3 // 4] + op05_warc.member(records[3])))  # a torn one, then a good one
+    assert pages(out)[:8] == list(range(8)) and pages(out)[-1] == 3 and any(x[0] == "gap" for x in out)
+    out = list(op05_warc.salvage(whole[:-8] + bytes(8)))  # only the check at the end is wrong
+    assert pages(out) == list(range(12)) and out[-1][0] == "gap"
+
+
 def test_archives_on_a_file_system(spark, tmp_path):
     rows = [(1, "http://a", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://c\r\nd", None), (4, "", ""), (5, "u", "z" * 300_000), (None, "u", "<p>é</p>"), (5, "u", "z" * 300_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1))
