@@ -429,12 +429,13 @@ def test_bpe_against_the_library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    said = op10_bpe.load_vocabulary(op10_bpe.default_path())
-    encoder, decoder = op10_bpe.Encoder(said), op10_bpe.Decoder(said)
+    encoder, decoder = op10_bpe.opened(op10_bpe.packed_tables(op10_bpe.default_path()))
     r = random.Random(3)
     letters = "\x1c\x1f\x85  ​İabcdefghijklmnopqrstuvwxyzABCéßΣσİñ0123456789'!?<|>/w   ́\t\n漢字😀ﬁ"
     texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 50))) for _ in range(2500)]
     texts += ["a" * 3000, "aaaa " * 20, "x<|endoftext|>y <|startoftext|>", "<|endoftext|", "it's we'll 'S don't", "</w> a</w>b", "ΑΣ ΑΣΑ", "", " ", "mississippi" * 40, None]
+    texts += ["".join(r.choice("aeinorst'") for _ in range(n)) for n in (1, 127, 128, 129, 160, 700, 20_000)] + ["''s 'tis y'all've 're'le l'l 'é1'd", "abc" * 10_000 + "!" * 5000]
+    texts += ["".join(r.choice("aeinorst") for _ in range(r.randint(1, 90))) for _ in range(300)]
     packed = encoder.column(*C.strings(pa.array(texts, pa.string())))
     for x, ids, back in zip(texts, packed.to_pylist(), decoder.column(packed).to_pylist(), strict=True):
         want = t.encode(x or "", add_special_tokens=False).ids
@@ -448,5 +449,18 @@ def test_bpe_frames(spark):
     rows = {r.doc_id: (r.n, r.back) for r in op10_bpe.decode(got, ids_col="_ids", name="back").select("doc_id", op10_bpe.unpacked(F.col("_ids")).alias("n"), "back").collect() if r.doc_id in (1, 1001, 1002)}
     assert rows == {1: ([3306, 1002], "hello</w> world</w>"), 1001: ([], ""), 1002: ([], "")}
     long = [r for r in op10_bpe.digest(docs).collect() if r.doc_id == 1005]
-    assert long[0].n_tokens == 30_000 and long[0].ids_sha256 == hashlib.sha256(bytes(long[0].ids)).hexdigest()
+    assert long[0].n_tokens == 30_000 and long[0].ids_sha256 == hashlib.sha256(bytes(long[0]._ids)).hexdigest()
+    assert op10_bpe.digest(docs).columns == ["doc_id", "text", "IDS", "_ids", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert op10_bpe.digest(docs.limit(0)).count() == 0
+
+
+def test_bpe_of_a_text_of_50_mb():
+    import time
+
+    encoder, decoder = op10_bpe.opened(op10_bpe.packed_tables(op10_bpe.default_path()))
+    for text in ("word " * 10_000_000, "ab" * 2_500_000):
+        began = time.time()
+        ids = encoder.column(*C.strings(pa.array([text], pa.string())))
+        assert len(ids[0].as_py()) // 4 >= len(text) // 32 and time.time() - began < 120
+        back = decoder.column(ids)[0].as_py().replace(" ", "").replace("</w>", "")
+        assert back == text.replace(" ", "")

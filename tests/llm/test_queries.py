@@ -132,4 +132,4 @@ def test_stages_keep_columns_and_odd_rows(spark, sf_dir):
             assert stage(spark, d.limit(0), sf_dir).count() == 0
             d = after
         else:
-            assert "doc_id" in after.columns and after.count() == d.count()
+            assert after.columns[: len(d.columns)] == d.columns and after.count() == d.count()
