@@ -1,12 +1,16 @@
 """Secret scan by a trigram inverted index, in DataFrame and SQL functions alone.
 
 From each rule's regular expression a Boolean query over trigrams is derived
-that every match satisfies. The index holds, for shards of some thousand
-documents, the ids with each trigram that a query asks for; postings are
-united and intersected shard by shard, and the expressions run over candidates
-only. A rule without a mandatory trigram (runs of hexadecimal digits) scans all
-documents. Positions come from the lengths of what lies between matches and of
-the matches themselves.
+that every match satisfies. The trigrams of each text are taken from it in one
+pass, and the index holds, for shards of some thousand documents, the ids with
+each trigram that a query asks for (postings of others would not be read; of a
+run of letters ``PER_RUN`` are asked for, which costs some more candidates and
+spares postings); postings are united and intersected shard by shard, and the
+expressions run over candidates only. A rule without a mandatory trigram (runs
+of hexadecimal digits) scans all documents. Positions come from the lengths of
+what lies between matches and of the matches themselves, summed in blocks of the
+root of their number, so that a text with many matches doesn't cost the square
+of them.
 
 Defined cases: a null text is empty; rows without an id are scanned by every
 rule; rows that repeat an id are candidates together and scanned each; extra
@@ -137,15 +141,35 @@ def trigram_query(regex: str) -> list[list[frozenset[str]]]:
 
 # ------------------------------------------------------------------ index and candidates
 
+def _either(words: list[str]) -> str:
+    """An expression for any of some strings of one length, by their beginnings."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(w[1:])
+    if all(v == [""] for v in by.values()):
+        return "[" + "".join(map(_plain, by)) + "]"
+    return "(?:" + "|".join(_plain(c) + _either(v) for c, v in by.items()) + ")"
+
+
+def _plain(c: str) -> str:
+    return c if c.isalnum() or c == "_" else "\\" + c
+
+
+def trigram_expression(trigrams: list[str]) -> str:
+    """Matches, at each place where one of the trigrams stands, nothing, with the trigram as its group 1."""
+    within = "".join("[" + "".join(_plain(c) for c in sorted({t[k] for t in trigrams})) + "]" for k in range(3))
+    return f"(?={within})(?=({_either(trigrams)}))"
+
+
 def trigram_index(docs: DataFrame, trigrams: list[str], *, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(shard, trigram, ids): the documents of each shard whose lower-cased text has the trigram."""
     shards = max(1, -(-docs.count() // shard_rows))
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     found = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.pmod(F.xxhash64(id_col), F.lit(shards)).alias("shard"),
-        F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams)).alias("trigrams"),
+        F.array_distinct(F.regexp_extract_all(low, F.lit(trigram_expression(trigrams)), F.lit(1))).alias("trigrams"),
     )
-    rows = found.select("id", "shard", F.explode("trigrams").alias("trigram")).where("trigram IS NOT NULL")
+    rows = found.select("id", "shard", F.explode("trigrams").alias("trigram"))
     return rows.groupBy("shard", "trigram").agg(F.collect_set("id").alias("ids"))
 
 
@@ -164,6 +188,38 @@ def candidates(index: DataFrame, queries: dict[str, list[list[frozenset[str]]]])
     return flat.groupBy("id").agg(F.collect_set("kind").alias("kinds"))
 
 
+def _let(value: Column, made) -> Column:
+    """``made`` of a value that is found once, however often ``made`` uses it."""
+    return F.element_at(F.transform(F.array(value), made), 1)
+
+
+def _blocks(rows: Column) -> Column:
+    """The rows in blocks of the root of their number."""
+    step = F.greatest(F.lit(32), F.ceil(F.sqrt(F.size(rows))).cast("int"))
+    last = F.greatest(F.lit(0), F.ceil(F.size(rows) / step).cast("int") - 1)
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(rows, k * step + 1, step))
+
+
+def _running(rows: Column, value, merge, zero: Column, made, kind: str) -> Column:
+    """``made(row, before)`` for each row of an array, ``before`` being all earlier rows' values merged.
+
+    Rows go in blocks of the root of their number: arrays grow by appending, which copies them.
+    """
+    begin = F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out"))
+    after = lambda s, t: F.struct(merge(s["at"], t).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+
+    def heads(blocks):
+        totals = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda t, x: merge(t, value(x))))
+        return F.aggregate(totals, begin, after, lambda s: s["out"])
+
+    def whole(z):
+        inner = F.struct(z["head"].alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        step = lambda s, x: F.struct(merge(s["at"], value(x)).alias("at"), F.concat(s["out"], F.array(made(x, s["at"]))).alias("out"))
+        return F.aggregate(z["block"], inner, step, lambda s: s["out"])
+
+    return _let(_let(rows, _blocks), lambda blocks: F.flatten(F.transform(F.arrays_zip(blocks.alias("block"), heads(blocks).alias("head")), whole)))
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """(start, order, kind, end) of the rule's matches, in code points."""
     regex = F.lit(rule.regex)
@@ -171,16 +227,17 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     hit = F.transform(F.regexp_extract_all(text, regex, F.lit(0)), F.length)
     kept = F.transform(F.regexp_extract_all(text, regex, F.lit(rule.group)), lambda g: F.length(g) >= rule.least)
     rows = F.arrays_zip(gap.alias("gap"), hit.alias("hit"), kept.alias("kept"))
-    kind = "array<struct<start:int,order:int,kind:string,end:int>>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    size = lambda x: x["gap"] + F.coalesce(x["hit"], F.lit(0))
 
-    def step(state, x):
-        a = state["at"] + x["gap"]
-        b = a + F.coalesce(x["hit"], F.lit(0))
-        span = F.struct(a.alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), b.alias("end"))
-        return F.struct(b.alias("at"), F.when(F.coalesce(x["kept"], F.lit(False)), F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+    def span(x, before):
+        return F.struct(
+            (before + x["gap"]).alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), (before + size(x)).alias("end"),
+            F.coalesce(x["kept"], F.lit(False)).alias("kept"),
+        )
 
-    return F.aggregate(rows, begin, step, lambda s: s["out"])
+    every = _running(rows, size, lambda a, b: a + b, F.lit(0), span, "struct<start:int,order:int,kind:string,end:int,kept:boolean>")
+    plain = lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["kind"].alias("kind"), s["end"].alias("end"))
+    return F.transform(F.filter(every, lambda s: s["kept"]), plain)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text", name: str = "secrets") -> DataFrame:
@@ -209,13 +266,17 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str
     name = C.free_name(docs.columns, "secrets")
     found = scan(docs, rules, text_col=text_col, name=name)
     text = F.col(text_col)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(state, s):
-        out = F.when(s["start"] >= state["at"], F.concat(state["out"], F.array(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.otherwise(state["out"]).alias("out"))
-
-    whole = F.aggregate(name, begin, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    # what stays: from where the spans before it end, to where a span begins; at last the rest
+    cut = lambda s, before: F.struct(before.alias("a"), s["start"].alias("b"))
+    cuts = _running(F.col(name), lambda s: s["end"], F.greatest, F.lit(0), cut, "struct<a:int,b:int>")
+    last = F.struct(F.array_max(F.transform(name, lambda s: s["end"])).alias("a"), F.length(text).alias("b"))
+    cuts = F.concat(F.filter(cuts, lambda c: c["b"] >= c["a"]), F.array(last))
+    def pieces(block):  # cut from the block's part of the text, as a substring is found by walking to it
+        a = F.element_at(block, 1)["a"]
+        part = F.array(F.substring(text, a + 1, F.element_at(block, -1)["b"] - a))
+        return F.flatten(F.transform(part, lambda p: F.transform(block, lambda c: F.substring(p, c["a"] - a + 1, c["b"] - c["a"]))))
+
+    whole = F.array_join(F.flatten(F.transform(_let(cuts, _blocks), pieces)), mark)
     done = found.withColumn(text_col, F.when(F.size(name) > 0, whole).otherwise(text))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.size(name) > 0, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
