@@ -151,10 +151,14 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(C.tidied(_statistics), T.StructType([docs.schema["doc_id"], T.StructField("x", T.ArrayType(T.DoubleType()))]))
 
 
-def fit(stats: DataFrame, labels: DataFrame, name: str = "quality", folds: int = FOLDS) -> Discriminant:
-    """Learn from the labelled rows that aren't held out; the driver gets the moments alone."""
+def fit(frame: DataFrame, labels: DataFrame, name: str = "quality", folds: int = FOLDS) -> Discriminant:
+    """Learn from the labelled rows that aren't held out, of documents or of their statistics; the driver gets the moments alone."""
     d = len(FEATURES)
-    rows = stats.where(~in_fold(F.col("doc_id"), folds)).join(labelled(labels, name), "doc_id").select("x", "label")
+    known = C.written(labelled(labels, name), "labels")
+    rows = frame.where(~in_fold(F.col("doc_id"), folds))
+    if "x" not in frame.columns:  # of texts, those with labels only are gone through
+        rows = with_statistics(C.within(rows.select("doc_id", "text"), known, "doc_id", "left_semi"))
+    rows = C.checked_join(rows.select("doc_id", "x"), known, "doc_id", "inner").select("x", "label")
     sums = rows.mapInArrow(C.tidied(_moments), "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(2 * (1 + d + d * d))
     for at, v in sums:
@@ -181,7 +185,7 @@ def with_score(frame: DataFrame, model: Discriminant, *, text_col: str | None =
 
 def without_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with a score of at least ``threshold``, their columns as they were."""
-    model = fit(with_statistics(docs), labels)
+    model = fit(docs.select("doc_id", "text"), labels)
     name = C.free_name(docs.columns, "score")
     return with_score(docs, model, name=name).where(F.col(name) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
