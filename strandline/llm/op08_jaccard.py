@@ -1,11 +1,15 @@
 """Near-duplicate join by MinHash banding, verified on whole n-gram sets.
 
 1. Each text gives the set of its runs of ``SHINGLE`` words (a shorter one the
-   run of all its words), ``BANDS`` x ``ROWS`` minimum hashes and one key a band.
-   Texts with one set are one class, represented by its smallest id.
-2. Classes that share a band key are candidates. Each is tied to the smallest
-   of its band, and connected components of these ties, which are no more than
-   the classes times the bands, say which classes must be compared.
+   run of all its words), minimum hashes, one key a band of them, and a sketch of
+   ``BITS`` bits, which agree in (1 + s) / 2 of all places for sets of similarity s.
+   Texts with one set are one class, represented by its smallest id. Bands and
+   rows follow from the similarity and the recall asked for.
+2. Classes that share a band key are candidates. In rounds each is held against
+   the smallest of its band (``_ties``): sketches too far apart tie nothing, and a
+   class so near to it that whatever is alike to the class must be tied as well
+   is done with; the others go on among themselves. Connected components of the
+   ties say which classes must be compared.
 3. The classes of a component are compared set against set in tasks of bounded
    size: a large component is dealt into tiers by the size of sets (a pair of
    similarity s has sizes within s of each other, so neighbours suffice) and
@@ -15,7 +19,7 @@
 4. Components of these ties are the classes of near-duplicates.
 
 With r rows and b bands a pair of similarity s is missed with probability
-(1 - s**r)**b: 7e-4 at 0.8 with 6 and 24, before the component's help.
+(1 - s**r)**b: 4e-4 at 0.8 with 6 and 25, before the component's help.
 
 Defined cases: a text without words (null, empty) links with nothing, nor does
 a row without id; rows that repeat an id are the same document; extra columns
@@ -26,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +40,16 @@ from pyspark.sql import functions as F
 from . import common as C
 from .graph import components
 
-SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 6
+SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9995
+#: Bits of a sketch, 64 a number; rounds in which a band's classes are held against its smallest.
+BITS, ROUNDS = 512, 3
 #: Shingles (at least LEAST for a set) that a block may hold: a large component is dealt into
-#: eight blocks a tier, of BLOCK[0] shingles at least and BLOCK[1] at most.
+#: some 24 blocks, of BLOCK[0] shingles at least and BLOCK[1] at most.
 BLOCK, LEAST = (30_000, 400_000), 200
 _A = C.mix(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def shape(similarity: float, recall: float, hashes: int = 256) -> tuple[int, int]:
+def shape(similarity: float, recall: float = RECALL, hashes: int = 176) -> tuple[int, int]:
     """The most rows a band, and bands for them, with which a pair of that similarity meets with ``recall``."""
     best = (math.ceil(math.log(1 - recall) / math.log(1 - similarity)), 1)
     for rows in range(2, 17):
@@ -66,45 +73,64 @@ def shingles(offsets: np.ndarray, raw: np.ndarray, size: int = SHINGLE) -> list[
     return out
 
 
-def band_keys(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """One row of band keys for each set that isn't empty; the band's number is part of a key."""
+def _chunks(sets: list[np.ndarray]):
+    """The sets that aren't empty, some 64k members at once, which stay in the cache: numbers, members, begins."""
     sizes = np.array([len(s) for s in sets])
-    out = np.zeros((len(sets), bands), np.uint64)
     full = np.flatnonzero(sizes)
-    if not len(full):
-        return out
     at = 0
-    while at < len(full):  # some 64k shingles at once stay in the cache
-        end = at + max(1, int(np.searchsorted(np.cumsum(sizes[full[at:]]), 1 << 16)))
+    while at < len(full):
+        end = at + max(1, int(np.searchsorted(np.cumsum(sizes[full[at : at + (1 << 16)]]), 1 << 16)))
         some = full[at:end]
-        x = np.concatenate([sets[k] for k in some])
-        begin = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
-        high = x >> np.uint64(32)
-        for b in range(bands):
-            key = np.full(len(some), np.uint64(b + 1))
-            for r in range(rows):
-                a = _A[b * rows + r]
-                key = key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((x * a + high) >> np.uint64(16), begin)
-            out[some, b] = C.mix(key)
+        yield some, np.concatenate([sets[k] for k in some]), np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
         at = end
-    return out
 
 
-def _signatures(batches):
-    for batch in batches:
-        for part, offsets, raw in C.slices(batch, "text"):
-            sets = shingles(offsets, raw)
-            keys = band_keys(sets).view(np.int64)
-            full = [len(s) > 0 for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if f else None for s, f in zip(sets, full, strict=True)], pa.string()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([k if f else None for k, f in zip(keys, full, strict=True)], pa.list_(pa.int64())),
-                ],
-                ["doc_id", "set_id", "n", "keys"],
-            )
+def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """One row of band keys, and of a sketch's numbers, for each set; the band's number is part of a key.
+
+    The sketch's bits are taken from the minimum hashes, and from more of them where bands have too few.
+    """
+    out, sketch = np.zeros((len(sets), bands), np.uint64), np.zeros((len(sets), BITS // 64), np.uint64)
+    hashes = max(bands * rows, 128)
+    each = -(-BITS // hashes)  # bits of a minimum hash: two sets with other minima differ in each of them by chance
+    for some, x, begin in _chunks(sets):
+        high, bits = x >> np.uint64(32), np.zeros((len(some), hashes * each), bool)
+        key = np.zeros(len(some), np.uint64)
+        for k in range(hashes):
+            low = np.minimum.reduceat((x * _A[k] + high) >> np.uint64(16), begin)
+            if k % rows == 0:
+                key = np.full(len(some), np.uint64(k // rows + 1))
+            key = key * np.uint64(0x9E3779B97F4A7C15) + low
+            if k % rows == rows - 1 and k < bands * rows:
+                out[some, k // rows] = C.mix(key)
+            spread = C.mix(low)
+            for e in range(each):
+                bits[:, k * each + e] = (spread >> np.uint64(11 * e + 5)) & np.uint64(1)
+        packed = np.packbits(np.ascontiguousarray(bits[:, np.arange(BITS) * (hashes * each) // BITS]), axis=1)
+        packed = np.ascontiguousarray(packed)
+        sketch[some] = packed.view(np.uint64)
+    return out, sketch
+
+
+def _signatures(bands: int, rows: int):
+    def run(batches):
+        for batch in batches:
+            for part, offsets, raw in C.slices(batch, "text"):
+                sets = shingles(offsets, raw)
+                keys, sketch = (x.view(np.int64) for x in band_keys(sets, bands, rows))
+                full = [len(s) > 0 for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"),
+                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if f else None for s, f in zip(sets, full, strict=True)], pa.string()),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([k if f else None for k, f in zip(keys, full, strict=True)], pa.list_(pa.int64())),
+                        pa.array(list(sketch), pa.list_(pa.int64())),
+                    ],
+                    ["doc_id", "set_id", "n", "keys", "sketch"],
+                )
+
+    return run
 
 
 def _with_sets(batches):
@@ -158,22 +184,59 @@ def _crosses(unit: str) -> bool:
     return blocks[:2] != blocks[2:]
 
 
-def _compare(batches):
-    for unit in C.grouped(batches, "unit"):
-        ids = unit.column("rep").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        side = unit.column("side").to_numpy()[order]
-        copies = unit.column("copies").to_numpy()[order]
-        raw = unit.column("grams").to_pylist()
-        near = linked([np.frombuffer(raw[k], np.uint64) for k in order])
-        if _crosses(unit.column("unit")[0].as_py()):  # also where one of the blocks has no members
-            near &= side[:, None] != side[None, :]
-        some = near.any(axis=1)
-        if some.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[some]), pa.array((near @ copies)[some].astype(np.int64)), pa.array(ids[reach(near)][some])], ["rep", "links", "low"]
-            )
+def _compare_of(similarity: float):
+    def run(batches):
+        for unit in C.grouped(batches, "unit"):
+            ids = unit.column("rep").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
+            side = unit.column("side").to_numpy()[order]
+            copies = unit.column("copies").to_numpy()[order]
+            raw = unit.column("grams").to_pylist()
+            near = linked([np.frombuffer(raw[k], np.uint64) for k in order], similarity)
+            if _crosses(unit.column("unit")[0].as_py()):  # also where one of the blocks has no members
+                near &= side[:, None] != side[None, :]
+            some = near.any(axis=1)
+            if some.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[some]), pa.array((near @ copies)[some].astype(np.int64)), pa.array(ids[reach(near)][some])], ["rep", "links", "low"]
+                )
+
+    return run
+
+
+def _ties(classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): ties whose components hold every pair of classes that share a band and may be alike.
+
+    In each round a band's classes are held against its smallest, p. A class x with a similarity of (1 + s) / 2
+    or more to p, s being the one asked for, needs no other tie: what is alike to x has one of 1.5 s - 0.5 or more
+    to p, Jaccard's distance being a metric, and is tied to p as well, as only what the sketch shows to be 0.2 below
+    that isn't. All others go on without p. After the last round the rest of a band is tied whatever its sketches.
+    """
+    far = BITS * (1 - max(0.0, 1.5 * similarity - 0.7)) / 2
+    done = BITS * (1 - (1 + similarity) / 2) / 2
+    banded = classes.select("rep", "sketch", F.explode("keys").alias("key"))
+    counts = banded.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    counts = C.written(counts, "bands")
+    total = counts.agg(F.sum("many")).first()[0] or 0
+    hot = [r[0] for r in counts.where(F.col("many") > max(200, total // 512)).select("key").collect()]
+    active = C.written(C.join_hot(banded, counts.select("key"), "key", hot=hot), "banded")
+    ties = []
+    for k in range(ROUNDS + 1):
+        low = active.groupBy("key").agg(F.min(F.struct("rep", "sketch")).alias("low"), F.count(F.lit(1)).alias("many")).where("many > 1")
+        low = C.written(low, "lows")
+        if low.isEmpty():
+            break
+        held = C.join_hot(active, low.select("key", "low"), "key", hot=hot).where("rep <> low.rep")
+        if k == ROUNDS:
+            ties.append(held.select(F.col("rep").alias("a"), F.col("low.rep").alias("b")))
+            break
+        apart = reduce(lambda x, y: x + y, [F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("low.sketch")[i])) for i in range(BITS // 64)])
+        held = C.written(held.select("rep", "sketch", "key", F.col("low.rep").alias("low"), apart.alias("apart")), "held")
+        ties.append(held.where(F.col("apart") <= far).select(F.col("rep").alias("a"), F.col("low").alias("b")))
+        active = held.where(F.col("apart") > done).select("rep", "sketch", "key")
+    empty = classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    return reduce(DataFrame.unionByName, ties, empty)
 
 
 def _units(members: DataFrame, similarity: float) -> DataFrame:
@@ -181,10 +244,9 @@ def _units(members: DataFrame, similarity: float) -> DataFrame:
     step = -math.log(similarity)
     tier = F.floor(F.log(F.col("n").cast("double")) / F.lit(step) + F.lit(1e-9)).cast("int")
     members = members.withColumn("w", F.greatest("n", F.lit(LEAST))).withColumn("tier", tier)
-    size = F.greatest(F.lit(BLOCK[0]), F.least(F.lit(BLOCK[1]), F.floor(F.col("s") / 8)))
     tiers = members.groupBy("component", "tier").agg(F.sum("w").alias("s"))
     whole = tiers.groupBy("component").agg(F.sum("s").alias("s"), F.collect_list(F.struct("tier", "s")).alias("t")).where(F.col("s") > BLOCK[0])
-    size = F.greatest(F.lit(BLOCK[0]), F.least(F.lit(BLOCK[1]), F.floor(F.col("s") / 8)))
+    size = F.greatest(F.lit(BLOCK[0]), F.least(F.lit(BLOCK[1]), F.floor(F.col("s") / 24)))
     dealt = F.transform("t", lambda t: F.struct(t["tier"].alias("tier"), F.ceil(t["s"] / size).cast("int").alias("blocks")))
     whole = C.written(whole.select("component", F.map_from_entries(dealt).alias("tiers")), "large")  # a few hundred tiers at most
     members = C.checked_join(members, whole, "component", "left")
@@ -203,30 +265,28 @@ def _units(members: DataFrame, similarity: float) -> DataFrame:
     return members.select("rep", "copies", F.explode(some).alias("u")).select("rep", "copies", "u.unit", "u.side")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): class_id, the smallest id that links reach, and n_links,
-    the number of other documents with a similarity of at least ``similarity``.
+    the number of other documents with a similarity of at least ``similarity``; of pairs just that alike
+    a share of ``recall`` is found, of others more.
 
     Both are null and 0 where there is nothing to compare.
     """
+    bands, rows = shape(similarity, recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = C.written(docs.mapInArrow(C.tidied(_signatures), "doc_id long, set_id string, n long, keys array<long>"), "signatures")
+    schema = "doc_id long, set_id string, n long, keys array<long>, sketch array<long>"
+    signed = C.written(docs.mapInArrow(C.tidied(_signatures(bands, rows)), schema), "signatures")
     classes = signed.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")
     )
     classes = C.written(classes, "classes")
-    banded = classes.select("rep", F.explode("keys").alias("key"))
-    shared = C.written(banded.groupBy("key").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("many")).where("many > 1"), "bands")
-    total = shared.agg(F.sum("many")).first()[0] or 0
-    hot = [r[0] for r in shared.where(F.col("many") > max(200, total // 512)).select("key").collect()]
-    ties = C.join_hot(banded, shared, "key", hot=hot).where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    groups = C.written(components(ties).withColumnRenamed("node", "rep"), "groups")
+    groups = C.written(components(_ties(classes, similarity)).withColumnRenamed("node", "rep"), "groups")
     members = C.written(C.checked_join(classes.select("rep", "copies", "n"), groups, "rep", "inner"), "members")
     units = C.written(_units(members, similarity), "units")
     texts = C.within(docs.where("doc_id IS NOT NULL"), members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     sets = texts.mapInArrow(C.tidied(_with_sets), "doc_id long, grams binary").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
     tasks = units.join(sets, "rep").repartition("unit").sortWithinPartitions("unit")
-    found = C.written(tasks.mapInArrow(C.tidied(_compare), "rep long, links long, low long"), "links")
+    found = C.written(tasks.mapInArrow(C.tidied(_compare_of(similarity)), "rep long, links long, low long"), "links")
     ends = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "rep")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     tied = C.written(links.join(ends, "rep", "left"), "tied")
