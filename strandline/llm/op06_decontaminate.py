@@ -1,10 +1,14 @@
 """Benchmark decontamination by a broadcast hash set of normalised test n-grams.
 
 Every item of the benchmark gives its windows of ``size`` successive words (an
-item with fewer words is one window). Their hashes are broadcast in blocks of
-at most ``max_grams`` windows; where the benchmark has more, the documents are
-scanned once for each block, so that what is broadcast stays bounded however
-large the benchmark is. Document windows that hit are verified word by word.
+item with fewer words is one window). Windows with the items that hold them are
+dealt by hash into blocks of at most some ``block_bytes``, each a sorted array of
+hashes beside the windows' words, to verify hits by, and the items' ids; a window
+that many items share is spread over blocks by item. Blocks are broadcast, at
+most ``HELD`` at a time, and a worker opens one at once: it goes through all
+documents of an Arrow batch, whose hits are gathered, before the next. Only a
+benchmark of more than ``HELD`` blocks makes the documents be written and read
+again, once for each further ``HELD`` blocks.
 
 Defined cases: a null or empty text has no words and is clean; an item with no
 words gives nothing; an item with a null id still marks words but is not
@@ -17,6 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +29,10 @@ from pyspark.sql import types as T
 from . import common as C
 
 WINDOW_WORDS = 10
-MAX_GRAMS = 500_000
+#: Bytes of a block of windows, as a worker holds it; blocks that are broadcast at a time.
+BLOCK_BYTES, HELD = 32 << 20, 16
+#: What a window costs beside its words: hash, place, size and item.
+_ROW = 32
 SPAN = T.ArrayType(T.StructType([T.StructField("from_word", T.LongType()), T.StructField("to_word", T.LongType())]))
 
 
@@ -49,36 +57,54 @@ def _grams_of(size: int, id_col: str, text_col: str):
 
 
 def gram_table(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW_WORDS) -> DataFrame:
-    """One row for each distinct window with the sorted ids of the items that hold it."""
+    """One row for each distinct window and item that holds it: words, gram, item."""
     found = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).mapInArrow(
         _grams_of(size, "item", "text"), "words int, gram binary, item long"
     )
-    return found.groupBy("words", "gram").agg(F.sort_array(F.collect_set("item")).alias("items"))
-
-
-class _Set:
-    """Windows of a block, looked up by hash and verified by their words."""
-
-    def __init__(self, rows):
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, list]] = {}
-        sizes: dict[int, list] = {}
-        for words, gram, items in rows:
-            sizes.setdefault(words, []).append((bytes(gram), list(items)))
-        for words, grams in sizes.items():
-            joined = b" ".join(g for g, _ in grams)
-            w = C.Words(np.array([0, len(joined)]), np.frombuffer(joined, np.uint8))
-            hashes = C.windows(w.hashes(), words)[::words]
-            order = np.argsort(hashes, kind="stable")
-            bits = np.zeros(1 << 20, bool)
-            bits[hashes >> np.uint64(44)] = True
-            self.by_size[words] = (hashes[order], bits, [grams[i] for i in order])
+    return found.distinct()
+
+
+class Block:
+    """Windows and items, looked up by hash and verified by their words: arrays, one after another."""
+
+    def __init__(self, table: pa.Table):
+        """From rows of words, gram and item (null: none to list)."""
+        table = table.sort_by([("words", "ascending"), ("gram", "ascending")]).combine_chunks()
+        words, grams, item = table.column("words").to_numpy(), table.column("gram"), table.column("item")
+        new = np.ones(len(table), bool)
+        if len(table) > 1:
+            new[1:] = (words[1:] != words[:-1]) | pc.not_equal(grams.slice(1), grams.slice(0, len(table) - 1)).to_numpy()
+        at = np.flatnonzero(new)
+        self.begin, self.known, self.items = np.append(at, len(table)), item.is_valid().to_numpy(), item.fill_null(0).to_numpy()
+        words, grams = words[at], grams.take(pa.array(at)).combine_chunks()
+        offsets, raw = C.strings(grams.view(pa.string()))
+        self.text, self.data = offsets, raw
+        hashes = np.empty(len(at), np.uint64)
+        for a, b in C.pieces(offsets):
+            w = C.Words(offsets[a : b + 1], raw)
+            h = w.hashes()
+            for n in np.unique(words[a:b]).tolist():
+                some = np.flatnonzero(words[a:b] == n)
+                hashes[a + some] = C.windows(h, n)[w.first[some]]
+        self.by_size = {}
+        for n in np.unique(words).tolist():
+            some = np.flatnonzero(words == n)
+            order = some[np.argsort(hashes[some], kind="stable")]
+            self.by_size[n] = (hashes[order], order.astype(np.int32))
+
+    @property
+    def nbytes(self) -> int:
+        fixed = sum(x.nbytes for x in (self.items, self.known, self.begin, self.data, self.text))
+        return fixed + sum(h.nbytes + o.nbytes for h, o in self.by_size.values())
 
     def hits(self, w: C.Words, hashes: np.ndarray):
         """(first word, words, items) of every verified window, each within one row."""
-        for size, (keys, bits, grams) in self.by_size.items():
+        for size, (keys, place) in self.by_size.items():
             h = C.windows(hashes, size)
             if not len(h):
                 continue
+            bits = np.zeros(1 << 20, bool)
+            bits[keys >> np.uint64(44)] = True
             maybe = np.flatnonzero(bits[h >> np.uint64(44)])
             maybe = maybe[w.row[maybe] == w.row[maybe + size - 1]]
             at = np.searchsorted(keys, h[maybe])
@@ -88,8 +114,10 @@ class _Set:
             for k, i in zip(maybe[ok].tolist(), at[ok].tolist(), strict=True):
                 said = w.text(k, k + size)
                 while i < len(keys) and keys[i] == h[k]:
-                    if grams[i][0] == said:
-                        yield k, size, grams[i][1]
+                    g = place[i]
+                    if self.data[self.text[g] : self.text[g + 1]].tobytes() == said:
+                        a, b = self.begin[g], self.begin[g + 1]
+                        yield k, size, self.items[a:b][self.known[a:b]].tolist()
                         break
                     i += 1
 
@@ -104,45 +132,68 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _scan_of(shared, text_col: str, names: tuple[str, str, str], carry: bool):
+def _scan_of(blocks: list, text_col: str, names: tuple[str, str, str], carry: bool):
     n_name, span_name, item_name = names
     span_type = pa.list_(pa.struct([("from_word", pa.int64()), ("to_word", pa.int64())]))
 
     def run(batches):
-        grams = None
+        only = Block(_opened(blocks[0])) if len(blocks) == 1 else None
         for batch in batches:
-            grams = grams or _Set(shared.value)
+            n = batch.num_rows
+            spans: list[list] = [[] for _ in range(n)]
+            items: list[set] = [set() for _ in range(n)]
+            count = np.zeros(n, np.int64)
+            parts, at = [], 0
             for part, offsets, raw in C.slices(batch, text_col):
                 w = C.Words(offsets, raw)
-                n = part.num_rows
-                spans: list[list] = [[] for _ in range(n)]
-                items: list[set] = [set() for _ in range(n)]
-                for k, size, ids in grams.hits(w, w.hashes()):
-                    r = int(w.row[k])
-                    a = k - int(w.first[r])
-                    spans[r].append((a, a + size))
-                    items[r].update(i for i in ids if i is not None)
-                columns = [part.column(i) for i in range(part.num_columns)]
-                fields = list(part.schema.names)
-                if carry:
-                    for r, (s, i) in enumerate(zip(part.column(span_name).to_pylist(), part.column(item_name).to_pylist(), strict=True)):
-                        spans[r] += [(x["from_word"], x["to_word"]) for x in s]
-                        items[r].update(i)
-                    keep = [k for k, f in enumerate(fields) if f not in names]
-                    columns, fields = [columns[k] for k in keep], [fields[k] for k in keep]
-                columns += [
-                    pa.array(np.diff(w.first), pa.int64()),
-                    pa.array([[{"from_word": a, "to_word": b} for a, b in _merged(s)] for s in spans], span_type),
-                    pa.array([sorted(i) for i in items], pa.list_(pa.int64())),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, [*fields, *names])
+                count[at : at + part.num_rows] = np.diff(w.first)
+                parts.append((at, w, w.hashes()))
+                at += part.num_rows
+            for sent in blocks:
+                block = only or Block(_opened(sent))
+                for at, w, hashes in parts:
+                    for k, size, ids in block.hits(w, hashes):
+                        r = int(w.row[k])
+                        a = k - int(w.first[r])
+                        spans[at + r].append((a, a + size))
+                        items[at + r].update(ids)
+                del block
+            del parts
+            columns = [batch.column(i) for i in range(batch.num_columns)]
+            fields = list(batch.schema.names)
+            if carry:
+                for r, (s, i) in enumerate(zip(batch.column(span_name).to_pylist(), batch.column(item_name).to_pylist(), strict=True)):
+                    spans[r] += [(x["from_word"], x["to_word"]) for x in s]
+                    items[r].update(i)
+                keep = [k for k, f in enumerate(fields) if f not in names]
+                columns, fields = [columns[k] for k in keep], [fields[k] for k in keep]
+            columns += [
+                pa.array(count, pa.int64()),
+                pa.array([[{"from_word": a, "to_word": b} for a, b in _merged(s)] for s in spans], span_type),
+                pa.array([sorted(i) for i in items], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [*fields, *names])
 
     return run
 
 
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _opened(sent) -> pa.Table:
+    """A broadcast block's rows, read from the worker's file each time: the worker keeps none."""
+    path = getattr(sent, "_path", None)
+    held = sent.load_from_path(path) if path and "_value" not in sent.__dict__ else sent.value
+    return pa.ipc.open_stream(pa.py_buffer(held)).read_all()
+
+
 def scan(
     docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    size: int = WINDOW_WORDS, max_grams: int = MAX_GRAMS, names: tuple[str, str, str] = ("n_words", "spans", "items"),
+    size: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES, names: tuple[str, str, str] = ("n_words", "spans", "items"),
 ) -> DataFrame:
     """``docs`` with the number of words, the merged runs of hit words, and the items that occur.
 
@@ -151,14 +202,15 @@ def scan(
     spark = docs.sparkSession
     names = tuple(C.free_name(docs.columns, n) for n in names)
     grams = C.written(gram_table(benchmark, item_col, item_text_col, size), "grams")
-    blocks = max(1, -(-grams.count() // max_grams))
-    block = F.pmod(F.xxhash64("words", "gram"), F.lit(blocks))
+    total = grams.agg(F.sum(F.length("gram") + _ROW)).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    block = F.pmod(F.xxhash64("words", "gram", "item"), F.lit(blocks))
     schema = C.with_fields(docs.schema, (names[0], T.LongType()), (names[1], SPAN), (names[2], T.ArrayType(T.LongType())))
     out = docs
-    for k in range(blocks):
-        rows = [(r[0], bytes(r[1]), r[2]) for r in grams.where(block == k).collect()]
-        out = out.mapInArrow(_scan_of(spark.sparkContext.broadcast(rows), text_col, names, k > 0), schema)
-        if k < blocks - 1:
+    for first in range(0, blocks, HELD):
+        held = [spark.sparkContext.broadcast(_packed(grams.where(block == k).toArrow())) for k in range(first, min(blocks, first + HELD))]
+        out = out.mapInArrow(C.tidied(_scan_of(held, text_col, names, first > 0)), schema)
+        if first + HELD < blocks:
             out = C.written(out, "hits")
     return out
 

@@ -317,7 +317,7 @@ def test_archives_on_a_file_system(spark, tmp_path):
 
 # ------------------------------------------------------------------ 6
 
-def test_decontamination_against_brute_force(spark):
+def test_decontamination_against_brute_force(spark, monkeypatch):
     r = random.Random(7)
     vocabulary = [f"w{k}" for k in range(60)]
     items = [(k, " ".join(r.choice(vocabulary) for _ in range(n))) for k, n in enumerate((25, 10, 12, 3, 1, 40))] + [(6, None), (7, "!!"), (None, "null id words"), (1, "second text of item one")]
@@ -330,8 +330,9 @@ def test_decontamination_against_brute_force(spark):
         n = min(10, len(w))
         for k in range(len(w) - n + 1 if n else 0):
             grams.setdefault(tuple(w[k : k + n]), set()).add(item)
-    for most in (1_000_000, 20):  # one block, and many
-        found = op06_decontaminate.scan(df, bench, max_grams=most)
+    for most, held in ((1 << 20, 16), (800, 16), (800, 3)):  # one block; many, at once and not
+        monkeypatch.setattr(op06_decontaminate, "HELD", held)
+        found = op06_decontaminate.scan(df, bench, block_bytes=most)
         assert found.columns[:4] == df.columns and found.columns[4:] == ["_N_WORDS".replace("N_WORDS", "n_words"), "_spans", "items"]
         for row in found.collect():
             w = H.words(row.text)
@@ -351,6 +352,18 @@ def test_decontamination_against_brute_force(spark):
     assert op06_decontaminate.scan(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_block_is_bounded_by_bytes():
+    words = [f"w{k % 5000}x{k // 5000}".encode() for k in range(100_000)]
+    grams = [b" ".join(words[k : k + 10]) for k in range(90_000)]
+    table = pa.table({"words": pa.array([10] * 90_000, pa.int32()), "gram": pa.array(grams, pa.binary()), "item": pa.array(range(90_000), pa.int64())})
+    said = sum(map(len, grams)) + op06_decontaminate._ROW * len(grams)
+    block = op06_decontaminate.Block(table)
+    assert block.nbytes <= 1.2 * said
+    text = pa.array([b" ".join(words[500:520]).decode()])
+    w = C.Words(*C.strings(text))
+    assert [(k, ids) for k, _, ids in block.hits(w, w.hashes())] == [(k, [500 + k]) for k in range(11)]
+
+
 # ------------------------------------------------------------------ 7
 
 def test_vectors_against_all_pairs(spark, monkeypatch):
@@ -416,6 +429,22 @@ def test_jaccard_links_of_long_texts_beside_empty_blocks(spark):
     assert got == {k: (k // 2 * 2, 1) for k in range(12)}
 
 
+@pytest.mark.parametrize("similarity", [0.5, 0.65, 0.8])
+def test_jaccard_join_at_any_similarity(spark, similarity):
+    r = random.Random(9)
+    base = [[f"w{r.randrange(900)}" for _ in range(150)] for _ in range(8)]
+    docs = [(i, " ".join(f"w{r.randrange(500)}" for _ in range(r.randint(1, 80)))) for i in range(30)]
+    for k in range(240):
+        w = list(base[k % 8])
+        for _ in range(r.randint(0, 18)):
+            w[r.randrange(150)] = f"w{r.randrange(500)}"
+        docs.append((100 + k, " ".join(w)))
+    sets = {i: s for i, t in docs if (s := H.shingles(t))}
+    _, links = H.classes(sets, lambda a, b: len(a & b) / len(a | b) >= similarity)
+    got = {x.doc_id: x.n_links for x in op08_jaccard.near_duplicates(_docs(spark, docs), similarity).collect()}
+    assert all(got[i] <= links[i] for i in sets) and sum(got.values()) >= 0.99 * sum(links.values()) > 0
+
+
 def test_band_shape():
     for similarity, recall in ((0.8, 0.999), (0.5, 0.9)):
         bands, rows = op08_jaccard.shape(similarity, recall)
