@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LEVEL = 3
+#: Bytes after which an archive ends: a reader takes one as a whole.
+ARCHIVE_BYTES = 32 << 20
 _BEGIN = b"\x1f\x8b\x08"
 _VERSION = b"WARC/1."
 _EMPTY = zlib.compress(b"", 6, 31)
@@ -84,19 +86,49 @@ def _digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data, usedforsecurity=False).digest()).decode()
 
 
-def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """Header, block and end of the record that begins at ``at``; ValueError where a check fails."""
+class Marks:
+    """Where markers come next in some bytes: each is searched for on from where it was found last, so that all
+    searches together go through the bytes once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.found = data, {}
+
+    def next(self, mark: bytes, at: int) -> int:
+        """The first place from ``at`` on, or the length of the bytes."""
+        begin, place = self.found.get(mark, (0, -1))
+        if not begin <= at <= place:
+            place = self.data.find(mark, at)
+            place = len(self.data) if place < 0 else place
+            self.found[mark] = (at, place)
+        return place
+
+
+def parse(data: bytes, at: int = 0, marks: Marks | None = None) -> tuple[dict[str, str], bytes, int]:
+    """Header, block and end of the record that begins at ``at``; ValueError where a check fails.
+
+    A header is read line by line, each of any length, and given up at the first line that can't be one.
+    """
+    marks = marks or Marks(data)
     if not data.startswith(_VERSION, at):
         raise ValueError("version")
-    head = data.find(b"\r\n\r\n", at)  # a url may be of any length
-    if head < 0:
-        raise ValueError("header")
-    lines = data[at:head].decode("utf-8", "strict").split("\r\n")[1:]
-    if not all(":" in x for x in lines):
+    fields: dict[str, str] = {}
+    line = marks.next(b"\r\n", at)
+    if marks.next(_VERSION, at + 1) < line:  # another version before this line's end: no header here
         raise ValueError("header")
-    fields = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines)}
+    while True:
+        k = line + 2
+        line = marks.next(b"\r\n", k)
+        if line >= len(data):
+            raise ValueError("header")
+        if line == k:
+            break
+        colon = data.find(b":", k, line)
+        if colon < 0 or data.startswith(_VERSION, k):
+            raise ValueError("header")
+        fields[data[k:colon].decode("utf-8", "strict").strip().lower()] = data[colon + 1 : line].decode("utf-8", "strict").strip()
+    head = line - 2
     size = fields.get("content-length", "")
-    end = head + 4 + int(size) if size.isdigit() else len(data) + 1
+    end = head + 4 + int(size) if size.isdigit() and len(size) < 19 else len(data) + 1
     if end + 4 > len(data) or data[end : end + 4] != b"\r\n\r\n":
         raise ValueError("length")
     block = data[head + 4 : end]
@@ -105,46 +137,63 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return fields, block, end + 4
 
 
-def inflated(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int, str]:
+def _body(data: bytes, at: int, marks: Marks) -> int:
+    """Where the deflated bytes of the gzip member that begins at ``at`` begin; the length of the bytes if nowhere."""
+    flags, k = data[at + 3] if at + 10 < len(data) else 0xE0, at + 10
+    if flags & 0xE0:
+        return len(data)
+    if flags & 4:
+        k += 2 + int.from_bytes(data[k : k + 2], "little")
+    for bit in (8, 16):  # a name and a comment, each up to a zero
+        if flags & bit:
+            k = marks.next(b"\0", k) + 1
+    return min(len(data), k + (2 if flags & 2 else 0))
+
+
+def inflated(data: bytes, at: int, marks: Marks | None = None, step: int = 1 << 16) -> tuple[bytes, int, str]:
     """What the gzip member that begins at ``at`` holds, its end, and what is wrong: then as much of it as there is.
 
-    It is fed bit by bit, as what follows it is copied.
+    It is fed part by part, as what follows it is copied; where a part fails, halves of it show how far it is good.
     """
-    begin, inflate, out = at, zlib.decompressobj(31), []
+    at = _body(data, at, marks or Marks(data))
+    inflate, out, size = zlib.decompressobj(-15), [], 32  # most places that only look like a member fail at once
     while not inflate.eof:
         if at >= len(data):
             return b"".join(out), at, "member"
-        part = data[at : at + step]
+        before, part = inflate.copy(), data[at : at + size]
         try:
             out.append(inflate.decompress(part))
         except zlib.error as e:
-            inflate, out = zlib.decompressobj(31), []  # the part again by bytes, as an error takes what was before it
-            for k in range(begin, at, step):
-                out.append(inflate.decompress(data[k : k + step]))
-            for k in range(at, at + len(part)):
+            while len(part) > 1 and size > 32:
+                half, trial = part[: len(part) // 2], before.copy()
                 try:
-                    out.append(inflate.decompress(data[k : k + 1]))
+                    out.append(trial.decompress(half))
                 except zlib.error:
-                    return b"".join(out), k + 1, str(e)[:60]
-        at += len(part)
-    return b"".join(out), at - len(inflate.unused_data), ""
+                    part = half
+                else:
+                    before, part, at = trial, part[len(half) :], at + len(half)
+            return b"".join(out), at + 1, str(e)[:60]
+        at, size = at + len(part), min(step, 4 * size)
+    at -= len(inflate.unused_data)
+    plain, check = b"".join(out), data[at : at + 8]
+    if check != zlib.crc32(plain).to_bytes(4, "little") + (len(plain) & 0xFFFFFFFF).to_bytes(4, "little"):
+        return plain, min(len(data), at + 8), "check"
+    return plain, at + 8, ""
 
 
 def _within(plain: bytes, whole: bool) -> tuple[list, str]:
     """The good records of an inflated member, and why others aren't; of a damaged member those with a digest of their own."""
-    found, why, k = [], "", 0
+    found, why, k, marks = [], "", 0, Marks(plain)
     while k < len(plain):
         try:
-            fields, block, end = parse(plain, k)
+            fields, block, end = parse(plain, k, marks)
             if not whole and "warc-block-digest" not in fields:
                 raise ValueError("member")
             found.append((fields, block))
             k = end
         except ValueError as e:
             why = why or str(e)[:60]
-            k = plain.find(_VERSION, k + 1)
-            if k < 0:
-                break
+            k = marks.next(_VERSION, k + 1)
     return found, why
 
 
@@ -154,12 +203,12 @@ def salvage(data: bytes):
     Plain and compressed records may be mixed. Good empty members yield nothing. A member with good and bad records
     yields the good ones and a gap, each with the member's places.
     """
-    at, bad, why = 0, -1, ""
+    at, bad, why, marks = 0, -1, "", Marks(data)
     while at < len(data):
         lines = at + 1
         try:
             if data.startswith(_BEGIN, at):
-                plain, end, wrong = inflated(data, at)
+                plain, end, wrong = inflated(data, at, marks)
                 found, lost = _within(plain, not wrong)
                 if found and bad >= 0:
                     yield "gap", bad, at, why, None
@@ -173,15 +222,14 @@ def salvage(data: bytes):
                     raise ValueError(wrong or lost)
                 found = []
             elif data.startswith(_VERSION, at):
-                fields, block, end = parse(data, at)
+                fields, block, end = parse(data, at, marks)
                 found = [(fields, block)]
             else:
                 raise ValueError("begin")
         except ValueError as e:
             if bad < 0:
                 bad, why = at, str(e)[:60] or "member"
-            nexts = [x for x in (data.find(_BEGIN, at + 1), data.find(_VERSION, lines)) if x >= 0]
-            at = min(nexts, default=len(data))
+            at = min(marks.next(_BEGIN, at + 1), marks.next(_VERSION, lines))
             continue
         if bad >= 0:
             yield "gap", bad, at, why, None
@@ -196,22 +244,28 @@ def salvage(data: bytes):
 # ------------------------------------------------------------------ archives
 
 def _members(batches):
+    """Members, and the number of the partition's archive that each goes to."""
     names = ("page_id", "url", "payload", "payload_digest", "record_type", "refers_to")
+    number = size = 0
     for batch in batches:
-        out = []
+        out, archive = [], []
         for row in zip(*(batch.column(n) for n in names), strict=True):
             out.append(member(record(*(x.as_py() for x in row))))
+            if size and size + len(out[-1]) > ARCHIVE_BYTES:
+                number, size = number + 1, 0
+            size += len(out[-1]) + len(_EMPTY)
+            archive.append(number)
             if len(out) == 256:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
-                out = []
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(archive)], ["value", "archive"])
+                out, archive = [], []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(archive)], ["value", "archive"])
 
 
 def write_archives(rows: DataFrame, path: str) -> None:
-    """Write typed pages as archives below ``path``, one a partition, of 20,000 records at most."""
-    members = rows.mapInArrow(C.tidied(_members), "value binary").select(F.col("value").cast("string").alias("value"))
-    members.write.option("lineSep", _EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 20_000).text(path)
+    """Write typed pages as archives below ``path``, of ``ARCHIVE_BYTES`` at most or of a single record."""
+    members = rows.mapInArrow(C.tidied(_members), "value binary, archive long").select(F.col("value").cast("string").alias("value"), "archive")
+    members.write.option("lineSep", _EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").partitionBy("archive").text(path)
 
 
 def _records(batches):
@@ -262,8 +316,12 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as archives in shared storage and read back."""
     path = f"{C.shared_dir(spark)}/archives-{C.uuid.uuid4().hex[:8]}"
-    write_archives(typed(C.table(spark, sf_dir, "pages")), path)
-    found = read_archives(spark, path, payloads=False).where("gap IS NULL")
+    pages = C.table(spark, sf_dir, "pages")
+    write_archives(typed(pages), path)
+    found = C.written(read_archives(spark, path, payloads=False), "records")
+    wrote, read, gaps = pages.count(), found.where("gap IS NULL").count(), found.where("gap IS NOT NULL").count()
+    if (read, gaps) != (wrote, 0):
+        raise ValueError(f"{wrote} pages were written, {read} records and {gaps} gaps read back")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -293,6 +293,39 @@ def test_salvage_keeps_long_urls_and_good_records_of_damaged_members():
     assert pages(out) == list(range(12)) and out[-1][0] == "gap"
 
 
+def test_salvage_goes_through_noise_once():
+    import time
+
+    good = _record(7, "kept")
+    noise = random.Random(5).randbytes(4_000_000)
+    for junk in (noise * 5, b"WARC/1." * 1_000_000, b"WARC/1.1\r\nA: b\r\n" * 300_000, b"\x1f\x8b\x08" * 200_000, b"WARC/1.1\r\n" * 500_000):
+        began = time.time()
+        out = list(op05_warc.salvage(good + junk + b"\r\n\r\n" + op05_warc.member(good) + junk))
+        assert [x[0] for x in out] == ["record", "gap", "record", "gap"] and time.time() - began < 30
+    three = [_record(k, "x" * 50) for k in range(3)]
+    for packed in (False, True):
+        data = b"".join([three[0], three[1].replace(b"xx", b"yy"), three[2]])
+        out = list(op05_warc.salvage(op05_warc.member(data) if packed else data))
+        assert [int(x[3]["warc-record-id"][10:-1]) for x in out if x[0] == "record"] == [0, 2] and [x[0] for x in out].count("gap") == 1
+    fifty = op05_warc.member(b"".join(_record(k, f"page {k} " * 40) for k in range(50)))
+    out = list(op05_warc.salvage(fifty[:-20]))
+    assert len([x for x in out if x[0] == "record"]) >= 45 and out[-1][0] == "gap"
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(op05_warc, "ARCHIVE_BYTES", 2_000)  # in this process: the writer's own function
+    r = random.Random(8)
+    batch = pa.table({
+        "page_id": range(20), "url": ["u"] * 20, "payload": pa.array([r.randbytes(900) for _ in range(20)], pa.binary()),
+        "payload_digest": ["d"] * 20, "record_type": ["response"] * 20, "refers_to": pa.array([None] * 20, pa.int64()),
+    }).to_batches()
+    sizes = {}
+    for out in op05_warc._members(batch):
+        for value, archive in zip(out.column("value").to_pylist(), out.column("archive").to_pylist(), strict=True):
+            sizes[archive] = sizes.get(archive, 0) + len(value)
+    assert len(sizes) > 5 and max(sizes.values()) <= 2_600
+
+
 def test_archives_on_a_file_system(spark, tmp_path):
     rows = [(1, "http://a", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://c\r\nd", None), (4, "", ""), (5, "u", "z" * 300_000), (None, "u", "<p>é</p>"), (5, "u", "z" * 300_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1))
@@ -307,7 +340,7 @@ def test_archives_on_a_file_system(spark, tmp_path):
     none = str(tmp_path / "none")
     op05_warc.write_archives(op05_warc.typed(pages.limit(0)), none)
     assert op05_warc.read_archives(spark, none).count() == 0
-    file = next(tmp_path.glob("w/part-*"))
+    file = next(tmp_path.glob("w/*/part-*"))
     file.write_bytes(file.read_bytes()[5:] + b"junk")
     file.with_name(f".{file.name}.crc").unlink()  # the local file system's own check
     assert op05_warc.read_archives(spark, path).where("gap IS NOT NULL").count() >= 1
