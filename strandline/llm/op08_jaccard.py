@@ -215,12 +215,14 @@ def _ties(classes: DataFrame, similarity: float) -> DataFrame:
     """
     far = BITS * (1 - max(0.0, 1.5 * similarity - 0.7)) / 2
     done = BITS * (1 - (1 + similarity) / 2) / 2
-    banded = classes.select("rep", "sketch", F.explode("keys").alias("key"))
+    banded = classes.select("rep", F.explode("keys").alias("key"))
     counts = banded.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     counts = C.written(counts, "bands")
     total = counts.agg(F.sum("many")).first()[0] or 0
     hot = [r[0] for r in counts.where(F.col("many") > max(200, total // 512)).select("key").collect()]
-    active = C.written(C.join_hot(banded, counts.select("key"), "key", hot=hot), "banded")
+    shared = C.written(C.join_hot(banded, counts.select("key"), "key", hot=hot), "banded")
+    known = C.written(C.within(classes.select("rep", "sketch"), shared, "rep", "left_semi"), "sketches")  # of those that share a band
+    active = C.written(C.checked_join(shared, known, "rep", "inner", hot=[]), "active")
     ties = []
     for k in range(ROUNDS + 1):
         low = active.groupBy("key").agg(F.min(F.struct("rep", "sketch")).alias("low"), F.count(F.lit(1)).alias("many")).where("many > 1")
