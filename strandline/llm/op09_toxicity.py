@@ -1,26 +1,32 @@
 """Toxicity by noisy-channel deobfuscation and learnt evidence.
 
-A character trigram model is counted over all documents. Words that may be
-disguised (digits or signs among letters, a letter three times running, most letters
-twice, letters spelled out one by one or with marks between) become lattices: each symbol may
-stand for itself or, at a cost, for the letters it resembles, and a run for one
-letter or two. Viterbi search restores the likeliest word. Evidence are whole
-words and the beginnings of words, as written and as restored. Its weight is
-the log ratio of the shares of toxic and other training documents that have it
-(or have it often, for their length); each toxic document vouches for its
+A character trigram model is counted over all documents. What may be disguised
+(digits or signs among letters, marks between them, a letter three times
+running, most letters twice, letters spelled out one by one) becomes a lattice:
+each symbol may stand for itself or, at a cost, for the letters it resembles, a
+run for one letter or two, a mark or a blank between spelled letters for nothing
+or for a word's end. Viterbi search restores the likeliest words, however long
+the lattice is. Evidence are whole words and the beginnings of words, as written
+and as restored. Its weight is the log ratio of the shares of toxic and other
+training documents that have it (or have it often, for their length), if that is
+significant among as many pairs as are tried; each toxic document vouches for its
 strongest evidence, up to half as strong, and what too few vouch for is
 dropped, so that passages copied along with toxic words do not weigh. The score
 is the logistic function of the strongest weight, a part of the others, and
-the prior.
+the prior. Evidence is counted, weighed and joined in tables that stay on the
+cluster; workers get it in blocks of at most ``BLOCK`` hashes, one after another
+for each Arrow batch.
 
 Defined cases: null and empty texts have no evidence and the score of the
 prior; labels that are null or neither 0 nor 1 are not learnt from; without
-labels the score is 0; words are searched whole, in texts of any length, but a
-run of over ``LONGEST`` bytes is no disguised word; extra columns pass through.
+labels the score is 0; words are searched whole, in texts of any length; extra
+columns pass through.
 """
 
 from __future__ import annotations
 
+import heapq
+import io
 import math
 
 import numpy as np
@@ -33,18 +39,19 @@ from . import common as C
 from .op03_quality import FOLDS, in_fold, labelled
 
 THRESHOLD = 0.5
-LONGEST = 48
 #: Bytes of the beginnings of words that are evidence.
 BEGINNINGS = (4, 5, 6, 8)
-#: Evidence that the model may hold; share of toxic documents that have it, and that vouch for it, at least.
-MOST, HAVE, VOUCH = 65_536, 0.003, 0.0015
+#: Hashes of evidence that a worker holds at once; share of the documents with evidence that vouch for it, at least.
+BLOCK, VOUCH = 1 << 20, 0.02
+#: States that Viterbi search keeps for a symbol; words of at most so many bytes are remembered.
+BEAM, REMEMBER = 24, 48
 #: Evidence has levels by how often it comes, also for one in so many words; weights of less than
 #: LEAST are dropped; what other evidence than the strongest adds.
 LEVELS, RATE, LEAST, OTHERS = 4, 128, math.log(4), 0.1
 
 #: What each disguise may stand for, fixed values.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "{": "c", "<": "c"}
-LOOK_COST, SELF_COST, DOUBLE_COST = 1.5, 4.0, 1.0
+LOOK_COST, SELF_COST, DOUBLE_COST, MARK_COST, BREAK_COST = 1.5, 4.0, 1.0, 1.0, 1.0
 _OTHER, _EDGE, _SYMBOLS = 26, 27, 28
 _LETTER = np.zeros(256, bool)
 _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
@@ -56,6 +63,7 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _CLASS = np.full(256, _OTHER, np.int64)
 _CLASS[0x61:0x7B] = np.arange(26)
 _BETWEEN = b".-_*~'"
+_MARKS = frozenset(_BETWEEN.decode())
 
 
 # ------------------------------------------------------------------ character model
@@ -102,14 +110,26 @@ class Restorer:
         self.known: dict[bytes, bytes] = {}
 
     def options(self, word: str) -> list[list[tuple[str, float]]]:
-        """For each run of one symbol, the letters that it may stand for with their costs."""
+        """For each run of one symbol, what it may stand for with the costs: letters, nothing, or a word's end.
+
+        Blanks stand between letters that are spelled out.
+        """
         out, k = [], 0
+        spelled = " " in word
+        if spelled:
+            word = word.replace(" ", "")
         doubled = sum(a == b for a, b in zip(word, word[1:], strict=False)) * 3 >= len(word)
         while k < len(word):
             n = 1
             while k + n < len(word) and word[k + n] == word[k]:
                 n += 1
             c = word[k]
+            if spelled and out:
+                out.append([("", 0.0), (" ", BREAK_COST)])
+            if c in _MARKS and out and k + n < len(word):
+                out.append([("", MARK_COST), (" ", 0.0)])
+                k += n
+                continue
             if c.isalpha():
                 one = [(c, 0.0)]
             else:
@@ -123,26 +143,38 @@ class Restorer:
 
     def best(self, word: str) -> str:
         costs = self.costs
-        states = {(_EDGE, _EDGE): (0.0, "")}
-        for options in [*self.options(word), [("", 0.0)]]:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in states.items():
+        states = {(_EDGE, _EDGE): 0.0}
+        trail: list[dict] = []  # of each state where it comes from and by what
+        for options in [*self.options(word), [("\n", 0.0)]]:
+            after: dict[tuple[int, int], float] = {}
+            came: dict[tuple[int, int], tuple] = {}
+            for state, cost in states.items():
                 for letters, more in options:
-                    x, y, c = a, b, cost + more
-                    for z in letters or "\n":
-                        s = _EDGE if z == "\n" else ord(z) - 97 if "a" <= z <= "z" else _OTHER
+                    (x, y), c = state, cost + more
+                    for z in letters:
+                        s = _EDGE if z in " \n" else ord(z) - 97 if "a" <= z <= "z" else _OTHER
                         c += costs[x][y][s]
-                        x, y = y, s
-                    if (x, y) not in after or c < after[x, y][0]:
-                        after[x, y] = (c, text + letters)
+                        x, y = (y, s) if s != _EDGE else (_EDGE, _EDGE)
+                    if (x, y) not in after or c < after[x, y]:
+                        after[x, y] = c
+                        came[x, y] = (state, letters)
+            if len(after) > BEAM:
+                after = dict(heapq.nsmallest(BEAM, after.items(), key=lambda x: x[1]))
             states = after
-        return min(states.values())[1]
+            trail.append(came)
+        state, out = min(states, key=states.get), []
+        for came in reversed(trail):
+            state, letters = came[state]
+            out.append(letters)
+        return "".join(reversed(out)).rstrip("\n")
 
     def word(self, raw: bytes) -> bytes:
         if (out := self.known.get(raw)) is None:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            out = self.known[raw] = self.best(raw.decode("utf-8", "replace")).encode()
+            out = self.best(raw.decode("utf-8", "replace")).encode()
+            if len(raw) <= REMEMBER:
+                if len(self.known) > 100_000:
+                    self.known.clear()
+                self.known[raw] = out
         return out
 
 
@@ -181,12 +213,8 @@ def disguised(offsets: np.ndarray, data: np.ndarray) -> list[tuple[int, bytes]]:
     pairs = np.concatenate([[0], np.cumsum(twice)])
     ends = b"!.,;:?*#%&)(\"'-$|+<{}[]/\\=_~"
     doubled = pairs[end] - pairs[start] >= np.maximum(3, (end - start) // 3)  # most letters come twice
-    for k in np.flatnonzero(((count[end] > count[start]) | doubled) & (end - start <= LONGEST)).tolist():
+    for k in np.flatnonzero((count[end] > count[start]) | doubled).tolist():
         word = data[start[k] : end[k]].tobytes().rstrip(ends).lstrip(b".,;:?*#%&)\"'-/\\=_~[]")
-        parts = [p for p in word.translate(None, _BETWEEN).split(b" ") if p]
-        spelled = all(len(p) <= 4 and len(p.decode("utf-8", "replace")) == 1 for p in _split(word))
-        if spelled and parts:
-            word = parts[0]
         if len(word) > 2:
             out.append((int(row[k]), word))
     # letters spelled out: three or more single symbols, one blank between
@@ -200,18 +228,12 @@ def disguised(offsets: np.ndarray, data: np.ndarray) -> list[tuple[int, bytes]]:
         while m + 1 < len(at) and at[m + 1] == at[m] + 1:
             m += 1
         a, b = int(at[k]), int(at[m]) + 1
-        if 3 <= b - a + 1 <= LONGEST:
-            out.append((int(row[a]), data[start[a : b + 1]].tobytes()))
+        if b - a >= 2:
+            out.append((int(row[a]), b" ".join(bytes([x]) for x in data[start[a : b + 1]].tolist())))
         k = m + 1
     return out
 
 
-def _split(word: bytes) -> list[bytes]:
-    for c in _BETWEEN:
-        word = word.replace(bytes([c]), b" ")
-    return word.split()
-
-
 def evidence(offsets: np.ndarray, raw: np.ndarray, restorer: Restorer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row and hash of every word, beginning of a word, and those of restored words, not distinct; words of each row."""
     w = C.Words(offsets, raw)
@@ -260,7 +282,7 @@ def _levels(times: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 class Table:
-    """Weights by hash and level; a level without a weight has 0."""
+    """A block of evidence: weights by hash and level; a level without a weight has 0."""
 
     def __init__(self, hashes: np.ndarray, weights: np.ndarray):
         order = np.argsort(hashes)
@@ -268,6 +290,14 @@ class Table:
         self.bits = np.zeros(1 << 20, bool)
         self.bits[self.hashes >> np.uint64(44)] = True
 
+    @classmethod
+    def of(cls, table: pa.Table, column: str) -> Table:
+        """From rows of hash, level and a column of weights."""
+        hashes, at = np.unique(table.column("hash").to_numpy().view(np.uint64), return_inverse=True)
+        weights = np.zeros((len(hashes), LEVELS), np.float32)
+        weights[at, table.column("level").to_numpy()] = table.column(column).to_numpy()
+        return cls(hashes, weights)
+
     def find(self, rows: np.ndarray, hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows, places in the table and levels of what is in it; ``words``: the number in each row."""
         if not len(self.hashes):
@@ -280,39 +310,70 @@ class Table:
         return rows, at, _levels(times, words[rows])
 
 
-def _counter(costs: np.ndarray, table: Table | None, vouch: bool = False):
-    """Counts documents by evidence: all of it, what is in the table, or what each one vouches for."""
+class Blocks:
+    """Evidence dealt by hash into blocks that are broadcast; a worker keeps one where it is the only one."""
+
+    def __init__(self, evidence: DataFrame | None, column: str):
+        self.sent, self.only = [], None
+        if evidence is None:
+            return
+        spark, many = evidence.sparkSession, max(1, -(-evidence.count() // BLOCK))
+        for k in range(many):
+            part = Table.of(evidence.where(F.pmod("hash", F.lit(many)) == k).select("hash", "level", F.col(column).cast("double").alias(column)).toArrow(), column)
+            held = io.BytesIO()
+            np.savez(held, hashes=part.hashes, weights=part.weights)
+            self.sent.append(spark.sparkContext.broadcast(held.getvalue()))
+
+    def __getstate__(self) -> dict:
+        return {"sent": self.sent, "only": None}
+
+    def __iter__(self):
+        if self.only is not None:
+            yield self.only
+            return
+        for sent in self.sent:
+            path = getattr(sent, "_path", None)  # read each time where there are several: the worker keeps none
+            raw = sent.load_from_path(path) if path and len(self.sent) > 1 else sent.value
+            with np.load(io.BytesIO(raw)) as held:
+                block = Table(held["hashes"], held["weights"])
+            if len(self.sent) == 1:
+                self.only = block
+            yield block
+
+
+def _counter(costs: np.ndarray, blocks: Blocks | None, vouch: bool = False):
+    """Counts documents by evidence: all of it, what is in the blocks, or what each one vouches for."""
 
     def run(batches):
         restorer = Restorer(costs)
-        total = np.zeros((len(table.hashes) if table else 0, LEVELS), np.int64)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
             for _, offsets, raw in C.slices(batch, "text"):
                 rows, hashes, words = evidence(offsets, raw, restorer)
-                if table is None:
+                if blocks is None:
                     rows, hashes, times = _counted_in(rows, hashes)
-                    holds = _levels(times, words[rows])
-                    held += [(hashes[holds[:, k]], np.full(int(holds[:, k].sum()), k)) for k in range(LEVELS)]
-                    size += len(hashes)
-                    if size > 2_000_000:
-                        yield _counted(held)
-                        held, size = [], 0
-                    continue
-                rows, at, holds = table.find(rows, hashes, words)
-                if vouch:
-                    weight = np.where(holds, table.weights[at], 0)
-                    best = np.zeros(len(words))
-                    np.maximum.at(best, rows, weight.max(axis=1, initial=0))
-                    holds &= weight >= best[rows][:, None] - math.log(2)
-                np.add.at(total, at, holds)
-        if table is None:
-            if held:
-                yield _counted(held)
-        else:
-            at, level = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(table.hashes[at].view(np.int64)), pa.array(level), pa.array(total[at, level])], ["hash", "level", "n"])
+                    found = [(hashes, _levels(times, words[rows]))]
+                else:
+                    found, best = [], np.zeros(len(words))
+                    for table in blocks:
+                        r, at, holds = table.find(rows, hashes, words)
+                        weight = np.where(holds, table.weights[at], 0)
+                        np.maximum.at(best, r, weight.max(axis=1, initial=0))
+                        holds &= weight > 0  # what is asked for
+                        found.append((r, table.hashes[at], holds, weight))
+                    if vouch:
+                        found = [(h, holds & (weight >= best[r][:, None] - math.log(2))) for r, h, holds, weight in found]
+                    else:
+                        found = [(h, holds) for _, h, holds, _ in found]
+                for h, holds in found:
+                    held += [(h[holds[:, k]], np.full(int(holds[:, k].sum()), k)) for k in range(LEVELS)]
+                    size += int(holds.sum())
+                if size > 2_000_000:
+                    yield _counted(held)
+                    held, size = [], 0
+        if size:
+            yield _counted(held)
 
     return run
 
@@ -323,59 +384,54 @@ def _counted(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 class Model:
-    def __init__(self, costs: np.ndarray, table: Table, prior: float):
-        self.costs, self.table, self.prior = costs, table, prior
+    def __init__(self, costs: np.ndarray, blocks: Blocks, prior: float):
+        self.costs, self.blocks, self.prior = costs, blocks, prior
         self.restorer: Restorer | None = None
 
     def score(self, offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
         """The logistic function of the prior, the strongest evidence, and a part of all other."""
         self.restorer = self.restorer or Restorer(self.costs)
-        rows, at, holds = self.table.find(*evidence(offsets, raw, self.restorer))
-        weight = np.where(holds, self.table.weights[at], 0).max(axis=1, initial=0)
+        said = evidence(offsets, raw, self.restorer)
         best, total = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1)
-        np.maximum.at(best, rows, weight)
-        np.add.at(total, rows, weight)
+        for table in self.blocks:
+            rows, at, holds = table.find(*said)
+            weight = np.where(holds, table.weights[at], 0).max(axis=1, initial=0)
+            np.maximum.at(best, rows, weight)
+            np.add.at(total, rows, weight)
         return 1 / (1 + np.exp(-np.clip(self.prior + best + OTHERS * (total - best), -700, 700)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, name: str = "toxic", folds: int = FOLDS) -> Model:
     """Learn from the labelled rows that aren't held out; the character model, which needs no labels, from all."""
     costs = character_model(docs)
-    train = docs.select("doc_id", "text").where(~in_fold(F.col("doc_id"), folds))
     known = C.written(labelled(labels, name), "labels")
-    train = C.checked_join(train, known, "doc_id", "inner")
+    train = C.written(C.checked_join(docs.select("doc_id", "text").where(~in_fold(F.col("doc_id"), folds)), known, "doc_id", "inner"), "labelled")
     seen = {r[0]: r[1] for r in train.groupBy("label").agg(F.count(F.lit(1))).collect()}
     other, toxic = seen.get(0, 0), seen.get(1, 0)
-    empty = Table(np.zeros(0, np.uint64), np.zeros((0, LEVELS)))
     if not toxic:
-        return Model(costs, empty, -700.0)
+        return Model(costs, Blocks(None, ""), -700.0)
     prior = math.log((toxic + 0.5) / (other + 0.5))
 
-    def counts(label: int, table: Table | None, vouch: bool = False) -> DataFrame:
-        found = train.where(F.col("label") == label).select("text").mapInArrow(C.tidied(_counter(costs, table, vouch)), "hash long, level long, n long")
-        return found.groupBy("hash", "level").agg(F.sum("n").alias("n"))
-
-    least = max(2, math.ceil(HAVE * toxic))
-    rows = counts(1, None).where(F.col("n") >= least).orderBy(F.desc("n"), "hash", "level").limit(MOST).collect()
-    if not rows:
-        return Model(costs, empty, prior)
-    hashes = np.unique(np.array([r[0] for r in rows], np.int64).view(np.uint64))
-    place = {int(h): k for k, h in enumerate(hashes.view(np.int64))}
-
-    def gathered(some) -> np.ndarray:
-        out = np.zeros((len(place), LEVELS))
-        for h, level, n in some:  # at most MOST rows
-            out[place[h], level] = n
-        return out
-
-    have = gathered(rows)
-    clean = gathered(counts(0, Table(hashes, have)).collect())
-    weight = np.log((have + 0.5) / (toxic + 1)) - np.log((clean + 0.5) / (other + 1))
-    weight[(have == 0) | (weight < LEAST)] = 0
-    vouched = gathered(counts(1, Table(hashes, weight), vouch=True).collect())
-    weight[vouched < max(2, VOUCH * toxic)] = 0
-    kept = weight.any(axis=1)
-    return Model(costs, Table(hashes[kept], weight[kept]), prior)
+    def counts(label: int, blocks: Blocks | None, n: str, vouch: bool = False) -> DataFrame:
+        found = train.where(F.col("label") == label).select("text").mapInArrow(C.tidied(_counter(costs, blocks, vouch)), "hash long, level long, n long")
+        return found.groupBy("hash", "level").agg(F.sum("n").alias(n))
+
+    have = C.written(counts(1, None, "have").where("have > 1"), "have")
+    # twice the logarithm of how many pairs are tried is what the best of as many chance ones reaches; in a pair that
+    # no other document has, each toxic one adds as much as its kind is rare
+    bound = 2 * math.log(max(have.count(), 2))
+    least = math.ceil(bound / (2 * math.log((toxic + max(other, toxic)) / toxic)))
+    have = have.where(F.col("have") >= least)
+    clean = counts(0, Blocks(have, "have"), "clean")
+    both = have.join(clean, ["hash", "level"], "left").select("hash", "level", "have", F.coalesce("clean", F.lit(0)).alias("clean"))
+    weight = F.log((F.col("have") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (other + 1))
+    part = lambda n, k, of: F.when(n > 0, n * F.log(n * (toxic + other) / (k * of))).otherwise(0.0)
+    a, b = F.col("have").cast("double"), F.col("clean").cast("double")
+    fit_of = 2 * (part(a, a + b, toxic) + part(b, a + b, other or 1) + part(toxic - a, toxic + other - a - b, toxic) + part(other - b, toxic + other - a - b, other or 1))
+    kept = C.written(both.select("hash", "level", "have", weight.alias("weight")).where((weight >= LEAST) & (fit_of >= bound)), "weights")
+    vouched = counts(1, Blocks(kept, "weight"), "vouched", vouch=True)
+    kept = kept.join(vouched, ["hash", "level"]).where((F.col("vouched") > 1) & (F.col("vouched") >= VOUCH * F.col("have")))
+    return Model(costs, Blocks(C.written(kept.select("hash", "level", "weight"), "evidence"), "weight"), prior)
 
 
 def with_score(docs: DataFrame, model: Model, *, text_col: str = "text", name: str = "score") -> DataFrame:

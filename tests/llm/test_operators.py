@@ -215,9 +215,9 @@ def test_classifiers_odd_rows(spark):
     model = op09_toxicity.fit(docs, labels)
     rows = op09_toxicity.with_score(docs, model).collect()
     assert all((r["_score"] >= 0.5) == (r.doc_id >= 400) for r in rows if r.doc_id is not None and r.doc_id < 460)
-    hidden = ["a M0R0N here", "m o r o n", "m.o.r.o.n", "mooooron", "clean words", "m0ron!", "mmoorroonn"]
+    hidden = ["a M0R0N here", "m o r o n", "m.o.r.o.n", "mooooron", "clean words", "m0ron!", "mmoorroonn", "you are a m o r o n", "mo.ron", "m0ron" + "!" * 60, " ".join("alphabetamoronandgammadeltaomegasigmakappabetamoron")]
     got = [r["score"] >= 0.5 for r in op09_toxicity.with_score(_docs(spark, list(enumerate(hidden))).coalesce(1), model).orderBy("doc_id").collect()]
-    assert got == [True, True, True, True, False, True, True]
+    assert got == [True, True, True, True, False, True, True, True, True, True, True]
     assert op09_toxicity.with_score(docs.limit(0), op09_toxicity.fit(docs.limit(0), labels)).count() == 0
 
 
@@ -231,8 +231,14 @@ def test_restorer_reads_disguises():
     n = total.reshape((op09_toxicity._SYMBOLS,) * 3)
     costs = -np.log((n + 0.1) / (n.sum(2, keepdims=True) + 3))
     r = op09_toxicity.Restorer(costs)
-    for seen, meant in {"1d10t": "idiot", "$tup1d": "stupid", "m0r0n": "moron", "tr4sh": "trash", "p4th3t1c": "pathetic", "l0s3r": "loser", "scuuuum": "scum", "lettttter": "letter"}.items():
+    for seen, meant in {"1d10t": "idiot", "$tup1d": "stupid", "m0r0n": "moron", "tr4sh": "trash", "p4th3t1c": "pathetic", "l0s3r": "loser", "scuuuum": "scum", "lettttter": "letter", "m o r o n": "moron", "mo.ron": "moron", "stu-pid": "stupid", "l.0.s.3.r": "loser"}.items():
         assert r.best(seen) == meant
+    spelled = " ".join("the stupid people and the idiot of the disgusting clown letter".replace(" ", ""))
+    assert r.best(spelled).split() == "the stupid people and the idiot of the disgusting clown letter".split()
+    long = "1d10t " + "x" * 60 + "1y " + " ".join("themoronandtheidiot" * 10) + " m0r0n" + "!" * 60
+    w = C.Words(*C.strings(pa.array([long])))
+    found = [r.word(x) for _, x in op09_toxicity.disguised(w.offsets, w.data)]
+    assert found[0] == b"idiot" and b"moron" in found and len(found) == 4 and max(x.split().count(b"moron") for x in found) == 10
 
 
 # ------------------------------------------------------------------ 4
