@@ -7,8 +7,8 @@ of a word, discounted trigrams that fall back to bigrams and unigrams. One layer
 of causal self-attention (query, key and value tables, a bias for each distance)
 over the last 16 to 31 pieces tilts the classes of the next piece away from
 what the bigrams say. It is trained on all runs of words of all training
-documents, by rounds of local Adam steps in parallel whose weights are averaged. The score is the mixture of the two, each
-being a distribution, with shares fitted on the training runs. Scoring walks a
+documents, a third in each of three rounds of local Adam steps in parallel whose weights are averaged. The score is the mixture of the two, each
+being a distribution, with shares fitted on every training run before it is trained on. Scoring walks a
 stream of pieces in overlapping windows: 16 queries against 32 keys, so that
 every piece is scored once, later pieces and other documents being masked.
 
@@ -43,10 +43,10 @@ PIECES, CLASSES, WIDTH, STRIDE = 4096, 96, 16, 16
 #: Words that are broadcast at most; trigrams, when they are broadcast at all, which is all of them.
 HEAD, TRIGRAMS = 300_000, 600_000
 #: Words of a run; all runs of all training documents train.
-RUN = 12
+RUN = 10
 #: Windows a step; runs, and bytes of them, that a trainer holds at once; so many trainers share what is more than
 #: a portion each, and further ones come when each would have over LONG portions; rates of the rounds.
-BATCH, PORTION, PORTION_BYTES, TRAINERS, LONG, RATES = 64, 12_000, 4 << 20, 12, 8, (0.02, 0.01, 0.005)
+BATCH, PORTION, PORTION_BYTES, TRAINERS, LONG, RATES = 64, 12_000, 4 << 20, 12, 8, (0.03, 0.02, 0.01)
 DISCOUNT = 0.75
 
 
@@ -343,14 +343,15 @@ def _causal(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
     return d >= 0, np.clip(d, 0, 2 * STRIDE - 1)
 
 
-def train(weights: dict[str, np.ndarray], prior: np.ndarray, classes: np.ndarray, lines: np.ndarray, targets: np.ndarray, steps_seed: int, rate: float) -> tuple[dict, float]:
-    """One pass of Adam over windows (rows of pieces; a target below 0 doesn't count)."""
+def train(weights: dict[str, np.ndarray], prior: np.ndarray, classes: np.ndarray, lines: np.ndarray, targets: np.ndarray, steps_seed: int, rate: float, told=None) -> tuple[dict, float, np.ndarray]:
+    """One pass of Adam over windows (rows of pieces; a target below 0 doesn't count); the loss, and, where ``told`` has the
+    windows' trigram and bigram logarithms and kinds, what each mixture share gives, each window before it is trained on."""
     net = Attention({k: v.copy() for k, v in weights.items()}, prior, classes)
     first = {k: np.zeros_like(v) for k, v in weights.items()}
     second = {k: np.zeros_like(v) for k, v in weights.items()}
     seen, dist = _causal(lines.shape[1], lines.shape[1])
     order = np.random.default_rng(steps_seed).permutation(len(lines))
-    scale, total = np.float32(1 / math.sqrt(WIDTH)), 0.0
+    scale, total, shares = np.float32(1 / math.sqrt(WIDTH)), 0.0, np.zeros((2, len(_GRID)))
     for step, at in enumerate(range(0, len(order), BATCH), 1):
         x, t = lines[order[at : at + BATCH]], targets[order[at : at + BATCH]]
         valid = t >= 0
@@ -361,7 +362,11 @@ def train(weights: dict[str, np.ndarray], prior: np.ndarray, classes: np.ndarray
         np.exp(p, out=p)
         p /= p.sum(axis=1, keepdims=True)
         r, goal = np.arange(len(p)), classes[t[valid]]
-        total -= float(np.log(p[r, goal] + 1e-30).sum())
+        log = np.log(p[r, goal] + 1e-30)
+        total -= float(log.sum())
+        if told:
+            gram, member, lead = (v[order[at : at + BATCH]][valid] for v in told)
+            shares += _shares(log + member - prior[x[valid], goal], gram, lead)
         p[r, goal] -= 1
         p /= np.float32(len(r))
         grad = {"w": o.T @ p}
@@ -386,7 +391,23 @@ def train(weights: dict[str, np.ndarray], prior: np.ndarray, classes: np.ndarray
             m = first[name][rows] = 0.9 * first[name][rows] + 0.1 * g
             u = second[name][rows] = 0.99 * second[name][rows] + 0.01 * g * g
             getattr(net, name)[rows] -= lr * m / (np.sqrt(u) + 1e-8)
-    return {k: getattr(net, k) for k in net.NAMES}, total
+    return {k: getattr(net, k) for k in net.NAMES}, total, shares
+
+
+_GRID = np.linspace(0.02, 0.98, 13)
+
+
+def _shares(attended: np.ndarray, gram: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Summed log-likelihood of each mixture share, for pieces within and at the begin of words."""
+    out = np.zeros((2, len(_GRID)))
+    top = np.maximum(attended, gram)
+    a, b = np.exp(attended - top), np.exp(gram - top)
+    for kind in (0, 1):
+        some = lead == bool(kind)
+        x, y, known = a[some], b[some], float(top[some].sum(dtype=np.float64))
+        for k, share in enumerate(_GRID):
+            out[kind, k] = known + float(np.log(np.float32(share) * x + np.float32(1 - share) * y).sum(dtype=np.float64))
+    return out
 
 
 class Model:
@@ -555,74 +576,45 @@ def _columns(rows: list[tuple]):
     return [r[0] for r in rows], np.array([r[1] for r in rows]), [r[2] for r in rows] if len(rows[0]) > 2 else None
 
 
-def _trainer_of(shared, weights, seed: int, rate: float):
+def _trainer_of(shared, weights, head, seed: int, rate: float):
     """One local pass over a partition's runs, a portion after another: the summed weights, as one row."""
 
     def run(batches):
         model = _model(shared.value, weights)
-        new, loss, total = weights, 0.0, 0
-        for number, (runs, flags, _, whole) in enumerate(_portions(batches)):
-            x, t, *_ = windows_of(model, runs, flags)
+        new, loss, total, shares = weights, 0.0, 0, np.zeros((2, len(_GRID)))
+        for number, (runs, flags, others, whole) in enumerate(_portions(batches)):
+            lexicon = None if others is None else lambda w, o=others: _lexicon(shared.value["key"], model, head.value)(w, o)[0]
+            x, t, *told = windows_of(model, runs, flags, lexicon=lexicon)
             n = int((t >= 0).sum())
             if not n:
                 continue
-            for again in range(max(1, min(6, PORTION // len(x))) if whole else 1):  # a small corpus is gone over again
-                new, more = train(new, model.attention.prior, model.attention.classes, x, t, seed + 100 * again + 1000 * number, rate)
-            loss, total = loss + more, total + n
+            again = max(1, min(18, PORTION // len(x))) if whole else 1  # a small corpus is gone over again
+            for k in range(again):
+                last = told if k == again - 1 else None
+                new, more, found = train(new, model.attention.prior, model.attention.classes, x, t, seed + 100 * k + 1000 * number, rate, last)
+            loss, total, shares = loss + more, total + n, shares + found
         if total:
             flat = np.concatenate([new[k].ravel() * np.float32(total) for k in Attention.NAMES])
-            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([loss]), pa.array([flat.tobytes()], pa.binary())], ["n", "loss", "w"])
-
-    return run
-
-
-def _shares_of(shared, weights, head):
-    """What each mixture share gives over all windows of a partition's runs, as one row."""
-
-    def run(batches):
-        model, out = _model(shared.value, weights), np.zeros((2, len(_GRID)))
-        for runs, flags, others, _ in _portions(batches):
-            lexicon = None if others is None else lambda w, o=others: _lexicon(shared.value["key"], model, head.value)(w, o)[0]
-            windows = windows_of(model, runs, flags, lexicon=lexicon)
-            for a in range(0, len(windows[0]), 512):
-                out += _shares(model, *(v[a : a + 512] for v in windows))
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["w"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([total]), pa.array([loss]), pa.array([flat.tobytes()], pa.binary()), pa.array([shares.ravel()], pa.list_(pa.float64()))], ["n", "loss", "w", "shares"]
+            )
 
     return run
 
 
 def _summed(batches):
     """One row for all of a partition's."""
-    n, loss, flat = 0, 0.0, None
+    n, loss, flat, shares = 0, 0.0, None, np.zeros(2 * len(_GRID))
     for batch in batches:
         for k in range(batch.num_rows):
             w = np.frombuffer(batch.column("w")[k].as_buffer(), np.float32)
             flat = w.astype(np.float64) if flat is None else flat + w
             n, loss = n + batch.column("n")[k].as_py(), loss + batch.column("loss")[k].as_py()
+            shares = shares + np.array(batch.column("shares")[k].as_py())
     if flat is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([loss]), pa.array([flat.astype(np.float32).tobytes()], pa.binary())], ["n", "loss", "w"])
-
-
-_GRID = np.linspace(0.02, 0.98, 25)
-
-
-def _shares(model: Model, x, t, gram, member, lead) -> np.ndarray:
-    """Summed log-likelihood of each mixture share on some windows, for pieces within and at the begin of words."""
-    seen, dist = _causal(x.shape[1], x.shape[1])
-    out = np.zeros((2, len(_GRID)))
-    valid = t >= 0
-    r, c = np.nonzero(valid)
-    row = model.attention.forward(x, x, np.broadcast_to(seen, (len(x), *seen.shape)), dist, valid)[-1]
-    top = row.max(axis=1, keepdims=True)
-    log = row - top - np.log(np.exp(row - top).sum(axis=1, keepdims=True))
-    s, goal = x[r, c], t[r, c]
-    kinds = model.attention.classes[goal]
-    attended = log[np.arange(len(r)), kinds] + member[r, c] - model.attention.prior[s, kinds]
-    for kind in (0, 1):
-        some = lead[r, c] == bool(kind)
-        for k, share in enumerate(_GRID):
-            out[kind, k] = np.logaddexp(math.log(share) + attended[some], math.log1p(-share) + gram[r, c][some]).sum()
-    return out
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([n]), pa.array([loss]), pa.array([flat.astype(np.float32).tobytes()], pa.binary()), pa.array([shares], pa.list_(pa.float64()))], ["n", "loss", "w", "shares"]
+        )
 
 
 _models: dict[str, Model] = {}
@@ -677,34 +669,41 @@ def fit(docs: DataFrame, training, path: str | None = None) -> dict:
     del follow
     shared = {"key": C.uuid.uuid4().hex, "said": said, "ngrams": (*arrays, first), "classes": classes, "prior": prior}
     priced = None if whole else Priced(head.column("w").combine_chunks(), grams, size, pieces)
-    weights, shares = Attention.fresh(size, CLASSES), np.array([0.5, 0.5])
+    weights, shares, told_bits = Attention.fresh(size, CLASSES), np.array([0.5, 0.5]), None
     runs = gathered.where("kind = 1").select("s", "n")
     if not runs.isEmpty():
         n = runs.count()
         trainers = max(1, min(TRAINERS, n // PORTION), -(-n // (LONG * PORTION)))
-        dealt = C.written(runs.repartition(trainers).sortWithinPartitions(F.xxhash64("s", "n"), "s", "n"), "runs")  # dealt once, in an order that is the same again
+        # dealt once, in an order that is the same again; each round takes another third
+        part = F.pmod(F.xxhash64("s", "n"), F.lit(len(RATES))).cast("int")
+        dealt, names = runs.withColumn("part", part), ["s", "n"]
+        if not whole:
+            dealt = priced.joined(C.written(dealt.withColumn("row", F.monotonically_increasing_id()), "numbered"), "s")
+            names.append("others")
+        dealt = dealt.select(*names, "part").repartition(trainers).sortWithinPartitions("part", F.xxhash64("n", "s"), "s", "n")
+        dealt = C.written(dealt, "runs")
         sent = spark.sparkContext.broadcast(shared)
+        schema, fitted, seen, loss = "n long, loss double, w binary, shares array<double>", np.zeros((2, len(_GRID))), 0, 0.0
         for k, rate in enumerate(RATES):
-            told = dealt.mapInArrow(C.tidied(_trainer_of(sent, weights, k, rate)), "n long, loss double, w binary")
+            third = dealt.where(F.col("part") == k).select(*names)
+            told = third.mapInArrow(C.tidied(_trainer_of(sent, weights, priced and priced.head, k, rate)), schema)
             if trainers > TRAINERS:  # the driver gets about the root of their number
-                told = told.repartition(math.isqrt(trainers)).mapInArrow(C.tidied(_summed), "n long, loss double, w binary")
+                told = told.repartition(math.isqrt(trainers)).mapInArrow(C.tidied(_summed), schema)
             told = told.collect()
             n = sum(r["n"] for r in told)  # a row from each trainer or sum of them
             if not n:
-                break
+                continue
+            fitted += sum(np.array(r["shares"]).reshape(2, -1) for r in told)
+            seen, loss = seen + n, loss + sum(r["loss"] for r in told)
             flat = sum(np.frombuffer(r["w"], np.float32).astype(np.float64) for r in told) / n
             at = 0
             for name in Attention.NAMES:
                 w = weights[name]
                 weights[name] = flat[at : at + w.size].astype(np.float32).reshape(w.shape)
                 at += w.size
-        if not whole:
-            dealt = C.written(dealt.withColumn("row", F.monotonically_increasing_id()), "numbered")
-            dealt = priced.joined(dealt, "s").select("s", "n", "others")
-        told = dealt.mapInArrow(C.tidied(_shares_of(sent, weights, priced and priced.head)), "w binary").collect()
-        shares = _GRID[sum(np.frombuffer(r["w"], np.float64) for r in told).reshape(2, -1).argmax(axis=1)]
+        shares, told_bits = _GRID[fitted.argmax(axis=1)], loss / max(seen, 1) / math.log(2)
         sent.destroy()
-    return shared | {"weights": weights, "shares": tuple(map(float, shares)), "head": head, "least": least, "total": total, "distinct": distinct, "ends": ends, "counted": counted, "priced": priced}
+    return shared | {"weights": weights, "shares": tuple(map(float, shares)), "head": head, "least": least, "total": total, "distinct": distinct, "ends": ends, "class_bits": told_bits, "counted": counted, "priced": priced}
 
 
 def _first_counts(counted: DataFrame, pieces, size: int, ends: int) -> np.ndarray:

@@ -102,7 +102,7 @@ def test_lm_trains_on_every_word_at_every_size(spark, monkeypatch):
     assert len(text) * 40 > 5_000_000
     rows = pa.Table.from_batches(list(op01_lm._gather()([batch]))).to_pylist()
     runs = [r for r in rows if r["kind"] == 1]
-    assert " ".join(r["s"] for r in runs[:2500]) == text and sum(len(r["s"].split(" ")) for r in runs) == 40 * 30_000
+    assert " ".join(r["s"] for r in runs[: 30_000 // op01_lm.RUN]) == text and sum(len(r["s"].split(" ")) for r in runs) == 40 * 30_000
     assert sum(r["n"] & 1 for r in runs) == sum(r["n"] >> 1 for r in runs) == 40
     said = op01_lm.load_ranks(op01_lm.default_path())
     size, none = len(said[1]), np.zeros(0, np.int64)
