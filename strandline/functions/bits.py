@@ -46,3 +46,19 @@ def varint_length(v: Column) -> Column:
 def rice_length(u: Column, k: int) -> Column:
     """Bits of a Rice code with parameter k."""
     return F.shiftrightunsigned(u, k) + 1 + k
+
+
+def varint(v: Column) -> Column:
+    """v, which isn't negative, as bytes of seven bits, low ones first; the high bit tells that more follow."""
+    groups = F.sequence(F.lit(0), (varint_length(v) - 1).cast("int"))
+    byte = lambda k: F.call_function("shiftrightunsigned", v, 7 * k).bitwiseAND(F.lit(127).cast("long"))
+    last = (varint_length(v) - 1).cast("int")
+    hexed = F.transform(groups, lambda k: F.lpad(F.hex(byte(k) + F.when(k < last, F.lit(128)).otherwise(F.lit(0))), 2, "0"))
+    return F.unhex(F.array_join(hexed, ""))
+
+
+def unvarint(b: Column) -> Column:
+    """The number that such bytes tell."""
+    at = F.sequence(F.lit(0), F.length(b) - 1)
+    byte = lambda k: F.conv(F.substring(F.hex(b), 2 * k + 1, F.lit(2)), 16, 10).cast("long").bitwiseAND(F.lit(127).cast("long"))
+    return F.aggregate(at, F.lit(0).cast("long"), lambda t, k: t.bitwiseOR(F.call_function("shiftleft", byte(k), 7 * k)))

@@ -39,7 +39,9 @@ def numbered(distinct: DataFrame, order: list[str]) -> DataFrame:
 
 
 def encode(df: DataFrame, value: str, dictionary: DataFrame) -> DataFrame:
-    return df.join(dictionary.select(value, "code"), value)
+    """``df`` with the code of each value in place of it, a null being a value like any."""
+    own = dictionary.select(F.col(value).alias("_value"), "code")
+    return df.join(own, F.col(value).eqNullSafe(F.col("_value"))).drop("_value", value)
 
 
 def decode(df: DataFrame, dictionary: DataFrame, value: str) -> DataFrame:

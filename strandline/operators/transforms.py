@@ -1,8 +1,8 @@
 """Differences, exclusive-or chains and their inverses; every operator names its groups and its order.
 
 A window partitioned by ``by`` costs one shuffle and one sort on (by, order);
-operators over the same keys share them. Null values stay null and are passed
-over as zero by the sums.
+operators over the same keys share them. A null value gives a null, the values
+after it go on from the last that isn't null, and the inverses give the nulls back.
 """
 
 from __future__ import annotations
@@ -17,28 +17,38 @@ def _window(by: list[str], order: list[str]):
     return Window.partitionBy(*by).orderBy(*order)
 
 
+def _before(value: str, by: list[str], order: list[str]):
+    """The last value before a row's own that isn't null."""
+    return F.last(value, ignorenulls=True).over(_window(by, order).rowsBetween(Window.unboundedPreceding, -1))
+
+
+def _upto(by: list[str], order: list[str]):
+    return _window(by, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def delta(df: DataFrame, value: str, by: list[str], order: list[str], name: str = "d", stride: int = 1) -> DataFrame:
-    """First differences; the first of a group is the value itself."""
-    return df.withColumn(name, F.col(value) - F.coalesce(F.lag(value, stride).over(_window(by, order)), F.lit(0)))
+    """First differences; the first of a group is the value itself. With a stride, from the value so many rows before
+    (0 where there is none or it is null)."""
+    before = _before(value, by, order) if stride == 1 else F.lag(value, stride).over(_window(by, order))
+    return df.withColumn(name, F.col(value) - F.coalesce(before, F.lit(0)))
 
 
 def undelta(df: DataFrame, value: str, by: list[str], order: list[str], name: str = "v") -> DataFrame:
-    w = _window(by, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(name, F.sum(value).over(w))
+    return df.withColumn(name, F.when(F.col(value).isNotNull(), F.sum(value).over(_upto(by, order))))
 
 
 def xor(df: DataFrame, value: str, by: list[str], order: list[str], name: str = "d") -> DataFrame:
-    return df.withColumn(name, F.col(value).bitwiseXOR(F.coalesce(F.lag(value).over(_window(by, order)), F.lit(0))))
+    return df.withColumn(name, F.col(value).bitwiseXOR(F.coalesce(_before(value, by, order), F.lit(0))))
 
 
 def unxor(df: DataFrame, value: str, by: list[str], order: list[str], name: str = "v") -> DataFrame:
-    w = _window(by, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(name, F.bit_xor(value).over(w))
+    return df.withColumn(name, F.when(F.col(value).isNotNull(), F.bit_xor(value).over(_upto(by, order))))
 
 
 def order2(df: DataFrame, value: str, by: list[str], order: list[str], name: str = "e") -> DataFrame:
-    """Residuals of linear extrapolation; the first two of a group are themselves."""
-    w = _window(by, order)
+    """Residuals of linear extrapolation from the two values before that aren't null; the first two of a group are themselves."""
+    known = F.col(value).isNotNull()
+    w = Window.partitionBy(*by, known).orderBy(*order)  # nulls apart: they stand in nobody's way
     a, b = F.lag(value, 1).over(w), F.lag(value, 2).over(w)
     return df.withColumn(name, F.when(b.isNull(), F.col(value)).otherwise(F.col(value) - (2 * a - b)))
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import bits
 from ..operators import detect
 from ..operators import entropy as E
+from ..operators import specs as S
 from ..registry import query
 from ..sources.tables import byte_rows, scaled, table
 
@@ -199,3 +203,95 @@ def static_price(spark, sf_dir):
 def content_crc(spark, sf_dir):
     """Digest and size by which stored content is identified."""
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.octet_length("text").cast("long").alias("n"))
+
+
+# ------------------------------------------------------------------ chains of steps
+
+_SPEC_NAMES = [S.text(x) for x in S.SPECS]
+
+
+@query(
+    "spec_roundtrip",
+    "SELECT item_id, spec, text FROM benchmark, (SELECT unnest([" + ", ".join(f"'{n}'" for n in _SPEC_NAMES) + "]) AS spec)",
+)
+def spec_roundtrip(spark, sf_dir):
+    """Each text through every specification, as the specification's bytes tell it, and back."""
+    t = table(spark, sf_dir, "benchmark")
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for k, v in zip(pdf["item_id"], pdf["text"], strict=True):
+                for spec in S.SPECS:
+                    said = S.to_bytes(spec)
+                    out = None if v is None else S.apply(v.encode(), S.from_bytes(said))
+                    rows.append((k, S.text(S.from_bytes(said)), None if out is None else S.invert(out, spec).decode()))
+            yield pd.DataFrame(rows, columns=["item_id", "spec", "text"])
+
+    return t.select("item_id", "text").mapInPandas(run, "item_id long, spec string, text string")
+
+
+@query(
+    "byte_xor_stride",
+    f"WITH {_ITEMS}, x AS (" + " UNION ALL ".join(f"SELECT {n} AS stride, xor(b, coalesce(lag(b, {n}) OVER (PARTITION BY item_id ORDER BY i), 0)) AS d FROM r" for n in (1, 4, 8))
+    + ") SELECT CAST(stride AS BIGINT) AS stride, CAST(d AS BIGINT) AS d, count(*) AS n FROM x GROUP BY 1, 2",
+)
+def byte_xor_stride(spark, sf_dir):
+    """Counts of bytes exclusive-or those 1, 4 and 8 before, counted where the text is."""
+    t = table(spark, sf_dir, "benchmark")
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for v in pdf["text"].dropna():
+                for stride in (1, 4, 8):
+                    n = np.bincount(np.frombuffer(S.xor(v.encode(), stride), np.uint8), minlength=256)
+                    rows += [(stride, int(b), int(n[b])) for b in np.flatnonzero(n)]
+            yield pd.DataFrame(rows, columns=["stride", "d", "n"])
+
+    return t.select("text").mapInPandas(run, "stride long, d long, n long").groupBy("stride", "d").agg(F.sum("n").alias("n"))
+
+
+@query("transform_select")
+def transform_select(spark, sf_dir):
+    """For prices as 64-bit words, texts and pages: the specification under which all blocks together pack best.
+
+    Blocks of a source are packed where they are; a source's sizes are sums of 13 numbers.
+    """
+    o = table(spark, sf_dir, "orders").select(F.lit("prices").alias("source"), F.pmod(F.xxhash64("o_orderkey"), F.lit(64)).alias("part"), F.col("o_orderkey").alias("k"), scaled("o_totalprice").alias("v"))
+    words = o.groupBy("source", "part").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("x")).select("source", F.transform("x", lambda x: x["v"]).alias("words"), F.lit(None).cast("binary").alias("data"))
+    texts = table(spark, sf_dir, "documents").select(F.lit("documents").alias("source"), F.lit(None).cast("array<long>").alias("words"), F.col("text").cast("binary").alias("data"))
+    pages = table(spark, sf_dir, "pages").select(F.lit("pages").alias("source"), F.lit(None).cast("array<long>").alias("words"), F.col("html").cast("binary").alias("data"))
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for source, w, d in zip(pdf["source"], pdf["words"], pdf["data"], strict=True):
+                data = np.array(w, "<i8").tobytes() if w is not None else bytes(d) if d is not None else b""
+                rows += [(source, k, S.packed_size(data, spec)) for k, spec in enumerate(S.SPECS)]
+            yield pd.DataFrame(rows, columns=["source", "k", "size"])
+
+    sizes = words.unionByName(texts).unionByName(pages).mapInPandas(run, "source string, k long, size long").groupBy("source", "k").agg(F.sum("size").alias("size"))
+    best = sizes.groupBy("source").agg(F.min(F.struct("size", "k")).alias("best"))
+    names = F.array(*[F.lit(n) for n in _SPEC_NAMES])
+    return best.select("source", F.element_at(names, (F.col("best.k") + 1).cast("int")).alias("spec"), F.col("best.size").alias("size"))
+
+
+# ------------------------------------------------------------------ numbers in base 128
+
+@query(
+    "varint_bytes",
+    "WITH RECURSIVE v AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS v FROM orders), "
+    "w AS (SELECT o_orderkey, v, '' AS h FROM v UNION ALL SELECT o_orderkey, v // 128 AS v, h || printf('%02X', CASE WHEN v >= 128 THEN v % 128 + 128 ELSE v END) FROM w WHERE v > 0) "
+    "SELECT o_orderkey, CASE WHEN h = '' THEN '00' ELSE h END AS h FROM w WHERE v = 0",
+)
+def varint_bytes(spark, sf_dir):
+    """Amounts as bytes of seven bits, low ones first, the high bit telling that more follow."""
+    t = table(spark, sf_dir, "orders").select("o_orderkey", scaled("o_totalprice").alias("v"))
+    return t.select("o_orderkey", F.hex(bits.varint(F.col("v"))).alias("h"))
+
+
+@query("varint_roundtrip", "SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS v FROM orders")
+def varint_roundtrip(spark, sf_dir):
+    t = table(spark, sf_dir, "orders").select("o_orderkey", bits.varint(scaled("o_totalprice")).alias("b"))
+    return t.select("o_orderkey", bits.unvarint(F.col("b")).alias("v"))

@@ -62,6 +62,24 @@ def dictionary_decode(spark, sf_dir):
     return D.decode(D.encode(t, "value", d).select("event_id", "code"), d, "value").select("event_id", "value")
 
 
+@query("dictionary_null_roundtrip", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS t FROM events")
+def dictionary_null_roundtrip(spark, sf_dir):
+    """A column with nulls to codes and back."""
+    t = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("t"))
+    d = D.first_seen_dictionary(t, "t", "event_id")
+    return D.decode(D.encode(t, "t", d), d, "t").select("event_id", "t")
+
+
+@query(
+    "dictionary_null_codes",
+    "WITH t AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS t FROM events), f AS (SELECT t, min(event_id) AS first FROM t GROUP BY 1), "
+    "c AS (SELECT t, row_number() OVER (ORDER BY first) - 1 AS code FROM f) SELECT event_id, code FROM t JOIN c ON t.t IS NOT DISTINCT FROM c.t",
+)
+def dictionary_null_codes(spark, sf_dir):
+    t = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("t"))
+    return D.encode(t, "t", D.first_seen_dictionary(t, "t", "event_id")).select("event_id", "code")
+
+
 _GATED = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 

@@ -51,6 +51,42 @@ def undo_delta_roundtrip(spark, sf_dir):
     return X.undelta(X.undelta(d, "d2", _U, _E, "d1"), "d1", _U, _E).select("user_id", "event_id", "v")
 
 
+_N = "s AS (SELECT user_id, event_id, CASE WHEN event_id % 3 <> 0 THEN CAST(round(value * 100) AS BIGINT) END AS v FROM events)"
+
+
+def _gappy(spark, sf_dir):
+    return cents(spark, sf_dir).withColumn("v", F.when(F.col("event_id") % 3 != 0, F.col("v")))
+
+
+@query(
+    "delta_null",
+    f"WITH {_N} SELECT user_id, event_id, v - coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS d FROM s",
+)
+def delta_null(spark, sf_dir):
+    return X.delta(_gappy(spark, sf_dir), "v", _U, _E).select("user_id", "event_id", "d")
+
+
+@query("delta_null_roundtrip", f"WITH {_N} SELECT user_id, event_id, v FROM s")
+def delta_null_roundtrip(spark, sf_dir):
+    d = X.delta(_gappy(spark, sf_dir), "v", _U, _E).drop("v")
+    return X.undelta(d, "d", _U, _E).select("user_id", "event_id", "v")
+
+
+@query("xor_null_roundtrip", f"WITH {_N} SELECT user_id, event_id, v FROM s")
+def xor_null_roundtrip(spark, sf_dir):
+    d = X.xor(_gappy(spark, sf_dir), "v", _U, _E).drop("v")
+    return X.unxor(d, "d", _U, _E).select("user_id", "event_id", "v")
+
+
+@query(
+    "fixed2_null",
+    f"WITH {_N}, k AS (SELECT *, lag(v, 1) OVER (PARTITION BY user_id ORDER BY event_id) AS a, lag(v, 2) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM s WHERE v IS NOT NULL) "
+    "SELECT user_id, event_id, CASE WHEN b IS NULL THEN v ELSE v - (2 * a - b) END AS e FROM k UNION ALL SELECT user_id, event_id, NULL FROM s WHERE v IS NULL",
+)
+def fixed2_null(spark, sf_dir):
+    return X.order2(_gappy(spark, sf_dir), "v", _U, _E).select("user_id", "event_id", "e")
+
+
 @query("xor_delta", f"WITH {_O} SELECT o_orderkey, xor(v, coalesce(lag(v) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 0)) AS d FROM o")
 def xor_delta(spark, sf_dir):
     return X.xor(_orders(spark, sf_dir), "v", ["o_custkey"], ["o_orderkey"]).select("o_orderkey", "d")
