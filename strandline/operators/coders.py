@@ -285,6 +285,93 @@ def lms(values, order: int = 16, shift: int = 10, back: bool = False) -> list[in
     return out
 
 
+#: Taps and shift of each filter of a cascade, fixed values.
+STAGES = ((16, 10), (256, 13), (512, 14))
+
+
+def cascade(values: np.ndarray, back: bool = False) -> np.ndarray:
+    """Linear extrapolation, then sign-sign adaptive filters one after another, each over what the one before leaves; or back."""
+    x = np.asarray(values, np.int64)
+    if not back:
+        x = np.concatenate([x[:2], x[2:] - 2 * x[1:-1] + x[:-2]]) if len(x) > 2 else x.copy()
+    for taps, shift in reversed(STAGES) if back else STAGES:
+        x = _filtered(x, taps, shift, back)
+    if back and len(x) > 2:
+        out = x.tolist()
+        for i in range(2, len(out)):
+            out[i] += 2 * out[i - 1] - out[i - 2]
+        x = np.array(out, np.int64)
+    return x
+
+
+def _filtered(x: np.ndarray, taps: int, shift: int, back: bool) -> np.ndarray:
+    """What the weighted sum of the ``taps`` values before misses; weights move by the signs of value and miss."""
+    out = np.empty_like(x)
+    known = np.concatenate([np.zeros(taps, np.int64), np.zeros_like(x) if back else x])  # oldest first
+    signs = np.sign(known)
+    weights = np.zeros(taps, np.int64)
+    for i, v in enumerate(x.tolist()):
+        guess = int(weights @ known[i : i + taps]) >> shift
+        miss = v if back else v - guess
+        out[i] = v + guess if back else miss
+        if back:
+            known[taps + i] = v + guess
+            signs[taps + i] = np.sign(v + guess)
+        if miss:
+            weights += signs[i : i + taps] if miss > 0 else -signs[i : i + taps]
+    return out
+
+
+#: What a symbol's count grows by, the total at which counts are halved, and the places that are told apart; fixed values.
+GROW, HALVE, PLACES = 32, 1 << 16, 64
+
+
+class _Placed:
+    """Counts of symbols after a symbol at a place in its line."""
+
+    def __init__(self, symbols: int):
+        self.symbols, self.held = symbols, {}
+
+    def counts(self, before: int, place: int) -> list[int]:
+        return self.held.setdefault((before, min(place, PLACES - 1)), [1] * self.symbols)
+
+    def saw(self, counts: list[int], s: int) -> None:
+        counts[s] += GROW
+        if sum(counts) >= HALVE:
+            counts[:] = [(c + 1) >> 1 for c in counts]
+
+
+def placed_encode(lines: list[list[int]], symbols: int) -> bytes:
+    """Lines of symbols, each coded given the one before it and its place in the line."""
+    coder, model = RangeEncoder(), _Placed(symbols)
+    for line in lines:
+        before = symbols
+        for place, s in enumerate(line):
+            counts = model.counts(before, place)
+            coder.encode(sum(counts[:s]), counts[s], sum(counts))
+            model.saw(counts, s)
+            before = s
+    return coder.finish()
+
+
+def placed_decode(data: bytes, lengths: list[int], symbols: int) -> list[list[int]]:
+    coder, model, out = RangeDecoder(data), _Placed(symbols), []
+    for n in lengths:
+        line, before = [], symbols
+        for place in range(n):
+            counts = model.counts(before, place)
+            target, s, low = coder.value(sum(counts)), 0, 0
+            while low + counts[s] <= target:
+                low += counts[s]
+                s += 1
+            coder.take(low, counts[s])
+            model.saw(counts, s)
+            line.append(s)
+            before = s
+        out.append(line)
+    return out
+
+
 def calic(plane: np.ndarray, back: bool = False) -> np.ndarray:
     """Residuals of gradient-adjusted predictions with the mean error of each texture context taken off, or back."""
     h, w = plane.shape

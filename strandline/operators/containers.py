@@ -340,8 +340,7 @@ def audio_encode(pcm: np.ndarray) -> bytes:
     parts = []
     for s in streams:
         d2 = np.diff(np.diff(s, prepend=0), prepend=0).tolist()
-        lms = K.lms(s.tolist())
-        parts.append(min((c + f(r) for c, r in ((b"f", d2), (b"l", lms)) for c, f in ((c + b"r", K.rice_encode), (c + b"c", K.residuals_encode))), key=len))
+        parts.append(min((c + f(r) for c, r in ((b"f", d2), (b"l", K.lms(s.tolist())), (b"c", K.cascade(s).tolist())) for c, f in ((c + b"r", K.rice_encode), (c + b"c", K.residuals_encode))), key=len))
     return pack(struct.pack(">II", *v.shape), *parts)
 
 
@@ -351,7 +350,10 @@ def audio_decode(blob: bytes) -> np.ndarray:
     streams = []
     for p in parts:
         r = (K.rice_decode if p[1:2] == b"r" else K.residuals_decode)(p[2:], n)
-        streams.append(np.cumsum(np.cumsum(np.array(r, np.int64))) if p[:1] == b"f" else np.array(K.lms(r, back=True), np.int64))
+        if p[:1] == b"f":
+            streams.append(np.cumsum(np.cumsum(np.array(r, np.int64))))
+        else:
+            streams.append(K.cascade(np.array(r, np.int64), back=True) if p[:1] == b"c" else np.array(K.lms(r, back=True), np.int64))
     if channels == 2:
         mid, side = streams
         right = mid - (side >> 1)
@@ -488,15 +490,21 @@ def read_wav(data: bytes) -> tuple[bytes, np.ndarray, bytes, int]:
     raise ValueError("no samples")
 
 
+#: Rows and columns of luma for one of chroma, fixed values.
+CHROMA = {"420": (2, 2), "411": (1, 4), "422": (1, 2), "444": (1, 1)}
+
+
 def read_y4m(data: bytes) -> tuple[bytes, list[bytes], list[np.ndarray]]:
     """Header line, frame lines, and a (T, H, W) array for each plane."""
     head, _, rest = data.partition(b"\n")
     said = {p[:1]: p[1:].decode() for p in head.split(b" ")[1:]}
     w, h, kind = int(said[b"W"]), int(said[b"H"]), said.get(b"C", "420")
-    if kind.startswith("mono"):
+    if kind.startswith(("mono", "400")):
         shapes = [(h, w)]
     else:
-        sy, sx = {"420": (2, 2), "422": (1, 2), "444": (1, 1)}[kind[:3]]
+        if kind[:3] not in CHROMA:
+            raise ValueError("colour space")
+        sy, sx = CHROMA[kind[:3]]
         shapes = [(h, w), (-(-h // sy), -(-w // sx)), (-(-h // sy), -(-w // sx))]
     lines, planes = [], [[] for _ in shapes]
     while rest:
@@ -535,6 +543,37 @@ def _fits(data: bytes) -> bytes:
     return pack(zlib.compress(head, 9), image_encode(a), zlib.compress(rest, 9))
 
 
+def read_dicom(data: bytes) -> tuple[bytes, np.ndarray, bytes]:
+    """Bytes before, 16-bit pixels (rows, columns), bytes after; explicit little-endian elements."""
+    if data[128:132] != b"DICM":
+        raise ValueError("not a DICOM file")
+    at, seen = 132, {}
+    while at + 8 <= len(data):
+        group, element = struct.unpack_from("<HH", data, at)
+        kind = data[at + 4 : at + 6]
+        if kind in (b"OB", b"OW", b"SQ", b"UN", b"UT", b"OF"):
+            (n,), body = struct.unpack_from("<I", data, at + 8), at + 12
+        else:
+            (n,), body = struct.unpack_from("<H", data, at + 6), at + 8
+        if (group, element) == (0x7FE0, 0x0010):
+            rows, columns, bits = seen.get(0x10), seen.get(0x11), seen.get(0x100)
+            if bits != 16 or not rows or not columns or n < 2 * rows * columns:
+                raise ValueError("not 16-bit pixels")
+            end = body + 2 * rows * columns
+            return data[:body], np.frombuffer(data[body:end], "<u2").reshape(rows, columns), data[end:]
+        if n == 0xFFFFFFFF or body + n > len(data):
+            raise ValueError("length")
+        if group == 0x28 and kind == b"US":
+            (seen[element],) = struct.unpack_from("<H", data, body)
+        at = body + n
+    raise ValueError("no pixels")
+
+
+def _dicom(data: bytes) -> bytes:
+    head, a, rest = read_dicom(data)
+    return pack(zlib.compress(head, 9), image_encode(a), zlib.compress(rest, 9))
+
+
 def _wav(data: bytes) -> bytes:
     head, pcm, rest, _ = read_wav(data)
     return pack(zlib.compress(head, 9), audio_encode(pcm), zlib.compress(rest, 9))
@@ -567,12 +606,13 @@ METHODS = {
     "deflate": (lambda d: zlib.compress(d, 9), zlib.decompress),
     "npy": (_npy, _npy_back),
     "fits": (_fits, _parts(image_decode)),
+    "dicom": (_dicom, _parts(image_decode)),
     "wav": (_wav, _parts(audio_decode)),
     "y4m": (_y4m, _y4m_back),
     "grid": (grid_encode, grid_decode),
     "records": (records_encode, records_decode),
 }
-_FOR = {"array/npy": ["npy"], "image/fits": ["fits"], "audio/wav": ["wav"], "video/y4m": ["y4m"], "text/csv": ["grid"], "text/plain": ["grid"], "binary/unknown": ["records"]}
+_FOR = {"array/npy": ["npy"], "image/fits": ["fits"], "image/dicom": ["dicom"], "audio/wav": ["wav"], "video/y4m": ["y4m"], "text/csv": ["grid"], "text/plain": ["grid"], "binary/unknown": ["records"]}
 BARS = {"gzip": lambda d: gzip.compress(d, 9, mtime=0), "bzip2": bz2.compress, "xz": lzma.compress}
 
 

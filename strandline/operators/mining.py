@@ -57,17 +57,18 @@ def segment_scores(df: DataFrame, key: str, text: str, size: int = 2048, step: i
     return placed.where(first <= last).select(key, F.explode(segments).alias("segment"), "n").groupBy(key, "segment").agg(F.sum("n").alias("score"))
 
 
-def earlier_matches(df: DataFrame, key: str, text: str, window: int = 1 << 19, depth: int = 8, unit: int = 3) -> DataFrame:
-    """(key, i, distance, rank): for each place the nearest earlier places with the same ``unit`` bytes, ``depth`` at most.
+def earlier_matches(df: DataFrame, key: str, text: str, window: int = 1 << 19, most: int = 2048, unit: int = 3) -> DataFrame:
+    """(key, i, distance, rank): for each place the nearest earlier places with the same ``unit`` bytes, as many as a
+    text of its length gets: 2^22 / n, between 128 and ``most`` (fixed values).
 
-    The places of a run are numbered, so that the k-th before is one lag away:
-    no pairs of all places are made.
+    Each place takes the frame of so many rows before it: no pairs of all places are made.
     """
-    rows = grams(df, key, text, unit)
-    w = Window.partitionBy(key, "g").orderBy("i")
-    back = F.array(*[F.struct(F.lit(k).cast("long").alias("rank"), (F.col("i") - F.lag("i", k).over(w)).alias("distance")) for k in range(1, depth + 1)])
-    found = rows.withColumn("b", back).select(key, "i", F.explode("b").alias("b")).select(key, "i", "b.distance", "b.rank")
-    return found.where(F.col("distance").isNotNull() & (F.col("distance") <= window))
+    depth = F.greatest(F.lit(128), F.least(F.lit(most), F.floor(F.lit(1 << 22) / F.greatest(F.octet_length(F.col(text)), F.lit(1))))).cast("int")
+    rows = grams(df, key, text, unit).join(df.select(key, depth.alias("depth")), key)
+    w = Window.partitionBy(key, "g").orderBy("i").rowsBetween(-most, -1)
+    back = rows.withColumn("before", F.reverse(F.collect_list("i").over(w))).select(key, "i", "depth", F.posexplode("before").alias("k", "j"))
+    found = back.where(F.col("k") < F.col("depth")).select(key, "i", (F.col("i") - F.col("j")).alias("distance"), (F.col("k") + 1).cast("long").alias("rank"))
+    return found.where(F.col("distance") <= window)
 
 
 def longest_matches(df: DataFrame, key: str, text: str, patterns: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def interslice_delta(spark, sf_dir):
 
 @query(
     "motion_sad_search",
-    f"WITH {_FRAMES}, s AS (SELECT unnest(generate_series(-4, 4)) AS k), d AS (SELECT z, y, x, v, dy.k AS dy, dx.k AS dx, least(31, greatest(0, y + dy.k)) AS ty, least(63, greatest(0, x + dx.k)) AS tx FROM b, s dy, s dx), "
+    f"WITH {_FRAMES}, s AS (SELECT unnest(generate_series(-8, 8)) AS k), d AS (SELECT z, y, x, v, dy.k AS dy, dx.k AS dx, least(31, greatest(0, y + dy.k)) AS ty, least(63, greatest(0, x + dx.k)) AS tx FROM b, s dy, s dx), "
     "m AS (SELECT d.z, d.y // 16 AS \"by\", d.x // 16 AS bx, dy, dx, sum(abs(d.v - a.v)) AS sad FROM d JOIN a ON a.z = d.z AND a.y = ty AND a.x = tx GROUP BY ALL), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY z, \"by\", bx ORDER BY sad, dy, dx) AS n FROM m) "
     "SELECT z, \"by\", bx, CAST(dy AS BIGINT) AS dy, CAST(dx AS BIGINT) AS dx, CAST(sad AS BIGINT) AS sad FROM r WHERE n = 1",
@@ -87,7 +87,7 @@ def interslice_delta(spark, sf_dir):
 def motion_sad_search(spark, sf_dir):
     """Every frame of 32 rows against the one before."""
     before, now = _frames(spark, sf_dir)
-    return S.motion(now, before, ["z"], reach=4)
+    return S.motion(now, before, ["z"])
 
 
 @query(
@@ -124,12 +124,13 @@ def bayer_merge(spark, sf_dir):
 
 @query(
     "rgb_green_subtract",
-    f"WITH {_P}, c AS (SELECT y, x // 3 AS x, sum(CASE WHEN x % 3 = 0 THEN v END) AS r, sum(CASE WHEN x % 3 = 1 THEN v END) AS g, sum(CASE WHEN x % 3 = 2 THEN v END) AS b FROM p WHERE x < 63 GROUP BY ALL) "
+    f"WITH {_P}, c AS (SELECT y, x // 3 AS x, sum(CASE WHEN x % 3 = 0 THEN v ELSE 0 END) AS r, sum(CASE WHEN x % 3 = 1 THEN v ELSE 0 END) AS g, sum(CASE WHEN x % 3 = 2 THEN v ELSE 0 END) AS b FROM p GROUP BY ALL) "
     "SELECT y, x, CAST(g AS BIGINT) AS g, CAST(r - g AS BIGINT) AS rg, CAST(b - g AS BIGINT) AS bg FROM c",
 )
 def rgb_green_subtract(spark, sf_dir):
-    of = lambda k: F.sum(F.when(F.pmod("x", F.lit(3)) == k, F.col("v")))
-    c = plane(spark, sf_dir).where("x < 63").groupBy("y", F.floor(F.col("x") / 3).alias("x")).agg(of(0).alias("r"), of(1).alias("g"), of(2).alias("b"))
+    """Every three columns as red, green and blue; what a last pixel lacks is 0."""
+    of = lambda k: F.sum(F.when(F.pmod("x", F.lit(3)) == k, F.col("v")).otherwise(F.lit(0)))
+    c = plane(spark, sf_dir).groupBy("y", F.floor(F.col("x") / 3).alias("x")).agg(of(0).alias("r"), of(1).alias("g"), of(2).alias("b"))
     return c.select("y", "x", "g", (F.col("r") - F.col("g")).alias("rg"), (F.col("b") - F.col("g")).alias("bg"))
 
 

@@ -14,31 +14,7 @@ from xml.etree import ElementTree
 
 import numpy as np
 
-
-def read_dicom(data: bytes) -> tuple[bytes, np.ndarray, bytes]:
-    """Bytes before, 16-bit pixels (rows, columns), bytes after; explicit little-endian elements."""
-    if data[128:132] != b"DICM":
-        raise ValueError("not a DICOM file")
-    at, seen = 132, {}
-    while at + 8 <= len(data):
-        group, element = struct.unpack_from("<HH", data, at)
-        kind = data[at + 4 : at + 6]
-        if kind in (b"OB", b"OW", b"SQ", b"UN", b"UT", b"OF"):
-            (n,), body = struct.unpack_from("<I", data, at + 8), at + 12
-        else:
-            (n,), body = struct.unpack_from("<H", data, at + 6), at + 8
-        if (group, element) == (0x7FE0, 0x0010):
-            rows, columns, bits = seen.get(0x10), seen.get(0x11), seen.get(0x100)
-            if bits != 16 or not rows or not columns or n < 2 * rows * columns:
-                raise ValueError("not 16-bit pixels")
-            end = body + 2 * rows * columns
-            return data[:body], np.frombuffer(data[body:end], "<u2").reshape(rows, columns), data[end:]
-        if n == 0xFFFFFFFF or body + n > len(data):
-            raise ValueError("length")
-        if group == 0x28 and kind == b"US":
-            (seen[element],) = struct.unpack_from("<H", data, body)
-        at = body + n
-    raise ValueError("no pixels")
+from ..operators.containers import read_dicom  # noqa: F401 - a reader among these
 
 
 def read_edf(data: bytes) -> list[np.ndarray]:
@@ -154,3 +130,110 @@ def aggregated_trades(line: str, decimals: int = 8) -> list[int]:
         else:
             out.append(int(f))
     return out
+
+
+# ------------------------------------------------------------------ writers
+
+def _element(group: int, element: int, kind: bytes, body: bytes) -> bytes:
+    size = b"\0\0" + struct.pack("<I", len(body)) if kind == b"OW" else struct.pack("<H", len(body))
+    return struct.pack("<HH", group, element) + kind + size + body
+
+
+def write_dicom(pixels: np.ndarray) -> bytes:
+    """A plane of unsigned 16-bit pixels as explicit little-endian elements."""
+    rows, columns = pixels.shape
+    said = b"".join(_element(0x28, e, b"US", struct.pack("<H", v)) for e, v in ((0x10, rows), (0x11, columns), (0x100, 16)))
+    return bytes(128) + b"DICM" + said + _element(0x7FE0, 0x10, b"OW", pixels.astype("<u2").tobytes())
+
+
+def write_fits(plane: np.ndarray) -> bytes:
+    """A plane of 16-bit numbers: header cards and the numbers, each filled up to 2,880 bytes."""
+    h, w = plane.shape
+    cards = [("SIMPLE", "T"), ("BITPIX", 16), ("NAXIS", 2), ("NAXIS1", w), ("NAXIS2", h)]
+    head = b"".join(f"{k:<8}= {v:>20}".encode().ljust(80) for k, v in cards) + b"END".ljust(80)
+    body = plane.astype(">i2").tobytes()
+    return head.ljust(-(-len(head) // 2880) * 2880) + body.ljust(-(-len(body) // 2880) * 2880, b"\0")
+
+
+def write_wav(pcm: np.ndarray, rate: int = 48_000) -> bytes:
+    """16-bit samples (n, channels) as a wave file."""
+    n = pcm.shape[1]
+    form, body = struct.pack("<HHIIHH", 1, n, rate, 2 * n * rate, 2 * n, 16), pcm.astype("<i2").tobytes()
+    parts = b"WAVE" + b"fmt " + struct.pack("<I", len(form)) + form + b"data" + struct.pack("<I", len(body)) + body
+    return b"RIFF" + struct.pack("<I", len(parts)) + parts
+
+
+def write_y4m(luma: np.ndarray) -> bytes:
+    """Frames (T, H, W) of bytes without chroma."""
+    t, h, w = luma.shape
+    return f"YUV4MPEG2 W{w} H{h} F25:1 Cmono\n".encode() + b"".join(b"FRAME\n" + f.astype(np.uint8).tobytes() for f in luma)
+
+
+def write_edf(channels: list[np.ndarray]) -> bytes:
+    """One record of 16-bit samples of some channels."""
+    head = bytearray(b" " * 256)
+    head[236:244], head[252:256] = b"1".ljust(8), str(len(channels)).encode().ljust(4)
+    fields = b" " * (216 * len(channels)) + b"".join(str(len(c)).encode().ljust(8) for c in channels) + b" " * (32 * len(channels))
+    return bytes(head) + fields + b"".join(c.astype("<i2").tobytes() for c in channels)
+
+
+def write_fcs(events: np.ndarray) -> bytes:
+    """(events, parameters) of 32-bit floats."""
+    n, k = events.shape
+    text = f"/$TOT/{n}/$PAR/{k}/$BYTEORD/1,2,3,4/$DATATYPE/F/$P1B/32/$BEGINDATA/512/".encode()
+    head = b"FCS3.0    " + b"%8d%8d" % (58, 58 + len(text) - 1) + b" " * 32
+    return (head + text).ljust(512) + events.astype("<f4").tobytes()
+
+
+def write_mzml(spectra: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
+    """Mass-to-charge ratios and intensities of each spectrum, as deflated 64-bit floats."""
+
+    def array(x: np.ndarray, kind: str) -> str:
+        said = base64.b64encode(zlib.compress(x.astype("<f8").tobytes())).decode()
+        names = "".join(f'<cvParam name="{k}"/>' for k in (kind, "64-bit float", "zlib compression"))
+        return f"<binaryDataArray>{names}<binary>{said}</binary></binaryDataArray>"
+
+    rows = "".join(f"<spectrum>{array(a, 'm/z array')}{array(b, 'intensity array')}</spectrum>" for a, b in spectra)
+    return f"<mzML>{rows}</mzML>".encode()
+
+
+def write_bvh(frames: np.ndarray, decimals: int = 4) -> str:
+    """Whole numbers of the last decimal as lines of motion text."""
+    lines = [" ".join(f"{v / 10**decimals:.{decimals}f}" for v in row) for row in frames]
+    return "\n".join(["MOTION", f"Frames: {len(lines)}", "Frame Time: 0.008333", *lines]) + "\n"
+
+
+def write_mtx(triples: np.ndarray, rows: int, columns: int) -> str:
+    """(row, column, value) triples, counted from 1, as coordinate text."""
+    return "\n".join(["%%MatrixMarket matrix coordinate integer general", f"{rows} {columns} {len(triples)}", *(f"{r} {c} {v}" for r, c, v in triples.tolist())]) + "\n"
+
+
+# ------------------------------------------------------------------ flow records
+
+#: A flow as 54 bytes: time and duration in microseconds, protocol, source address and port, direction, target address
+#: and port, state, two types of service, packets, bytes, source bytes, label; a fixed layout.
+FLOW = struct.Struct("<QIB4sIB4sIBBBIQQB")
+_CODED = (2, 5, 8, 14)  # fields that are codes into dictionaries
+
+
+def write_flows(rows: list[tuple]) -> tuple[bytes, list[list[str]]]:
+    """Flows (addresses as four bytes; protocol, direction, state and label as text) as records, and the four dictionaries
+    in the order in which values first come."""
+    seen: list[dict[str, int]] = [{} for _ in _CODED]
+    out = []
+    for row in rows:
+        row = list(row)
+        for d, k in zip(seen, _CODED, strict=True):
+            row[k] = d.setdefault(row[k], len(d))
+        out.append(FLOW.pack(*row))
+    return b"".join(out), [list(d) for d in seen]
+
+
+def read_flows(data: bytes, names: list[list[str]]) -> list[tuple]:
+    out = []
+    for row in FLOW.iter_unpack(data):
+        row = list(row)
+        for d, k in zip(names, _CODED, strict=True):
+            row[k] = d[row[k]]
+        out.append(tuple(row))
+    return out
