@@ -7,6 +7,7 @@ broadcast value.
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from bisect import bisect_right
@@ -18,6 +19,8 @@ from .mining import SHORT_CAPS
 #: Greatest distance, least match, bits of a total of frequencies.
 WINDOW, LEAST, TOTAL = 1 << 19, 3, 1 << 16
 _SLOTS = 24
+#: Recent distances that a match may name by their place instead.
+REPEATS = 4
 
 
 def value_slot(v: int) -> tuple[int, int]:
@@ -51,7 +54,7 @@ class Frequencies:
 
 @dataclass
 class Model:
-    """``main``: bytes, then patterns, then length slots of matches; ``dist``: distance slots."""
+    """``main``: bytes, then patterns, then length slots of matches; ``dist``: distance slots, then recent distances."""
 
     patterns: list[bytes] = field(default_factory=list)
     blob: bytes = b""
@@ -61,7 +64,7 @@ class Model:
     def __post_init__(self):
         n = 256 + len(self.patterns) + _SLOTS
         self.main = Frequencies([c + 1 for c in self.counts] if self.counts else [1] * n)
-        self.dist = Frequencies([c + 1 for c in self.dist_counts] if self.dist_counts else [1] * _SLOTS)
+        self.dist = Frequencies([c + 1 for c in self.dist_counts] if self.dist_counts else [1] * (_SLOTS + REPEATS))
         self.heads: dict[bytes, list[int]] = {}
         for k, p in enumerate(self.patterns):
             self.heads.setdefault(p[:2], []).append(k)
@@ -115,8 +118,9 @@ def matches(data: bytes, start: int, depth: int):
     return out
 
 
-def parse(data: bytes, model: Model, depth: int | None = None, greedy: bool = False) -> list[tuple]:
-    """Tokens ('b', byte), ('d', pattern) and ('m', length, distance) of least cost; ``greedy``: longest first."""
+def parse(data: bytes, model: Model, depth: int | None = None, greedy: bool = False, lazy: bool = False) -> list[tuple]:
+    """Tokens ('b', byte), ('d', pattern) and ('m', length, distance) of least cost; ``greedy``: longest first; ``lazy``:
+    what saves most over bytes one by one, but a byte where the next place saves still more."""
     start = len(model.blob)
     whole = model.blob + data
     found = matches(whole, start, depth or depth_for(len(data)))
@@ -131,6 +135,17 @@ def parse(data: bytes, model: Model, depth: int | None = None, greedy: bool = Fa
             if worth(length, distance):
                 here.append((model.match_cost(length, distance), length, ("m", length, distance)))
         options.append(here)
+    if lazy:
+        plain = [0.0]
+        for b in data:
+            plain.append(plain[-1] + model.main.cost(b))
+        top = [max((plain[i + o[1]] - plain[i] - o[0], k) for k, o in enumerate(here)) for i, here in enumerate(options)]
+        out, i = [], 0
+        while i < n:
+            _, size, token = options[i][0] if i + 1 < n and top[i + 1][0] > top[i][0] else options[i][top[i][1]]
+            out.append(token)
+            i += size
+        return out
     if greedy:
         out, i = [], 0
         while i < n:
@@ -170,20 +185,29 @@ def expand(tokens: list[tuple], model: Model) -> bytes:
     return bytes(out[len(model.blob) :])
 
 
+def _distances(tokens: list[tuple]) -> list[int]:
+    """The distances of matches as the coder tells them: places among recent ones, or negative."""
+    return repeated_offsets([t[2] for t in tokens if t[0] == "m"], REPEATS)
+
+
 def compress(data: bytes, model: Model, depth: int | None = None) -> bytes:
     tokens = parse(data, model, depth)
-    coder = RangeEncoder()
+    coder, distances = RangeEncoder(), iter(_distances(tokens))
     for t in tokens:
         if t[0] == "b":
             model.main.put(coder, t[1])
         elif t[0] == "d":
             model.main.put(coder, 256 + t[1])
         else:
-            (a, rest), (b, more) = value_slot(t[1]), value_slot(t[2])
+            a, rest = value_slot(t[1])
             model.main.put(coder, 256 + len(model.patterns) + a)
             coder.bits(rest, a)
-            model.dist.put(coder, b)
-            coder.bits(more, b)
+            if (d := next(distances)) >= 0:
+                model.dist.put(coder, _SLOTS + d)
+            else:
+                b, more = value_slot(-d)
+                model.dist.put(coder, b)
+                coder.bits(more, b)
     head = model.id.to_bytes(4, "big") + zlib.crc32(data).to_bytes(4, "big") + len(data).to_bytes(4, "big") + len(tokens).to_bytes(4, "big")
     return head + coder.finish()
 
@@ -193,7 +217,7 @@ def decompress(blob: bytes, model: Model) -> bytes:
     if len(blob) < 16 or int.from_bytes(blob[:4], "big") != model.id:
         raise ValueError("another model")
     crc, size, n = (int.from_bytes(blob[k : k + 4], "big") for k in (4, 8, 12))
-    coder, tokens, done = RangeDecoder(blob[16:]), [], 0
+    coder, tokens, done, recent = RangeDecoder(blob[16:]), [], 0, []
     for _ in range(n):
         s = model.main.get(coder)
         if s < 256:
@@ -206,7 +230,13 @@ def decompress(blob: bytes, model: Model) -> bytes:
             a = s - 256 - len(model.patterns)
             length = (1 << a) + coder.bits(a)
             b = model.dist.get(coder)
-            tokens.append(("m", length, (1 << b) + coder.bits(b)))
+            if b >= _SLOTS and b - _SLOTS >= len(recent):
+                raise ValueError("damaged")
+            distance = recent.pop(b - _SLOTS) if b >= _SLOTS else (1 << b) + coder.bits(b)
+            if distance in recent:
+                raise ValueError("damaged")
+            recent = [distance, *recent][:REPEATS]
+            tokens.append(("m", length, distance))
             done += length
         if done > size:
             raise ValueError("damaged")
@@ -240,6 +270,43 @@ def distances_back(coded: list[int], size: int = 16) -> list[int]:
     return out
 
 
+#: Greatest sizes of a text to match into, and lengths of the segments that it is made of: each pair is tried.
+BLOBS = tuple((most, size) for most in (512, 2048, 8192) for size in (32, 128, 512))
+_UNIT = 8
+
+
+def select_blob(samples: list[bytes], most: int, size: int) -> bytes:
+    """Segments of the samples that cover what comes often, ``most`` bytes of them, the best last, nearest to the data.
+
+    A segment's score is how often its runs of ``_UNIT`` bytes come in all; runs of a segment that is taken count no
+    more. The best is looked for again and again among scores that only fall, so a heap of old scores will do.
+    """
+    whole = b"".join(samples)
+    if len(whole) <= most:
+        return whole
+    often: dict[bytes, int] = {}
+    for i in range(len(whole) - _UNIT + 1):
+        often[whole[i : i + _UNIT]] = often.get(whole[i : i + _UNIT], 0) + 1
+    score = lambda i: sum(often[whole[j : j + _UNIT]] for j in range(i, min(i + size, len(whole)) - _UNIT + 1))
+    line = [(-score(i), i) for i in range(0, len(whole) - _UNIT + 1, max(1, size // 4))]
+    heapq.heapify(line)
+    taken, total = [], 0
+    while line and total < most:
+        old, i = heapq.heappop(line)
+        if (now := -score(i)) != old:
+            if now < 0:
+                heapq.heappush(line, (now, i))
+            continue
+        if now == 0:
+            break
+        part = whole[i : i + min(size, most - total)]
+        taken.append(part)
+        total += len(part)
+        for j in range(i, min(i + size, len(whole)) - _UNIT + 1):
+            often[whole[j : j + _UNIT]] = 0
+    return b"".join(reversed(taken))
+
+
 def train(samples: list[bytes], patterns: list[bytes], blobs: list[bytes]) -> Model:
     """The model with the text, of some, under which held-out samples cost least: the last fifth (all of under five)."""
     cut = len(samples) * 4 // 5 if len(samples) >= 5 else len(samples)
@@ -247,16 +314,18 @@ def train(samples: list[bytes], patterns: list[bytes], blobs: list[bytes]) -> Mo
     best = None
     for blob in blobs or [b""]:
         first = Model(patterns, blob)
-        main, dist = [0] * (256 + len(patterns) + _SLOTS), [0] * _SLOTS
+        main, dist = [0] * (256 + len(patterns) + _SLOTS), [0] * (_SLOTS + REPEATS)
         for s in seen:
-            for t in parse(s, first, 32):
+            tokens = parse(s, first, 32)
+            for d in _distances(tokens):
+                dist[_SLOTS + d if d >= 0 else value_slot(-d)[0]] += 1
+            for t in tokens:
                 if t[0] == "b":
                     main[t[1]] += 1
                 elif t[0] == "d":
                     main[256 + t[1]] += 1
                 else:
                     main[256 + len(patterns) + value_slot(t[1])[0]] += 1
-                    dist[value_slot(t[2])[0]] += 1
         model = Model(patterns, blob, main, dist)
         bits = sum(cost(parse(s, model, 32), model) for s in held)
         if best is None or bits < best[0]:

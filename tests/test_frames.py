@@ -16,7 +16,9 @@ from strandline.streaming import messages
 def test_differences_with_nulls_and_one_row(spark):
     df = spark.createDataFrame([(1, 1, 5), (1, 2, None), (1, 3, 9), (2, 1, 7)], "g int, i int, v long")
     d = {(r.g, r.i): r.d for r in transforms.delta(df, "v", ["g"], ["i"]).collect()}
-    assert d == {(1, 1): 5, (1, 2): None, (1, 3): 9, (2, 1): 7}
+    assert d == {(1, 1): 5, (1, 2): None, (1, 3): 4, (2, 1): 7}  # from the last value that isn't null
+    back = transforms.undelta(transforms.delta(df, "v", ["g"], ["i"]).drop("v"), "d", ["g"], ["i"])
+    assert {(r.g, r.i): r.v for r in back.collect()} == {(1, 1): 5, (1, 2): None, (1, 3): 9, (2, 1): 7}
     assert transforms.delta(df.limit(0), "v", ["g"], ["i"]).count() == 0
 
 
