@@ -47,6 +47,9 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _made:
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        master = spark.sparkContext.master
+        if not root and master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not root:
             root = tempfile.mkdtemp(prefix="strandline-")
             spark.sparkContext.setCheckpointDir(root)
@@ -220,15 +223,20 @@ class Words:
         self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash for each word: a polynomial in its bytes, spread."""
-        n = len(self.data)
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        sums = np.zeros(n + 1, np.uint64)
-        np.multiply(self.data.astype(np.uint64) + np.uint64(1), _power("m", n), out=sums[1:])
-        np.cumsum(sums, out=sums)
-        value = (sums[self.end] - sums[self.start]) * _power("i", n)[self.start]
-        return mix(value + (self.end - self.start).astype(np.uint64))
+        """A 64-bit hash for each word: a polynomial in its bytes, spread; so many bytes at once, however long a row is."""
+        out = np.empty(len(self.start), np.uint64)
+        a = 0
+        while a < len(out):
+            low = int(self.start[a])
+            b = max(a + 1, int(np.searchsorted(self.end, low + CHUNK_BYTES, side="right")))
+            part = self.data[low : int(self.end[b - 1])]
+            begin, end = self.start[a:b] - low, self.end[a:b] - low
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.multiply(part.astype(np.uint64) + np.uint64(1), _power("m", len(part)), out=sums[1:])
+            np.cumsum(sums, out=sums)
+            out[a:b] = (sums[end] - sums[begin]) * _power("i", len(part))[begin] + (end - begin).astype(np.uint64)
+            a = b
+        return mix(out)
 
     def text(self, a: int, b: int) -> bytes:
         """Words a..b-1, a space between each."""

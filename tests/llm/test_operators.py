@@ -46,6 +46,20 @@ def test_words_and_hashes_do_not_depend_on_slices():
     assert C.Words(*C.strings(sliced)).hashes().tolist() == whole.hashes().tolist()
 
 
+def test_words_of_a_text_of_50_mb_take_bounded_memory():
+    import tracemalloc
+
+    raw = np.frombuffer(b"some words Of one long text, " * 1_700_000, np.uint8)
+    tracemalloc.start()
+    w = C.Words(np.array([0, len(raw)]), raw)
+    h = w.hashes()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(h) == 6 * 1_700_000 and len(np.unique(h)) == 6 and peak < 14 * len(raw)
+    long = np.frombuffer(b"x" * 3_000_000 + b" y", np.uint8)
+    assert len(np.unique(C.Words(np.array([0, len(long)]), long).hashes())) == 2
+
+
 def test_join_hot_keeps_every_row(spark):
     left = spark.range(3000).select(F.when(F.col("id") < 2000, F.lit("hot")).when(F.col("id") < 2100, F.lit(None)).otherwise(F.col("id").cast("string")).alias("k"), "id")
     right = spark.createDataFrame([("hot", 1), ("2500", 2)], "k string, v int")
