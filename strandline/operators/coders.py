@@ -146,29 +146,146 @@ def unzigzag(u: int) -> int:
     return u >> 1 if u & 1 == 0 else -(u + 1 >> 1)
 
 
+def _halved(counts: list[int]) -> int:
+    """Counts halved in place, none below 1; their sum."""
+    counts[:] = [(x + 1) >> 1 for x in counts]
+    return sum(counts)
+
+
 def residuals_encode(values) -> bytes:
-    coder, model = RangeEncoder(), _Residuals()
+    """The buckets, top bits and rests of residuals, by the coder and the model above in one loop of plain numbers."""
+    low, span, held, byte, first, out = 0, 0xFFFFFFFF, 0, 0, True, bytearray()
+    buckets: dict[int, list] = {}
+    tops: dict[int, list] = {}
+    a = b = 0
+
+    def shift() -> None:  # a byte of ``low`` out, or held back where a carry may still come
+        nonlocal low, held, byte, first
+        if low < 0xFF000000 or low > 0xFFFFFFFF:
+            carry = low >> 32
+            if not first:
+                out.append((byte + carry) & 255)
+            if held:
+                out.extend(bytes([(255 + carry) & 255]) * held)
+            held, first = 0, False
+            byte = (low >> 24) & 255
+        else:
+            held += 1
+        low = (low & 0x00FFFFFF) << 8
+
+    values = values.tolist() if isinstance(values, np.ndarray) else values
     for r in values:
-        u = zigzag(int(r))
+        r = int(r)
+        u = 2 * r if r >= 0 else -2 * r - 1
         k = u.bit_length()
-        model.bucket().put(coder, k)
+        c = (a if a < CLAMP else CLAMP) * (CLAMP + 1) + (b if b < CLAMP else CLAMP)
+        held_counts = buckets.get(c)
+        if held_counts is None:
+            held_counts = buckets[c] = [[1] * BUCKETS, BUCKETS]
+        f, total = held_counts
+        step, n = span // total, f[k]
+        low += step * sum(f[:k])
+        span = step * n
+        while span < 1 << 24:
+            span <<= 8
+            shift()
+        f[k] = n + GROW
+        total += GROW
+        held_counts[1] = total if total < LIMIT else _halved(f)
         if k > 1:
-            model.top(k).put(coder, u >> (k - 2) & 1)
-            coder.bits(u & ((1 << (k - 2)) - 1), k - 2)
-        model.saw(k)
-    return coder.finish()
+            top = tops.get(c << 7 | k)
+            if top is None:
+                top = tops[c << 7 | k] = [1, 1]
+            s, total = u >> (k - 2) & 1, top[0] + top[1]
+            step = span // total
+            if s:
+                low += step * top[0]
+            span = step * top[s]
+            while span < 1 << 24:
+                span <<= 8
+                shift()
+            top[s] += TOP_GROW
+            if total + TOP_GROW >= TOP_LIMIT:
+                _halved(top)
+            n = k - 2
+            while n > 0:
+                many = n - 16 if n > 16 else 0
+                size = n - many if not many else 16
+                span //= 1 << size
+                low += span * (u >> many & (1 << size) - 1)
+                while span < 1 << 24:
+                    span <<= 8
+                    shift()
+                n = many
+        a, b = k, a
+    for _ in range(5):
+        shift()
+    return bytes(out)
 
 
 def residuals_decode(data: bytes, n: int) -> list[int]:
-    coder, model, out = RangeDecoder(data), _Residuals(), []
+    span, code, at, size, out = 0xFFFFFFFF, int.from_bytes(data[:4].ljust(4, b"\0"), "big"), 4, len(data), []
+    buckets: dict[int, list] = {}
+    tops: dict[int, list] = {}
+    a = b = 0
     for _ in range(n):
-        k = model.bucket().get(coder)
-        u = k and 1
+        c = (a if a < CLAMP else CLAMP) * (CLAMP + 1) + (b if b < CLAMP else CLAMP)
+        held = buckets.get(c)
+        if held is None:
+            held = buckets[c] = [[1] * BUCKETS, BUCKETS]
+        f, total = held
+        step = span // total
+        want = code // step
+        if want >= total:
+            want = total - 1
+        cum = k = 0
+        for x in f:
+            if cum + x > want:
+                break
+            cum += x
+            k += 1
+        code -= step * cum
+        span = step * x
+        while span < 1 << 24:
+            span <<= 8
+            code = code << 8 | (data[at] if at < size else 0)
+            at += 1
+        f[k] = x + GROW
+        total += GROW
+        held[1] = total if total < LIMIT else _halved(f)
+        u = 1 if k else 0
         if k > 1:
-            u = 2 + model.top(k).get(coder)
-            u = (u << (k - 2)) | coder.bits(k - 2)
-        model.saw(k)
-        out.append(unzigzag(u))
+            top = tops.get(c << 7 | k)
+            if top is None:
+                top = tops[c << 7 | k] = [1, 1]
+            total = top[0] + top[1]
+            step = span // total
+            s = 1 if code // step >= top[0] else 0
+            if s:
+                code -= step * top[0]
+            span = step * top[s]
+            while span < 1 << 24:
+                span <<= 8
+                code = code << 8 | (data[at] if at < size else 0)
+                at += 1
+            top[s] += TOP_GROW
+            if total + TOP_GROW >= TOP_LIMIT:
+                _halved(top)
+            u, left = 2 | s, k - 2
+            while left > 0:
+                bits = left if left <= 16 else 16
+                span //= 1 << bits
+                v = code // span
+                if v >> bits:
+                    v = (1 << bits) - 1
+                code -= span * v
+                while span < 1 << 24:
+                    span <<= 8
+                    code = code << 8 | (data[at] if at < size else 0)
+                    at += 1
+                u, left = u << bits | v, left - bits
+        a, b = k, a
+        out.append(u >> 1 if u & 1 == 0 else -(u + 1 >> 1))
     return out
 
 
