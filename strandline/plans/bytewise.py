@@ -126,7 +126,7 @@ def identify_documents(spark, sf_dir):
 
 
 _SAMPLES = [
-    *((m, "00" * o + m) for o, m, _, _ in detect.MAGIC),
+    *((m.hex(), "00" * o + m.hex()) for o, m, _, _ in detect.MAGIC),
     ("tiff", "49492A0008000000"), ("cr2", "49492A00100000004352"), ("wav", "524946460000000057415645"), ("json", b'{"a": 1}'.hex()), ("html", b"<!DOCTYPE html><p>".hex()),
     ("xml", b"<?xml version='1.0'?><a/>".hex()), ("code", b"import os\ndef f():\n    return os\n".hex()), ("log", b"2024-01-01 a\n2024-01-02 b\n2024-01-03 c\n".hex()),
     ("csv", b"a,b\n1,2\n3,4\n".hex()), ("blank", b"  \n \n".hex()), ("noise", "0001020304FFFEFD"), ("empty", ""),
