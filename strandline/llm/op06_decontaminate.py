@@ -132,6 +132,15 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def _note(block: Block, at: int, w: C.Words, hashes: np.ndarray, spans: list[list], items: list[set]) -> None:
+    """Hits of a block in rows from ``at`` on, added to their spans and items."""
+    for k, size, ids in block.hits(w, hashes):
+        r = int(w.row[k])
+        a = k - int(w.first[r])
+        spans[at + r].append((a, a + size))
+        items[at + r].update(ids)
+
+
 def _scan_of(blocks: list, text_col: str, names: tuple[str, str, str], carry: bool):
     n_name, span_name, item_name = names
     span_type = pa.list_(pa.struct([("from_word", pa.int64()), ("to_word", pa.int64())]))
@@ -143,20 +152,21 @@ def _scan_of(blocks: list, text_col: str, names: tuple[str, str, str], carry: bo
             spans: list[list] = [[] for _ in range(n)]
             items: list[set] = [set() for _ in range(n)]
             count = np.zeros(n, np.int64)
-            parts, at = [], 0
+            at = 0
+            parts = []
             for part, offsets, raw in C.slices(batch, text_col):
                 w = C.Words(offsets, raw)
                 count[at : at + part.num_rows] = np.diff(w.first)
-                parts.append((at, w, w.hashes()))
+                if only:  # part by part: a batch's words take many times its bytes
+                    _note(only, at, w, w.hashes(), spans, items)
+                else:
+                    parts.append((at, w, w.hashes()))
                 at += part.num_rows
-            for sent in blocks:
-                block = only or Block(_opened(sent))
-                for at, w, hashes in parts:
-                    for k, size, ids in block.hits(w, hashes):
-                        r = int(w.row[k])
-                        a = k - int(w.first[r])
-                        spans[at + r].append((a, a + size))
-                        items[at + r].update(ids)
+                del w
+            for sent in () if only else blocks:
+                block = Block(_opened(sent))
+                for held in parts:
+                    _note(block, *held, spans, items)
                 del block
             del parts
             columns = [batch.column(i) for i in range(batch.num_columns)]

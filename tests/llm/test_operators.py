@@ -3,12 +3,16 @@
 import hashlib
 import math
 import random
+import tracemalloc
+import types
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
+import corpus_pipeline
 from strandline.llm import common as C
 from strandline.llm import op01_lm, op02_secrets, op03_quality, op04_chat, op05_warc, op06_decontaminate, op07_vectors, op08_jaccard, op09_toxicity, op10_bpe
 from strandline.llm.graph import components
@@ -368,6 +372,23 @@ def test_archives_on_a_file_system(spark, tmp_path):
     assert (least.record_type, least.refers_to) == ("response", None)
 
 
+@pytest.mark.parametrize("stage", ["quality", "near_duplicates", "decontamination", "encoding"])
+def test_pipeline_stage_needs_one_worker_a_task(spark, sf_dir, monkeypatch, stage):
+    """Two Python functions one after another in a Spark stage would take two workers for each task, which then stay."""
+    plain, plans = DataFrame.mapInArrow, []
+
+    def seen(self, *args, **kw):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return plain(self, *args, **kw)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", seen)
+    dict(corpus_pipeline.STAGES)[stage](spark, C.table(spark, sf_dir, "documents"), sf_dir)
+    assert plans
+    for plan in plans:
+        upto = plan.split("Exchange hash")[0]  # what comes below an exchange by hash is a stage of its own
+        assert "InArrow" not in upto and "ArrowInPython" not in upto
+
+
 # ------------------------------------------------------------------ 6
 
 def test_decontamination_against_brute_force(spark, monkeypatch):
@@ -405,6 +426,24 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
     assert op06_decontaminate.scan(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_holds_the_words_of_a_part_only():
+    """With one block, as in the pipeline, what a scan holds doesn't grow with the Arrow batch."""
+    grams = pa.table({"words": pa.array([2], pa.int32()), "gram": pa.array([b"w1 w2"], pa.binary()), "item": pa.array([1], pa.int64())})
+    sent = types.SimpleNamespace(value=op06_decontaminate._packed(grams))
+    texts = [" ".join(f"w{(k + r) % 1000}" for k in range(20_000)) for r in range(80)]  # 8 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    run = op06_decontaminate._scan_of([sent], "text", ("n_words", "spans", "items"), False)
+    list(run([batch.slice(0, 1)]))  # what is made once
+    tracemalloc.start()
+    try:
+        (out,) = list(run([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert out.column("n_words").to_pylist() == [20_000] * 80 and set(out.column("items").to_pylist()[0]) == {1}
+    assert peak < 40 << 20
+
+
 def test_decontamination_block_is_bounded_by_bytes():
     words = [f"w{k % 5000}x{k // 5000}".encode() for k in range(100_000)]
     grams = [b" ".join(words[k : k + 10]) for k in range(90_000)]
