@@ -178,6 +178,33 @@ def test_lm_is_a_distribution():
     assert np.allclose(grams.bigrams().sum(axis=1), 1, atol=1e-4) and abs(np.exp(grams.first).sum() - 1) < 1e-6
 
 
+def test_lm_training_takes_no_time_for_padding(monkeypatch):
+    """What comes after the last target of a batch is left out, and changes nothing but rounding."""
+    rng, size, n = np.random.default_rng(4), 50, 96
+    x, t = rng.integers(0, size, (n, 32)), rng.integers(0, size + 1, (n, 32))
+    out = np.arange(32) >= rng.integers(3, 12, n)[:, None]
+    x[out], t[out] = size, -1
+    prior = np.log(rng.dirichlet(np.ones(op01_lm.CLASSES), size + 1)).astype(np.float32)
+    told = [-rng.random((n, 32)), -rng.random((n, 32)), rng.random((n, 32)) < 0.5]
+    weights, classes = op01_lm.Attention.fresh(size, op01_lm.CLASSES), rng.integers(0, op01_lm.CLASSES, size + 1)
+    plain, widths = op01_lm.Attention.forward, []
+
+    def forward(self, *args):
+        widths.append(args[0].shape[1])
+        return plain(self, *args)
+
+    monkeypatch.setattr(op01_lm.Attention, "forward", forward)
+    new, loss, shares = op01_lm.train(weights, prior, classes, x, t, 3, 0.03, told)
+    assert len(widths) == 2 and max(widths) <= 11
+    t[0, 31], told[1][0, 31] = 0, 0  # one target at the end: its batch is as wide as it was, the other one isn't
+    op01_lm.train(weights, prior, classes, x, t, 3, 0.03, told)
+    assert sorted(widths[2:])[1] == 32 and sorted(widths[2:])[0] <= 11
+    t[0, 31] = -1
+    wide = [np.pad(a, ((0, 0), (0, 32)), constant_values=c) for a, c in ((x, size), (t, -1), *((a, 0) for a in told))]
+    other, also, both = op01_lm.train(weights, prior, classes, *wide[:2], 3, 0.03, wide[2:])
+    assert all(np.allclose(new[k], other[k], atol=1e-5) for k in new) and math.isclose(loss, also, rel_tol=1e-6) and np.allclose(shares, both)
+
+
 # ------------------------------------------------------------------ 2
 
 def test_trigram_queries_are_necessary():
