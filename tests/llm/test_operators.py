@@ -205,6 +205,70 @@ def test_lm_training_takes_no_time_for_padding(monkeypatch):
     assert all(np.allclose(new[k], other[k], atol=1e-5) for k in new) and math.isclose(loss, also, rel_tol=1e-6) and np.allclose(shares, both)
 
 
+class _Sent:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_lm_training_prices_frequent_words_once(monkeypatch):
+    """Portions of runs take frequent words from a worker's lexicon, with the same windows."""
+    said, rng = op01_lm.load_ranks(op01_lm.default_path()), np.random.default_rng(2)
+    size, none = len(said[1]), np.zeros(0, np.int64)
+    shared = {"key": "once", "said": said, "ngrams": (none, none, none, none, np.ones(size + 1)), "classes": rng.integers(0, op01_lm.CLASSES, size + 1), "prior": np.zeros((size + 1, op01_lm.CLASSES), np.float32)}
+    words, asked, plain = [f"w{k}" for k in range(30)], [], op01_lm.Model.lexicon
+    runs = [" ".join([*words[k % 3 :: 3], f"rare{k}"]) for k in range(40)] + [""]
+    monkeypatch.setattr(op01_lm, "PORTION", 10)
+    monkeypatch.setattr(op01_lm.Model, "lexicon", lambda self, some, three=None: asked.extend(some) or plain(self, some, three))
+    batch = pa.RecordBatch.from_arrays([pa.array(runs), pa.array([0] * 40 + [3])], ["s", "n"])
+    head = (pa.array(words), None)
+    told = list(op01_lm._trainer_of(_Sent(shared), op01_lm.Attention.fresh(size, op01_lm.CLASSES), _Sent(head), 0, 0.01)([batch]))
+    assert told[0].column("n")[0].as_py() > 400 and all(asked.count(w) == 1 for w in words) and {f"rare{k}" for k in range(40)} <= set(asked)
+    m = op01_lm._model(shared)
+    lexicon = op01_lm.Lexicon(m, *head)
+    pairs = zip(op01_lm.windows_of(m, runs, np.arange(41) % 4), op01_lm.windows_of(m, runs, np.arange(41) % 4, lexicon=lambda w: lexicon(w, None)[0]), strict=True)
+    assert all(np.array_equal(a, b) for a, b in pairs)
+
+
+@pytest.mark.parametrize("factor", [1, 40])
+def test_lm_training_against_brute_force(factor):
+    """Loss and first step of a batch, also where scores are too large for plain exponentials."""
+    rng, size, many = np.random.default_rng(6), 30, 8
+    x, t = rng.integers(0, size + 1, (5, 9)), rng.integers(0, size + 1, (5, 9))
+    t[rng.random(t.shape) < 0.2] = -1
+    classes, prior = rng.integers(0, many, size + 1), np.log(rng.dirichlet(np.ones(many), size + 1)).astype(np.float32)
+    w = op01_lm.Attention.fresh(size, many)
+    w["q"], w["k"] = w["q"] * np.float32(factor), w["k"] * np.float32(factor)
+
+    def loss(w):
+        total = 0.0
+        for row, goals in zip(x, t, strict=True):
+            for i in np.flatnonzero(goals >= 0):
+                s = np.array([w["q"][row[i]] @ w["k"][row[j]] / 4 + w["bias"][i - j] for j in range(i + 1)])
+                a = np.exp(s - s.max())
+                p = (a / a.sum() @ w["v"][row[: i + 1]] + w["e"][row[i]]) @ w["w"] + prior[row[i]]
+                total -= p[classes[goals[i]]] - p.max() - np.log(np.exp(p - p.max()).sum())
+        return total
+
+    new, got, _ = op01_lm.train(w, prior, classes, x, t, 1, 0.03)
+    exact = {k: v.astype(np.float64) for k, v in w.items()}
+    assert math.isclose(got, loss(exact), rel_tol=1e-5)
+    seen = 0
+    for name, v in exact.items():
+        for at in rng.choice(v.size, min(v.size, 40), replace=False):
+            old, both = v.flat[at], []
+            for d in (1e-5, -1e-5):
+                v.flat[at] = old + d
+                both.append(loss(exact))
+            v.flat[at] = old
+            slope = (both[0] - both[1]) / 2e-5
+            if abs(slope) > 1e-3:  # the first step of Adam has the size of the rate
+                seen += 1
+                assert math.isclose(new[name].flat[at] - w[name].flat[at], -0.03 * np.sign(slope), rel_tol=1e-2), (name, at)
+    assert seen > 60
+    rows, begin = rng.standard_normal((200, 8)).astype(np.float32), np.unique(np.concatenate([[0, 3, 4, 90, 199], rng.integers(0, 200, 40)]))
+    assert np.allclose(op01_lm._summed_rows(rows, begin), np.add.reduceat(rows, begin, axis=0), atol=1e-5)
+
+
 # ------------------------------------------------------------------ 2
 
 def test_trigram_queries_are_necessary():
