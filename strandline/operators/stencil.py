@@ -6,8 +6,11 @@ by row; a neighbour outside the plane is 0 for the gradient tests.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import bits
 
@@ -71,23 +74,83 @@ def block_sums(df: DataFrame, value: Column, size: int = 16) -> DataFrame:
     return df.groupBy(F.floor(F.col("y") / size).alias("by"), F.floor(F.col("x") / size).alias("bx")).agg(F.sum(value).alias("cost"))
 
 
+def _displaced(y, x, v, known, layers, filled, origin: tuple[int, int], edge: tuple[int, int], size: int, reach: int) -> list[tuple]:
+    """(block row, block column, dy, dx, sad) of each block among the pixels (y, x, v), those without a value marked.
+
+    ``layers`` and ``filled`` are the places around as planes (values, and 0: no pixel, 1: one without a value, 2: a value);
+    a second layer holds pixels whose place is taken.
+    """
+    rows, columns = y // size, x // size
+    order = np.lexsort((columns, rows))
+    y, x, v, known, rows, columns = (a[order] for a in (y, x, v, known, rows, columns))
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(rows) != 0) | (np.diff(columns) != 0)]))
+    steps = np.arange(-reach, reach + 1)
+    tx = np.clip(x[:, None] + steps, 0, edge[1]) - origin[1]
+    best: list[tuple | None] = [None] * len(starts)
+    for dy in steps.tolist():
+        ty = (np.clip(y + dy, 0, edge[0]) - origin[0])[:, None]
+        sums = pairs = valued = 0
+        for plane, kind in zip(layers, filled, strict=True):
+            met = kind[ty, tx]
+            both = (met == 2) & known[:, None]
+            sums = sums + np.add.reduceat(np.where(both, np.abs(v[:, None] - plane[ty, tx]), 0), starts)
+            pairs = pairs + np.add.reduceat(met > 0, starts, dtype=np.int64)
+            valued = valued + np.add.reduceat(both, starts, dtype=np.int64)
+        blank = np.where(pairs > 0, np.where(valued > 0, 0, 1), 2)  # sums come first, then those of no values
+        first = np.lexsort((np.broadcast_to(np.arange(len(steps)), sums.shape), sums, blank), axis=1)[:, 0]
+        for k, j in enumerate(first.tolist()):
+            if blank[k, j] < 2 and (best[k] is None or (blank[k, j], sums[k, j]) < best[k][:2]):
+                best[k] = (int(blank[k, j]), int(sums[k, j]), dy, int(steps[j]))
+    return [(int(rows[i]), int(columns[i]), m[2], m[3], None if m[0] else m[1]) for i, m in zip(starts, best, strict=True) if m]
+
+
+def tiles(now: DataFrame, before: DataFrame, by: list[str], tile: int, reach: int) -> DataFrame:
+    """(by, ty, tx, was, y, x, v, my, mx): pixels of ``now`` by tile, those of ``before`` for each tile within reach, and the last row and column."""
+    edge = F.broadcast(before.agg(F.max("y").alias("my"), F.max("x").alias("mx")))
+    inside = lambda c, m: F.floor(F.least(F.col(m), F.greatest(F.lit(0).cast("long"), F.col(c))) / tile)
+    near = lambda c, m: F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((F.col(c) - reach) / tile)), F.floor(F.least(F.col(m), F.col(c) + reach) / tile))
+    mine = now.crossJoin(edge).select(*by, inside("y", "my").alias("ty"), inside("x", "mx").alias("tx"), F.lit(False).alias("was"), "y", "x", "v", "my", "mx")
+    around = before.crossJoin(edge).where("y >= 0 AND x >= 0").select(*by, F.explode(near("y", "my")).alias("ty"), "y", "x", "v", "my", "mx")
+    around = around.select(*by, "ty", F.explode(near("x", "mx")).alias("tx"), F.lit(True).alias("was"), "y", "x", "v", "my", "mx")
+    return mine.unionByName(around)
+
+
 def motion(now: DataFrame, before: DataFrame, by: list[str] | None = None, size: int = 16, reach: int = 8) -> DataFrame:
     """(by, block row, block column, dy, dx, sad): where each block of ``now`` has its least sum of absolute differences in ``before``.
 
     Displacements are tried row by row; of equals the first stays. Outside
-    places are clamped. Every pixel meets its 2*reach+1 squared partners through
-    an equi-join on the displaced place, summed before the shuffle by block.
+    places are clamped. A tile of blocks is searched by one task's value, which
+    holds the tile's pixels and those of ``before`` within reach of it: a pixel
+    is dealt out once, and once for each tile that it is near to.
     """
     by = by or []
-    edge = before.agg(F.max("y").alias("my"), F.max("x").alias("mx"))
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    moved = now.join(F.broadcast(edge)).select(*by, "y", "x", "v", "my", "mx", F.explode(steps).alias("dy")).select("*", F.explode(steps).alias("dx"))
-    zero = F.lit(0).cast("long")
-    moved = moved.withColumns({"ty": F.least("my", F.greatest(zero, F.col("y") + F.col("dy"))), "tx": F.least("mx", F.greatest(zero, F.col("x") + F.col("dx")))})
-    pairs = moved.join(before.select(*by, F.col("y").alias("ty"), F.col("x").alias("tx"), F.col("v").alias("p")), [*by, "ty", "tx"])
-    sums = pairs.groupBy(*by, F.floor(F.col("y") / size).alias("by"), F.floor(F.col("x") / size).alias("bx"), "dy", "dx").agg(F.sum(F.abs(F.col("v") - F.col("p"))).alias("sad"))
-    best = F.min(F.struct("sad", "dy", "dx")).alias("m")
-    return sums.groupBy(*by, "by", "bx").agg(best).select(*by, "by", "bx", F.col("m.dy").cast("long").alias("dy"), F.col("m.dx").cast("long").alias("dx"), F.col("m.sad").alias("sad"))
+    tile = size * max(1, 64 // size)
+    wide = tile + 2 * reach
+    names = [*by, "by", "bx", "dy", "dx", "sad"]
+    schema = T.StructType([*(now.schema[c] for c in by), *(T.StructField(c, T.LongType()) for c in names[len(by) :])])
+
+    def run(key, rows):
+        was, y, x = (rows[c].to_numpy() for c in ("was", "y", "x"))
+        known, v = rows["v"].is_valid().to_numpy(), rows["v"].fill_null(0).to_numpy()
+        found = []
+        if was.any() and not was.all():
+            if len(v) * (int(v.max()) - int(v.min())) >= 1 << 63:
+                raise OverflowError("differences beyond 64 bits")
+            origin = tuple(int(k.as_py()) * tile - reach for k in key[len(by) :])
+            at = (y[was] - origin[0]) * wide + x[was] - origin[1]
+            order = np.argsort(at, kind="stable")
+            at, values, kinds = at[order], v[was][order], np.where(known[was][order], 2, 1)
+            layer = np.arange(len(at)) - np.searchsorted(at, at)  # how many pixels of this place came before
+            planes, filled = np.zeros((2, int(layer.max()) + 1, wide * wide), np.int64)
+            planes[layer, at], filled[layer, at] = values, kinds
+            shape = (-1, wide, wide)
+            m = ~was
+            found = _displaced(y[m], x[m], v[m], known[m], planes.reshape(shape), filled.reshape(shape), origin, (rows["my"][0].as_py(), rows["mx"][0].as_py()), size, reach)
+        columns = list(zip(*found, strict=True)) or [()] * 5
+        keys = [pa.array([k.as_py()] * len(found), k.type) for k in key[: len(by)]]
+        return pa.table([*keys, *(pa.array(c, pa.int64()) for c in columns)], names)
+
+    return tiles(now, before, by, tile, reach).groupBy(*by, "ty", "tx").applyInArrow(run, schema)
 
 
 def modes(now: DataFrame, before: DataFrame, size: int = 16) -> DataFrame:
