@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from . import coders as K
 
 ROWS = 65_536
+#: Rows of a file, at most.
+FILE = 10_000
 
 
 def in_blocks(df: DataFrame, value: str, by: list[str], order: list[str], rows: int = ROWS) -> DataFrame:
@@ -52,3 +54,14 @@ def rows_back(df: DataFrame, by: list[str], key: str, value: str = "v") -> DataF
 
 
 CODERS = {"residual": (K.residuals_encode, K.residuals_decode), "rice": (K.rice_encode, K.rice_decode)}
+
+
+def through_files(df: DataFrame, key: str, run, schema: str, rows: int = FILE) -> DataFrame:
+    """``run`` over pandas frames of at most ``rows`` rows, of a size that no table changes; rows are dealt out by ``key``, as a table may be one split."""
+
+    def each(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), rows):
+                yield run(pdf.iloc[at : at + rows].reset_index(drop=True))
+
+    return df.repartition(key).mapInPandas(each, schema)

@@ -117,20 +117,20 @@ def huffman_lengths(spark, sf_dir):
 
 @query("float_dictionary_roundtrip", "SELECT o_orderkey, o_totalprice FROM orders")
 def float_dictionary_roundtrip(spark, sf_dir):
-    """Prices as codes into a dictionary of bit patterns, a block for each 64th of the orders, and back."""
-    t = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").withColumn("part", F.pmod(F.xxhash64("o_orderkey"), F.lit(64)))
+    """Prices as codes into a dictionary of bit patterns, a block for each 10,000 orders, and back."""
+    t = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         blob = N.floats_encode(pdf["o_totalprice"].to_numpy("<f8").tobytes(), 8)
         return pd.DataFrame({"o_orderkey": pdf["o_orderkey"], "o_totalprice": np.frombuffer(N.floats_decode(blob), "<f8")})
 
-    return t.groupBy("part").applyInPandas(run, "o_orderkey long, o_totalprice double")
+    return B.through_files(t, "o_orderkey", run, "o_orderkey long, o_totalprice double")
 
 
 @query("records_codec_roundtrip", "SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM orders")
 def records_codec_roundtrip(spark, sf_dir):
     """Orders as fixed-width records (4, 4 bytes), coded column by column, and back."""
-    t = table(spark, sf_dir, "orders").select("o_orderkey", scaled("o_totalprice").alias("c")).withColumn("part", F.pmod(F.xxhash64("o_orderkey"), F.lit(64)))
+    t = table(spark, sf_dir, "orders").select("o_orderkey", scaled("o_totalprice").alias("c"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("o_orderkey")
@@ -138,7 +138,7 @@ def records_codec_roundtrip(spark, sf_dir):
         back = np.frombuffer(N.records_decode(N.records_encode(raw, [4, 4])), "<u4").reshape(-1, 2).astype("int64")
         return pd.DataFrame({"o_orderkey": back[:, 0], "c": back[:, 1]})
 
-    return t.groupBy("part").applyInPandas(run, "o_orderkey long, c long")
+    return B.through_files(t, "o_orderkey", run, "o_orderkey long, c long")
 
 
 def routed(df, key: str, data: str):

@@ -1,6 +1,6 @@
 """Queries that write tables in file formats and read them back: what comes back is the source, through each format's bytes.
 
-Every 16 vectors are a file; a file is one task's value, so any number of them spreads over the cluster.
+Every 16 vectors, or 10,000 rows at most, are a file; a file is one task's value, so any number of them spreads over the cluster.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..operators import blocks as B
 from ..operators import coders as K
 from ..operators import containers as N
 from ..registry import query
@@ -78,15 +79,15 @@ for _name in _FORMATS:
 
 @query("mtx_roundtrip", "SELECT o_custkey, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS v FROM orders")
 def mtx_roundtrip(spark, sf_dir):
-    """Orders as sparse triples (customer, order, amount), a file for each 64th, through coordinate text and back."""
-    t = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", scaled("o_totalprice").alias("v")).withColumn("part", F.pmod(F.xxhash64("o_orderkey"), F.lit(64)))
+    """Orders as sparse triples (customer, order, amount), a file for each 10,000, through coordinate text and back."""
+    t = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", scaled("o_totalprice").alias("v"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         triples = pdf[["o_custkey", "o_orderkey", "v"]].to_numpy() + np.array([1, 1, 0])
         back = S.read_mtx(S.write_mtx(triples, *triples[:, :2].max(axis=0).tolist())) - np.array([1, 1, 0])
         return pd.DataFrame(back, columns=["o_custkey", "o_orderkey", "v"])
 
-    return t.groupBy("part").applyInPandas(run, "o_custkey long, o_orderkey long, v long")
+    return B.through_files(t, "o_orderkey", run, "o_custkey long, o_orderkey long, v long")
 
 
 _CLIP = f"SELECT y // 16 AS z, y % 16 AS y, x, ((v % 256) + 256) % 256 AS v FROM ({_PLANE})"
@@ -120,7 +121,7 @@ def video_roundtrip(spark, sf_dir):
     "SELECT event_id, CAST(epoch_us(ts) AS BIGINT) AS t, user_id, event_type, CAST(round(value * 100) AS BIGINT) AS v FROM events",
 )
 def flow_records_roundtrip(spark, sf_dir):
-    """Events as 54-byte flow records with dictionaries for their types, a file for each 16th, and back."""
+    """Events as 54-byte flow records with dictionaries for their types, a file for each 10,000, and back."""
     t = table(spark, sf_dir, "events").select("event_id", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))").alias("t"), "user_id", "event_type", scaled("value").alias("v"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -131,13 +132,13 @@ def flow_records_roundtrip(spark, sf_dir):
         back = S.read_flows(*S.write_flows(rows))
         return pd.DataFrame([(r[12], r[0], int.from_bytes(r[3], "big"), r[2], r[13]) for r in back], columns=["event_id", "t", "user_id", "event_type", "v"])
 
-    return t.groupBy(F.pmod("event_id", F.lit(16)).alias("part")).applyInPandas(run, "event_id long, t long, user_id long, event_type string, v long")
+    return B.through_files(t, "event_id", run, "event_id long, t long, user_id long, event_type string, v long")
 
 
 @query("placed_symbols_roundtrip", "SELECT event_id, props FROM events")
 def placed_symbols_roundtrip(spark, sf_dir):
-    """Messages as lines of bytes, each coded given the byte before and its place, a block for each 64th, and back."""
-    t = table(spark, sf_dir, "events").select("event_id", "props").withColumn("part", F.pmod("event_id", F.lit(64)))
+    """Messages as lines of bytes, each coded given the byte before and its place, a block for each 10,000, and back."""
+    t = table(spark, sf_dir, "events").select("event_id", "props")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lines = [list((v or "").encode()) for v in pdf["props"]]
@@ -148,4 +149,4 @@ def placed_symbols_roundtrip(spark, sf_dir):
         texts = [bytes(used[k] for k in x).decode() for x in back]
         return pd.DataFrame({"event_id": pdf["event_id"], "props": [x if v is not None else None for x, v in zip(texts, pdf["props"], strict=True)]})
 
-    return t.groupBy("part").applyInPandas(run, "event_id long, props string")
+    return B.through_files(t, "event_id", run, "event_id long, props string")

@@ -2,8 +2,11 @@
 
 import random
 
+from pyspark import AccumulatorParam
 from pyspark.sql import functions as F
 
+from strandline import catalogue
+from strandline.operators import blocks as B
 from strandline.operators import stencil as S
 
 
@@ -41,3 +44,22 @@ def test_motion_puts_sums_of_no_values_last(spark):
     nothing = before.withColumn("v", F.lit(None).cast("long"))
     assert [tuple(x) for x in S.motion(now, nothing).collect()] == [(0, 0, -8, -8, None)]
     assert S.motion(now, before.limit(0)).collect() == []
+
+
+def test_files_of_rows_have_a_size_that_no_table_changes(spark, tmp_path):
+    spark.range(0, 30_000, 1, 1).selectExpr("id AS event_id", "timestamp_micros(id) AS ts", "id % 9 AS user_id", "'a' AS event_type", "id / 100 AS value", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(0, 30_000, 1, 1).selectExpr("id AS o_orderkey", "id % 9 AS o_custkey", "id / 100 AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    most = spark.sparkContext.accumulator([0], _Most())
+    for name in ("flow_records_roundtrip", "mtx_roundtrip", "placed_symbols_roundtrip", "float_dictionary_roundtrip", "records_codec_roundtrip"):
+        df = catalogue.QUERIES[name](spark, str(tmp_path))
+        assert "FlatMapGroups" not in df._jdf.queryExecution().toString() and df.count() == 30_000, name
+    seen = B.through_files(spark.range(0, 25_000, 1, 1), "id", lambda pdf: (most.add([len(pdf)]), pdf)[1], "id long")
+    assert sorted(r[0] for r in seen.collect()) == list(range(25_000)) and 0 < most.value[0] <= B.FILE
+
+
+class _Most(AccumulatorParam):
+    def zero(self, value):
+        return [0]
+
+    def addInPlace(self, a, b):
+        return [max(a[0], b[0])]
