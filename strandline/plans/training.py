@@ -45,12 +45,18 @@ def train(messages: DataFrame, key: str, text: str, samples: int = SAMPLES) -> K
     return K.Model(patterns, bytes(best["blob"]), list(best["counts"]), list(best["dist"]))
 
 
+def _mapped(x: pd.Series, f) -> pd.Series:
+    """``f`` of each value that isn't null; what comes again in a batch is found once."""
+    known = {v: f(v) for v in x.dropna().unique()}
+    return x.map(lambda v: None if v is None else known[v])
+
+
 def compressed(df: DataFrame, text: str, shared) -> DataFrame:
     """``df`` with the text as bytes under a broadcast model."""
 
     @F.pandas_udf("binary")
     def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else K.compress(v.encode(), shared.value, 32))
+        return _mapped(x, lambda v: K.compress(v.encode(), shared.value, 32))
 
     return df.withColumn("blob", run(text)).drop(text)
 
@@ -58,7 +64,7 @@ def compressed(df: DataFrame, text: str, shared) -> DataFrame:
 def restored(df: DataFrame, text: str, shared) -> DataFrame:
     @F.pandas_udf("string")
     def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else K.decompress(v, shared.value).decode())
+        return _mapped(x, lambda v: K.decompress(v, shared.value).decode())
 
     return df.withColumn(text, run("blob")).drop("blob")
 
@@ -76,8 +82,15 @@ def trained_beats_untrained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether messages take fewer bytes in all under a trained model than under none."""
     t = table(spark, sf_dir, "events").select("event_id", "props")
     trained, plain = spark.sparkContext.broadcast(train(t, "event_id", "props")), spark.sparkContext.broadcast(K.Model())
-    a, b = compressed(t, "props", trained), compressed(t, "props", plain)
-    sizes = a.select("event_id", F.length("blob").alias("a")).join(b.select("event_id", F.length("blob").alias("b")), "event_id")
+
+    def size(shared):
+        @F.pandas_udf("long")
+        def run(x: pd.Series) -> pd.Series:
+            return _mapped(x, lambda v: len(K.compress(v.encode(), shared.value, 32))).astype("Int64")
+
+        return run("props")
+
+    sizes = t.select(size(trained).alias("a"), size(plain).alias("b"))
     return sizes.agg(F.count(F.lit(1)).alias("n"), (F.sum("a") < F.sum("b")).alias("smaller"))
 
 
@@ -107,7 +120,7 @@ def lazy_parse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def back(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else K.expand(K.parse(v.encode(), shared.value, 32, lazy=True), shared.value).decode())
+        return _mapped(x, lambda v: K.expand(K.parse(v.encode(), shared.value, 32, lazy=True), shared.value).decode())
 
     return t.select("event_id", back("props").alias("props"))
 

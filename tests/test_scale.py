@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandline import catalogue
 from strandline.operators import blocks as B
 from strandline.operators import stencil as S
+from strandline.operators import tokens as T
 
 
 def _sad(now, before, size=16, reach=8):
@@ -63,3 +64,18 @@ class _Most(AccumulatorParam):
 
     def addInPlace(self, a, b):
         return [max(a[0], b[0])]
+
+
+def test_places_of_a_model_are_found_once(monkeypatch):
+    model, found = T.Model([b"the "], b"some text of the model, some text of it"), []
+    fresh = [T.matches(model.blob + d, len(model.blob), n) for d in (b"", b"it", b"some text, some text", b"aaaaaa") for n in (1, 2, 32)]
+    monkeypatch.setattr(T, "places", lambda blob: found.append(blob))
+    assert [T.matches(model.blob + d, len(model.blob), n, model.places) for d in (b"", b"it", b"some text, some text", b"aaaaaa") for n in (1, 2, 32)] == fresh
+    assert T.decompress(T.compress(b"some text of the other", model), model) == b"some text of the other" and not found
+
+
+def test_trained_against_untrained_counts_each_row_once(spark, tmp_path):
+    rows = [(k % 3 if k else None, '{"name":"alice","kind":"reader","age":%d}' % (k % 50) if k % 7 else None) for k in range(200)]
+    spark.createDataFrame(rows, "event_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
+    df = catalogue.QUERIES["trained_beats_untrained"](spark, str(tmp_path))
+    assert [tuple(x) for x in df.collect()] == [(200, True)]
