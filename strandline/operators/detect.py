@@ -48,7 +48,8 @@ def printable_ratio(data: Column) -> Column:
     """Share of the first 8,192 bytes that are printable ASCII, tab or a line end; 0 for none."""
     sample = latin(F.substring(data, 1, SAMPLE))
     n = F.length(sample)
-    other = F.regexp_count(sample, F.lit(r"[^\t\n\r\x20-\x7E]"))
+    high = F.octet_length(sample) - n  # in UTF-8 the Latin-1 characters from 128 on take two bytes
+    other = high + F.regexp_count(sample, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"))
     return F.when(n == 0, F.lit(0.0)).otherwise((n - other) / n)
 
 

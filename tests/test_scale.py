@@ -1,12 +1,16 @@
 """What grows with the input: rows dealt out, values held at once, work done for each row."""
 
 import random
+import zlib
 
 from pyspark import AccumulatorParam
 from pyspark.sql import functions as F
 
 from strandline import catalogue
 from strandline.operators import blocks as B
+from strandline.operators import coders as K
+from strandline.operators import containers as N
+from strandline.operators import detect as D
 from strandline.operators import stencil as S
 from strandline.operators import tokens as T
 
@@ -66,6 +70,18 @@ class _Most(AccumulatorParam):
         return [max(a[0], b[0])]
 
 
+def test_routes_code_no_more_than_can_win(monkeypatch):
+    deflated, coded = [], []
+    monkeypatch.setattr(N.zlib, "compress", lambda *a, f=zlib.compress: (deflated.append(1), f(*a))[1])
+    assert N.choose(b"no grid in these words " * 20, "text/plain")[0] == "deflate" and len(deflated) == 1
+    monkeypatch.setattr(N.K, "residuals_encode", lambda v, f=K.residuals_encode: (coded.append(1), f(v))[1])
+    once = random.Random(4).randbytes(200)
+    assert N.find_period(once * 9) == 200 and N.choose(once * 9, "binary/unknown")[0] == "deflate" and len(coded) < 120
+    fields = b"".join((k * 3).to_bytes(4, "little") + (k * k).to_bytes(4, "little") for k in range(300))
+    method, blob = N.choose(fields, "binary/unknown")
+    assert method == "records" and blob == N.records_encode(fields) and N.restore(method, blob) == fields
+
+
 def test_places_of_a_model_are_found_once(monkeypatch):
     model, found = T.Model([b"the "], b"some text of the model, some text of it"), []
     fresh = [T.matches(model.blob + d, len(model.blob), n) for d in (b"", b"it", b"some text, some text", b"aaaaaa") for n in (1, 2, 32)]
@@ -79,3 +95,9 @@ def test_trained_against_untrained_counts_each_row_once(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
     df = catalogue.QUERIES["trained_beats_untrained"](spark, str(tmp_path))
     assert [tuple(x) for x in df.collect()] == [(200, True)]
+
+
+def test_share_of_printable_bytes_over_all_bytes(spark):
+    some = [(bytes(range(256)),), (b"",), (b"\x7f\x80\xff\0\x1f",), (b"a\t\r\n ~",)]
+    shares = spark.createDataFrame(some, "data binary").select(D.printable_ratio(F.col("data"))).collect()
+    assert [x[0] for x in shares] == [98 / 256, 0.0, 0.0, 1.0]
