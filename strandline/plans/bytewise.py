@@ -268,7 +268,7 @@ def transform_select(spark, sf_dir):
             rows = []
             for source, w, d in zip(pdf["source"], pdf["words"], pdf["data"], strict=True):
                 data = np.array(w, "<i8").tobytes() if w is not None else bytes(d) if d is not None else b""
-                rows += [(source, k, S.packed_size(data, spec)) for k, spec in enumerate(S.SPECS)]
+                rows += [(source, k, size) for k, size in enumerate(S.packed_sizes(data))]
             yield pd.DataFrame(rows, columns=["source", "k", "size"])
 
     sizes = words.unionByName(texts).unionByName(pages).mapInPandas(run, "source string, k long, size long").groupBy("source", "k").agg(F.sum("size").alias("size"))

@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import numpy as np
 from pyspark import AccumulatorParam
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from strandline.operators import blocks as B
 from strandline.operators import coders as K
 from strandline.operators import containers as N
 from strandline.operators import detect as D
+from strandline.operators import specs as P
 from strandline.operators import stencil as S
 from strandline.operators import tokens as T
 
@@ -70,6 +72,36 @@ class _Most(AccumulatorParam):
         return [max(a[0], b[0])]
 
 
+def _fcm(words, bits=12):
+    """The two tables word by word."""
+    size, full = (1 << bits) - 1, (1 << 64) - 1
+    table, deltas, h, g, last, chosen, left = {}, {}, 0, 0, 0, [], []
+    for w in words:
+        a, b = w ^ table.get(h, 0), w ^ (last + deltas.get(g, 0)) & full
+        chosen.append(int(a > b))
+        left.append(min(a, b))
+        table[h], deltas[g] = w, (w - last) & full
+        h, g, last = (h << 6 ^ w >> 48) & size, (g << 2 ^ deltas[g] >> 40) & size, w
+    return chosen, left
+
+
+def test_all_words_are_predicted_at_once():
+    r = random.Random(2)
+    walk = np.cumsum([r.random() for _ in range(700)]).view(np.uint64).tolist()
+    for words in ([], [5], [0, (1 << 64) - 1], [r.choice((1, 7, r.getrandbits(64))) for _ in range(900)], walk, walk * 2):
+        for bits in (8, 12, 20):
+            chosen, left = K.fcm(words, bits)
+            assert isinstance(left, np.ndarray) and (chosen.tolist(), left.tolist()) == _fcm(words, bits)
+
+
+def test_sizes_of_all_specifications_take_shared_steps_once(monkeypatch):
+    data, steps = random.Random(3).randbytes(500) + b"and some words " * 30, []
+    apart = [P.packed_size(data, s) for s in P.SPECS]
+    for name, f in P.STEPS.items():
+        monkeypatch.setitem(P.STEPS, name, lambda *a, f=f, name=name: (steps.append((name, a[1])), f(*a))[1])
+    assert P.packed_sizes(data) == apart and len(steps) == len({s[:k] for s in P.SPECS for k in range(1, len(s) + 1)})
+
+
 def test_routes_code_no_more_than_can_win(monkeypatch):
     deflated, coded = [], []
     monkeypatch.setattr(N.zlib, "compress", lambda *a, f=zlib.compress: (deflated.append(1), f(*a))[1])
